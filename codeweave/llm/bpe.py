@@ -4,7 +4,7 @@ A vocabulary is either a tokenizers JSON file or a file of base64 ranks; from ra
 rebuilt: every way to split a token into two tokens becomes a merge, ordered by the token's rank,
 which is the choice that a rank-based encoder makes. Text is cut into units between words; each
 worker keeps a bounded memo of unit -> ids, so the library encodes each distinct unit once, not
-each occurrence.
+each occurrence; words, ids and bounds stay in Arrow and numpy buffers.
 
 Defined cases: null text counts as empty and has no ids; special-token strings in a text are
 ordinary text; other columns of the input are ignored; rows with equal ids are each encoded.
@@ -20,13 +20,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from codeweave.llm.common import batch_of, space_units, texts_of
+from codeweave.llm.common import batch_of, run_indices, space_units, texts_of
 
-#: Most entries that a worker's memo holds before it starts anew.
-MEMO_ENTRIES = 600_000
+#: Most entries that a worker's memo holds before it starts anew, and most rows that are encoded at once.
+MEMO_ENTRIES = 1_200_000
+ROWS = 4000
+
+#: A blank at the start, or after white space of any kind.
+_NOT_PLAIN = r"^ |[\s\x0b\x1c-\x1f\x{85}\pZ] "
 
 
 @lru_cache(1)
@@ -39,8 +44,8 @@ def byte_alphabet() -> list[str]:
 
 
 def _from_ranks(path: str):
-    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
     from public_tokenizers import PATTERN
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -63,8 +68,8 @@ class Codec:
     """A byte-level tokenizer with its byte table; made once in each worker (see :func:`codec`)."""
 
     def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES):
-        from tokenizers import Tokenizer
         from public_tokenizers import PATTERN
+        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path) if path.endswith(".json") else _from_ranks(path)
@@ -75,55 +80,77 @@ class Codec:
         for token, i in vocab.items():
             self.token_bytes[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         self.token_length = np.array([len(t) for t in self.token_bytes], np.int64)
-        self._pieces = regex.compile(PATTERN)
-        self._piece_memo: dict[str, bytes] = {}
-        self._memo: dict[str, bytes] = {}
+        self._names = dict(enumerate(byte_alphabet()))
+        self._matches = regex.compile(PATTERN).findall
+        self._memo: dict[str, bytes] = {}  # a word after one blank -> ids
         self._most = memo_entries
 
-    def _fill(self, wanted: list[str]) -> None:
-        """Memo entries for units: cut by the pattern, encode the pieces not seen before."""
-        if len(self._memo) > self._most:
-            self._memo.clear()
-        cut = [self._pieces.findall(u) for u in wanted]
-        if len(self._piece_memo) > self._most:
-            self._piece_memo.clear()
-        fresh = list({p for pieces in cut for p in pieces if p not in self._piece_memo})
-        for p, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-            self._piece_memo[p] = np.array(e.ids, "<u4").tobytes()
-        get = self._piece_memo.__getitem__
-        for u, pieces in zip(wanted, cut):
-            self._memo[u] = b"".join(map(get, pieces))
-
     def encode_bytes(self, text: str) -> bytes:
-        """The ids of ``text`` as little-endian unsigned 32-bit integers."""
-        first, rest = space_units(text)
-        if len(first) > 200 or (rest and max(map(len, rest)) > 200):  # long units aren't worth keeping
-            return b"".join(self._encode_alone(u) for u in [first, *(" " + r for r in rest)])
-        units = [first, *map(" ".__add__, rest)]
+        """The ids of one text as little-endian unsigned 32-bit integers."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _fill(self, words: list[str]) -> None:
+        """Memo entries for words after a blank: cut by the pattern, each distinct match merged by the library's model."""
+        cut = [self._matches(" " + w) for w in words]
+        merged = {}
+        tokenize = self.tokenizer.model.tokenize
+        for m in {m for matches in cut for m in matches}:
+            merged[m] = np.array([t.id for t in tokenize(m.encode().decode("latin-1").translate(self._names))], "<u4").tobytes()
+        get = merged.__getitem__
+        for w, matches in zip(words, cut):
+            self._memo[w] = get(matches[0]) if len(matches) == 1 else b"".join(map(get, matches))
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty), one after the other, and the bounds of each text's ids."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _NOT_PLAIN).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(texts, " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        coded = pc.dictionary_encode(lists.values.slice(bounds[0], bounds[-1] - bounds[0]))
+        bounds = bounds - bounds[0]
+        codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
         memo = self._memo
-        try:
-            return b"".join(map(memo.__getitem__, units))
-        except KeyError:
-            self._fill(list({u for u in units if u not in memo}))
-            if any(u not in memo for u in units):  # the memo was just cleared
-                self._fill(list(set(units)))
-            return b"".join(map(self._memo.__getitem__, units))
-
-    def _encode_alone(self, unit: str) -> bytes:
-        if len(unit) <= 200:
-            if unit not in self._memo:
-                self._fill([unit])
-            return self._memo[unit]
-        return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(memo) > self._most:
+            memo.clear()
+        self._fill([w for w in words if w not in memo])
+        pieces = list(map(memo.__getitem__, words))
+        # the first word of a text follows no blank, and texts with runs of white space are encoded by other cuts
+        keep = np.ones(len(codes), bool)
+        first = bounds[:-1]
+        for row in np.flatnonzero(odd).tolist():
+            keep[bounds[row] + 1 : bounds[row + 1]] = False
+        codes[first] = len(pieces) + np.arange(len(first))
+        heads = [t if o else w for t, w, o in zip(texts.to_pylist(), lists.values.take(pa.array(first + lists.offsets[0].as_py())).to_pylist(), odd)]
+        for h, o in zip(heads, odd):
+            pieces.append(self._encode_odd(h) if o else self.encode_bytes(h) if h else b"")
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        start = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(pieces), "<u4")
+        of_unit = size[codes] * keep
+        ids = flat[run_indices(start[codes], of_unit)]
+        upto = np.concatenate(([0], np.cumsum(of_unit)))
+        return ids, upto[bounds]
+
+    def _encode_odd(self, text: str) -> bytes:
+        units = space_units(text)
+        memo = self._memo
+        self._fill(list({u for u in units[1] if u not in memo}))
+        return self.encode_bytes(units[0]) + b"".join(map(memo.__getitem__, units[1]))
 
     def decode(self, ids: bytes | np.ndarray) -> bytes:
         """The bytes that the ids stand for; a character split over tokens comes together again."""
         ids = np.frombuffer(ids, "<u4") if isinstance(ids, bytes) else ids
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
 
-    def spans(self, ids: bytes, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encoded(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, list[np.ndarray]]]:
+        """doc_id, text and ids of a batch, in slices."""
+        for i in range(0, batch.num_rows, ROWS):
+            part = batch.slice(i, ROWS)
+            ids, bounds = self.encode_batch(part.column("text"))
+            yield part.column("doc_id"), part.column("text"), [ids[s:e] for s, e in zip(bounds.tolist(), bounds[1:].tolist())]
+
+    def spans(self, ids: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Byte start of each token, and the first and last+1 character that it touches."""
-        ids = np.frombuffer(ids, "<u4")
         end = np.cumsum(self.token_length[ids])
         start = end - self.token_length[ids]
         raw = np.frombuffer(text.encode(), np.uint8)
@@ -137,7 +164,7 @@ def codec(path: str) -> Codec:
 
 
 ENCODED = pa.schema(
-    [("doc_id", pa.int64()), ("ids", pa.list_(pa.uint32())), ("char_start", pa.list_(pa.int64())), ("char_end", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("char_start", pa.list_(pa.int64())), ("char_end", pa.list_(pa.int64()))]
 )
 
 
@@ -147,13 +174,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            texts = texts_of(b.column("text"))
-            rows = [c.encode_bytes(t) for t in texts]
-            spans = [c.spans(i, t) for i, t in zip(rows, texts)]
-            yield batch_of(
-                pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("char_start", pa.list_(pa.int64())), ("char_end", pa.list_(pa.int64()))]),
-                b.column("doc_id"), [np.frombuffer(i, "<u4").astype(np.int64) for i in rows], [s[1] for s in spans], [s[2] for s in spans],
-            )
+            for doc_id, text, rows in c.encoded(b):
+                spans = [c.spans(i, t) for i, t in zip(rows, texts_of(text))]
+                yield batch_of(ENCODED, doc_id, [i.astype(np.int64) for i in rows], [s[1] for s in spans], [s[2] for s in spans])
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, ids array<long>, char_start array<long>, char_end array<long>")
 
@@ -177,12 +200,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, sha = codec(path), hashlib.sha256
         for b in batches:
-            counts, of_ids, of_text = [], [], []
-            for t in b.column("text"):
-                ids = c.encode_bytes(t.as_py() or "")
-                counts.append(len(ids) // 4)
-                of_ids.append(sha(ids).hexdigest())
-                of_text.append(sha(c.decode(ids)).hexdigest())
-            yield batch_of(schema, b.column("doc_id"), counts, of_ids, of_text)
+            for doc_id, _, rows in c.encoded(b):
+                yield batch_of(schema, doc_id, list(map(len, rows)), [sha(i.tobytes()).hexdigest() for i in rows], [sha(c.decode(i)).hexdigest() for i in rows])
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -136,9 +136,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
                 yield batch_of(PIECES, *columns[:-1], columns[-1] if with_ids else [None] * len(columns[0]))
 
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                packer.add(doc, c.encode_bytes(text.as_py() or "") + b"\0\0\0\0")
-            yield from flush()
+            for doc_ids, _, rows in c.encoded(b):
+                for doc, ids in zip(doc_ids.to_pylist(), rows):
+                    packer.add(doc, ids.tobytes() + b"\0\0\0\0")
+                yield from flush()
         packer.finish()
         yield from flush()
 
