@@ -7,9 +7,9 @@ document with a smaller doc_id. Windows are judged on the input.
    phrase; neighbouring windows mostly share it, and equal windows always have it at the same place.
    The windows of one phrase occurrence form a span; about 4 in 100 words start one. Each occurrence
    gives a row (document, phrase, digest of the span).
-2. *Confirm.* Grouped on the phrase's text and the digest (combined before the shuffle, so a phrase in
-   a third of all documents moves a row per task), recurring spans get the smallest document that has
-   them. If a later document has a whole span, all of it goes.
+2. *Confirm.* Grouped on a hash of the phrase (combined before the shuffle, so a phrase in a third of
+   all documents moves a row per task), phrases of one document only go; the others are grouped on
+   their text and the span's digest, and recurring spans get the smallest document that has them. If a later document has a whole span, all of it goes.
 3. *Automata.* A document's recurring phrases are joined to it; each batch of documents is a shard:
    its phrases are compiled into an Aho-Corasick automaton, through which its documents stream; the
    occurrences found there are extended to their spans.
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import batch_of, discard, materialize, run_indices
+from codeweave.llm.common import batch_of, discard, materialize, release, run_indices
 
 WINDOW = 50
 PHRASE = 6
@@ -154,11 +154,25 @@ def phrases(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(work, "doc_id long, phrase binary, span long")
 
 
-def confirmed(found: DataFrame) -> DataFrame:
-    """(phrase, span, first, edge): spans that matter: recurring ones, and the different spans of a phrase that several documents have."""
-    spans = found.groupBy("phrase", "span").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    whole = spans.groupBy("phrase").agg(F.min("first").alias("least"), F.max("last").alias("most"), F.count("*").alias("n")).where("least < most")
-    return spans.join(whole, "phrase").select("phrase", "span", "first", "last", (F.col("n") > 1).alias("edge")).where("edge OR first < last")
+def recurring(found: DataFrame) -> DataFrame:
+    """The rows of ``found`` whose phrase several documents have; ``edge``: in different spans.
+
+    Grouped on a 64-bit hash of the phrase, which can only let rows through that the text rules out later.
+    """
+    keyed = found.withColumn("key", F.xxhash64("phrase"))
+    shared = keyed.groupBy("key").agg(*(f(c).alias(f"{n}_{c}") for c in ("doc_id", "span") for n, f in (("min", F.min), ("max", F.max))))
+    shared = shared.where("min_doc_id < max_doc_id").select("key", (F.col("min_span") != F.col("max_span")).alias("edge"))
+    return keyed.join(shared, "key").select("doc_id", "phrase", "span", "edge").distinct()
+
+
+def confirmed(rows: DataFrame) -> DataFrame:
+    """(doc_id, phrases): each document's phrases with the first document of their span, by the phrase's text.
+
+    Spans that one document alone has matter at edges only.
+    """
+    spans = rows.groupBy("phrase", "span").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    known = rows.join(spans, ["phrase", "span"]).where("edge OR first < doc_id")
+    return known.groupBy("doc_id").agg(F.collect_list(F.struct("phrase", "span", "first", "edge")).alias("phrases"))
 
 
 LOCATED_DDL = "doc_id long, text_key long, ranges array<struct<low:int,high:int>>, edges array<struct<a:long,b:long,at:int>>"
@@ -240,16 +254,12 @@ def covered(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, ranges): the word ranges to remove, for each document that loses words."""
     spark = docs.sparkSession
     found = materialize(phrases(docs))
-    spans = confirmed(found)
-    known = (
-        found.join(spans, ["phrase", "span"])
-        .where("first < doc_id OR edge")
-        .distinct()
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("phrase", "span", "first", "edge")).alias("phrases"))
-    )
-    located = materialize(locate(docs, known))
+    rows = materialize(recurring(found))
     discard(spark, found)
+    release(spark)
+    located = materialize(locate(docs, confirmed(rows)))
+    discard(spark, rows)
+    release(spark)
     at_edges = located.select("doc_id", "text_key", F.explode("edges").alias("e")).select("doc_id", "text_key", "e.*")
     owned = at_edges.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "b", "first")
     late = at_edges.join(owned, ["a", "b"]).where("first < doc_id")
