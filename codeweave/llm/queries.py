@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from codeweave.llm import bpe, chat, exact_dedup, packing, quality, simhash, substring_dedup, topk, toxicity
+from codeweave.llm import bpe, chat, exact_dedup, licenses, packing, quality, simhash, substring_dedup, topk, toxicity
 from codeweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality": op8_quality,
     "op9_topk": op9_topk,
+    "op10_licenses": op10_licenses,
 }
 
 #: The control strings of the chat template, as a pattern for SQL.
