@@ -4,8 +4,8 @@ The index has two levels of Parquet tables. *Memtable flush*: every input partit
 (digest, doc_id) entries as one run, sorted by digest, with a Bloom filter on the digest in every
 file. *Compaction*: runs are merged per digest into (digest, keep_id, copies); Spark combines each
 run's entries before the shuffle, so a digest that a third of all rows share moves a row per run.
-*Verification*: texts whose digest has several entries (the hits) are compared byte by byte with the
-text of the row that stays; a text that differs under an equal digest is grouped by its own bytes.
+*Verification*: the texts under a digest with several entries (the hits) are compared byte by byte; where
+they differ they are grouped by their own bytes.
 
 The smallest-identifier rule of the index is a parameter: ``keep="first"`` keeps the smallest
 doc_id, ``keep="last"`` the largest.
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import ascii_lower, materialize, scratch_dir
+from codeweave.llm.common import ascii_lower, materialize, release, scratch_dir
 
 BLOOM_ITEMS = 1 << 20
 
@@ -48,34 +48,39 @@ def compact(runs: DataFrame, keep: str = "last") -> DataFrame:
     return runs.groupBy("digest").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("copies"))
 
 
+def verify(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(digest, same): whether all texts under a digest with several entries have the same bytes.
+
+    They have if their smallest and their largest are equal; each task reduces its texts to these two
+    first (the key of the aggregation is not that of the join, so the join may split a hot digest).
+    """
+    texts = normalised(docs).select("norm", F.unhex(F.sha2("norm", 256)).alias("digest"))
+    per_key = texts.join(hits.select("digest"), "digest").groupBy(F.hex("digest").alias("key")).agg((F.min("norm") == F.max("norm")).alias("same"))
+    return per_key.select(F.unhex("key").alias("digest"), "same")
+
+
 def groups(docs: DataFrame, keep: str = "last") -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
     runs = flush_runs(docs)
     level1 = materialize(compact(runs, keep))
-    pick = F.max if keep == "last" else F.min
-    hits = level1.where("copies > 1")
-
-    # rows alone under their digest are settled by the index
-    members = runs.join(level1, "digest")
-    single = members.where("copies = 1").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+    differ = materialize(verify(docs, level1.where("copies > 1")).where("NOT same").select("digest"))
+    release(docs.sparkSession)
+    entries = runs.join(level1, "digest")
+    if not differ.isEmpty():  # texts that only share a digest are grouped by their own bytes
+        entries = entries.join(differ, "digest", "left_anti").unionByName(_by_bytes(docs, differ, keep))
+    return entries.select(
+        "doc_id",
+        "keep_id",
+        F.col("copies").alias("group_size"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
-    # hits are verified on their bytes against the text of the row that stays
-    texts = normalised(docs).withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    suspects = texts.join(hits, "digest")
-    standing = suspects.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("kept_norm"))
-    verified = materialize(
-        suspects.join(standing, "digest").select(
-            "doc_id", "digest", F.when(F.col("norm") == F.col("kept_norm"), F.lit(None).cast("string")).otherwise(F.col("norm")).alias("other")
-        )
-    )
-    classes = verified.groupBy("digest", "other").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    v, c = verified.alias("v"), classes.alias("c")
-    several = v.join(c, (F.col("v.digest") == F.col("c.digest")) & F.col("v.other").eqNullSafe(F.col("c.other"))).select(
-        "v.doc_id", "c.keep_id", "c.group_size", F.col("v.doc_id").eqNullSafe(F.col("c.keep_id")).alias("kept"), F.lower(F.hex("v.digest")).alias("text_sha256")
-    )
-    return single.unionByName(several)
+
+def _by_bytes(docs: DataFrame, digests: DataFrame, keep: str) -> DataFrame:
+    pick = F.max if keep == "last" else F.min
+    rows = normalised(docs).withColumn("digest", F.unhex(F.sha2("norm", 256))).join(digests, "digest")
+    return rows.join(rows.groupBy("norm").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("copies")), "norm").select("digest", "doc_id", "keep_id", "copies")
 
 
 def deduplicate(docs: DataFrame, keep: str = "last") -> DataFrame:
