@@ -1,65 +1,23 @@
-"""What the operators share: reading tables, the shared scratch folder, and Arrow helpers."""
+"""What the operators share: reading tables, written intermediates, and Arrow helpers."""
 
 from __future__ import annotations
 
-import atexit
-import gc
 import re
-import shutil
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+from codeweave.plans.scratch import discard, materialize, release, scratch_dir  # noqa: F401
 
-_local_scratch: list[str] = []
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``).
-
-    Only where that setting is absent (tests on one machine) a local temporary folder is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not _local_scratch:
-            _local_scratch.append(tempfile.mkdtemp(prefix="codeweave-"))
-            atexit.register(shutil.rmtree, _local_scratch[0], ignore_errors=True)
-        base = f"file://{_local_scratch[0]}"
-    return f"{base.rstrip('/')}/codeweave/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = path or scratch_dir(spark)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are over: it does so when the driver's JVM has collected their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a materialised intermediate that nothing reads any more."""
-    for file in df.inputFiles()[:1]:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "/codeweave/" in path.toString():
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; pure ASCII rows take the fast built-in."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

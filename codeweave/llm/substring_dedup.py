@@ -161,8 +161,9 @@ def recurring(found: DataFrame) -> DataFrame:
     """
     keyed = found.withColumn("key", F.xxhash64("phrase"))
     shared = keyed.groupBy("key").agg(*(f(c).alias(f"{n}_{c}") for c in ("doc_id", "span") for n, f in (("min", F.min), ("max", F.max))))
-    shared = shared.where("min_doc_id < max_doc_id").select("key", (F.col("min_span") != F.col("max_span")).alias("edge"))
-    return keyed.join(shared, "key").select("doc_id", "phrase", "span", "edge").distinct()
+    # written, so that the join reads a table on either side and can split a hot phrase
+    shared = materialize(shared.where("min_doc_id < max_doc_id").select("key", (F.col("min_span") != F.col("max_span")).alias("edge")))
+    return keyed.join(shared, "key").select("doc_id", "phrase", "span", "edge")
 
 
 def confirmed(rows: DataFrame) -> DataFrame:
@@ -170,9 +171,9 @@ def confirmed(rows: DataFrame) -> DataFrame:
 
     Spans that one document alone has matter at edges only.
     """
-    spans = rows.groupBy("phrase", "span").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    spans = materialize(rows.groupBy("phrase", "span").agg(F.min("doc_id").alias("first")))
     known = rows.join(spans, ["phrase", "span"]).where("edge OR first < doc_id")
-    return known.groupBy("doc_id").agg(F.collect_list(F.struct("phrase", "span", "first", "edge")).alias("phrases"))
+    return known.groupBy("doc_id").agg(F.collect_set(F.struct("phrase", "span", "first", "edge")).alias("phrases"))
 
 
 LOCATED_DDL = "doc_id long, text_key long, ranges array<struct<low:int,high:int>>, edges array<struct<a:long,b:long,at:int>>"
