@@ -95,7 +95,8 @@ class Compiler:
     def node(self) -> tuple[str, DataFrame]:
         self.expect("(")
         kind, v = self.t[self.i]
-        name = self.word() if kind == "word" else f"_{(self.anonymous := self.anonymous + 1)}"
+        self.anonymous += 1
+        name = self.word() if kind == "word" else f"_{self.anonymous}"
         label = self.word() if self.accept(":") else "Symbol"
         if label not in ("File", "Symbol"):
             raise CypherError(f"no label {label}")

@@ -43,7 +43,8 @@ def dispatch(events: DataFrame, root: str) -> DataFrame:
 def debounce(events: DataFrame, gap: str = GAP, delay: str | None = None) -> DataFrame:
     """(first_event, last_event, n_events, reason) of each burst of events (ts, head)."""
     rows = events.withWatermark("ts", delay) if delay is not None else events
-    burst = rows.groupBy(F.session_window("ts", gap)).agg(
+    # streams need a key beside the window; this one is the same for every row
+    burst = rows.groupBy(F.session_window("ts", gap), F.col("ts").isNull().alias("none")).agg(
         F.min("ts").alias("first_event"), F.max("ts").alias("last_event"), F.count("*").alias("n_events"), F.max("head").alias("head")
     )
     reason = F.when(F.col("head"), "branch switched").otherwise("files changed")
