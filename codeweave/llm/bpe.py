@@ -24,10 +24,10 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from codeweave.llm.common import batch_of, run_indices, space_units, texts_of
+from codeweave.llm.common import batch_of, begin, cleaners, run_indices, space_units, texts_of
 
-#: Most entries that a worker's memo holds before it starts anew, and most rows that are encoded at once.
-MEMO_ENTRIES = 1_200_000
+#: Most entries that a worker's memo holds before it keeps those of one batch only, and most rows that are encoded at once.
+MEMO_ENTRIES = 700_000
 ROWS = 4000
 
 #: A blank at the start, or after white space of any kind.
@@ -110,8 +110,8 @@ class Codec:
         bounds = bounds - bounds[0]
         codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
         memo = self._memo
-        if len(memo) > self._most:
-            memo.clear()
+        if len(memo) > self._most:  # frequent words are in every batch
+            self._memo = memo = {w: memo[w] for w in words if w in memo}
         self._fill([w for w in words if w not in memo])
         pieces = list(map(memo.__getitem__, words))
         # the first word of a text follows no blank, and texts with runs of white space are encoded by other cuts
@@ -163,6 +163,8 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+cleaners.append(codec.cache_clear)
+
 ENCODED = pa.schema(
     [("doc_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("char_start", pa.list_(pa.int64())), ("char_end", pa.list_(pa.int64()))]
 )
@@ -172,6 +174,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, and for each id the first and last+1 character of the text that it touches."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe")
         c = codec(path)
         for b in batches:
             for doc_id, text, rows in c.encoded(b):
@@ -185,6 +188,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and the decoded text of ``ids``; null ids give an empty text, bytes that are no UTF-8 a replacement character."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe")
         c = codec(path)
         for b in batches:
             ids = [np.array(i or [], np.int64) for i in b.column("ids").to_pylist()]
@@ -198,6 +202,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe")
         c, sha = codec(path), hashlib.sha256
         for b in batches:
             for doc_id, _, rows in c.encoded(b):

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import batch_of, run_indices
+from codeweave.llm.common import batch_of, begin, run_indices
 
 _CONTROL = r"([\[<])(\\*)(/?INST\]|/?s>|</?SYS>>|ROLE |/ROLE\])"
 _UNDO = re.compile(r"([\[<])\\(\\*)(/?INST\]|/?s>|</?SYS>>|ROLE |/ROLE\])")
@@ -100,6 +100,7 @@ FRAGMENT_DDL = "conv_id long, part long, n_turns long, formatted string, loss ar
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Formatted text of each conversation's turns in a batch; ``part`` orders the fragments of a conversation."""
+    begin("chat")
     first = TaskContext.get().partitionId() << 40
     for number, b in enumerate(batches):
         if not b.num_rows:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
+_tenant: list[str] = []
+#: What frees the memory that an operator keeps in a worker between tasks.
+cleaners: list[Callable[[], None]] = []
+
+
+def begin(operator: str) -> None:
+    """Called by a Python task as it starts. Workers are reused: if another operator was here before, its memory goes back."""
+    if _tenant and _tenant[0] != operator:
+        for clean in cleaners:
+            clean()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+    _tenant[:] = [operator]
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema

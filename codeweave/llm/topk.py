@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import batch_of
+from codeweave.llm.common import batch_of, begin
 
 #: Shares of each list that are read before the bounds are looked at again; the last reads all.
 DEPTHS = (0.25, 0.5, 1.0)
@@ -100,6 +100,7 @@ def _search(candidates: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k
     shared = candidates.sparkSession.sparkContext.broadcast((query_ids, queries))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("topk")
         of_query, q = shared.value
         best = Best(len(q), k)
         for b in batches:

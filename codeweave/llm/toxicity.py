@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import batch_of, held_out
+from codeweave.llm.common import batch_of, begin, held_out
 from codeweave.llm.labelled import logistic, probability, training_rows
 
 WORD = re.compile(r"[^\W_]+")
@@ -131,6 +131,7 @@ def _counts(rows: DataFrame) -> DataFrame:
     schema = pa.schema([("token", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         for b in batches:
             found: dict[str, list[int]] = {}
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
@@ -170,6 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, features: int =
 
     # every training row, scored without its own counts: its segment maximum, length and token scores
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         schema = pa.schema([("y", pa.int32()), ("n", pa.int64()), ("best", pa.float64()), ("values", pa.list_(pa.float64())), ("times", pa.list_(pa.int64()))])
         for b in batches:
             out = []
@@ -203,6 +205,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         scorer = Scorer(model)
         for b in batches:
             x = []
@@ -220,6 +223,7 @@ def passages(docs: DataFrame, model: Model, expectation: float = 0.01) -> DataFr
     schema = pa.schema([("doc_id", pa.int64()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("segment_score", pa.float64()), ("expectation", pa.float64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         scorer = Scorer(model)
         for b in batches:
             out = []
@@ -240,6 +244,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
     @F.pandas_udf("double")
     def strength(text):  # noqa: ANN001
         if not shared:
+            begin("toxicity")
             shared.append(Scorer(model))
         out = []
         for t in text:
