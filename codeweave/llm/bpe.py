@@ -24,10 +24,10 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from codeweave.llm.common import batch_of, begin, cleaners, run_indices, space_units, texts_of
+from codeweave.llm.common import batch_of, cleaners, run_indices, space_units, task, texts_of
 
 #: Most entries that a worker's memo holds before it keeps those of one batch only, and most rows that are encoded at once.
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 1_000_000
 ROWS = 4000
 
 #: A blank at the start, or after white space of any kind.
@@ -173,8 +173,8 @@ ENCODED = pa.schema(
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, and for each id the first and last+1 character of the text that it touches."""
 
+    @task("bpe")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("bpe")
         c = codec(path)
         for b in batches:
             for doc_id, text, rows in c.encoded(b):
@@ -187,8 +187,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and the decoded text of ``ids``; null ids give an empty text, bytes that are no UTF-8 a replacement character."""
 
+    @task("bpe")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("bpe")
         c = codec(path)
         for b in batches:
             ids = [np.array(i or [], np.int64) for i in b.column("ids").to_pylist()]
@@ -201,8 +201,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text: encoded, and decoded from those ids."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
+    @task("bpe")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("bpe")
         c, sha = codec(path), hashlib.sha256
         for b in batches:
             for doc_id, _, rows in c.encoded(b):

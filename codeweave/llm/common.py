@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +36,41 @@ _tenant: list[str] = []
 cleaners: list[Callable[[], None]] = []
 
 
+def _trim() -> None:
+    """Freed memory goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def begin(operator: str) -> None:
-    """Called by a Python task as it starts. Workers are reused: if another operator was here before, its memory goes back."""
+    """Called by a Python task as it starts. Workers are reused: what another operator kept in this one goes."""
     if _tenant and _tenant[0] != operator:
         for clean in cleaners:
             clean()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        _trim()
     _tenant[:] = [operator]
 
 
+def task(operator: str) -> Callable:
+    """For functions over Arrow batches: tidies the worker before the first batch and after the last."""
+
+    def wrap(f: Callable) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begin(operator)
+            try:
+                yield from f(batches)
+            finally:
+                _trim()
+
+        return run
+
+    return wrap
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema

@@ -25,7 +25,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codeweave.llm.common import batch_of, begin
+from codeweave.llm.common import batch_of, task
 
 GRAM = 3
 WINNOW = 3
@@ -165,8 +165,8 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
     """doc_id, license, coverage, char_start and char_end of every template found in ``docs``."""
     items = tuple((templates or TEMPLATES).items())
 
+    @task("licenses")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("licenses")
         index = _index(items)
         for b in batches:
             rows = [(d, *m) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")) for m in scan(t.as_py() or "", index, coverage)]

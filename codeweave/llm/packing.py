@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from codeweave.llm.bpe import codec
-from codeweave.llm.common import batch_of, begin
+from codeweave.llm.common import batch_of, task
 
 WINDOW = 1024
 
@@ -125,8 +125,8 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool = True, max_open: int = 4096) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids as bytes."""
 
+    @task("bpe")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("bpe")
         c = codec(tokenizer)
         packer = Packer(window, TaskContext.get().partitionId() << 36, max_open)
 

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import batch_of, begin, held_out
+from codeweave.llm.common import batch_of, held_out, task
 from codeweave.llm.labelled import logistic, probability, training_rows
 
 LEVEL = 3
@@ -83,8 +83,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8000, piece: int = 1000,
     texts = {y: [r["text"].encode() for r in picked if (r["y"] == 1) == y] for y in (True, False)}
     good, bad = (_dictionary(texts[y], dictionary_size) for y in (True, False))
 
+    @task("quality")
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("quality")
         schema = pa.schema([("y", pa.int32()), ("x", pa.float64())])
         for b in batches:
             yield batch_of(schema, b.column("y"), [difference(t, good, bad, piece) for t in b.column("text").to_pylist()])
@@ -107,8 +107,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
+    @task("quality")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("quality")
         for b in batches:
             x = np.array([difference(t.as_py() or "", model.good, model.bad, model.piece) for t in b.column("text")], float)
             yield batch_of(schema, b.column("doc_id"), probability(np.array(model.weights), x[:, None]))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import batch_of, begin, discard, materialize
+from codeweave.llm.common import batch_of, discard, materialize, task
 from codeweave.llm.components import components
 
 RADIUS = 3
@@ -79,8 +79,8 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp long) of every document."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
+    @task("simhash")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("simhash")
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import batch_of, begin, discard, materialize, release, run_indices
+from codeweave.llm.common import batch_of, discard, materialize, release, run_indices, task
 
 WINDOW = 50
 PHRASE = 6
@@ -142,8 +142,8 @@ PHRASES = pa.schema([("doc_id", pa.int64()), ("phrase", pa.binary()), ("span", p
 def phrases(docs: DataFrame) -> DataFrame:
     """(doc_id, phrase, span): one row per phrase occurrence."""
 
+    @task("substring_dedup")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("substring_dedup")
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
@@ -212,8 +212,8 @@ def locate(docs: DataFrame, known: DataFrame) -> DataFrame:
     ``docs``: doc_id, text, text_key; ``known``: doc_id, phrases array<struct<phrase, span, first, edge>>.
     """
 
+    @task("substring_dedup")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("substring_dedup")
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 part = b.slice(i, 200)
@@ -292,8 +292,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     joined = keyed.join(gone, ["doc_id", "text_key"], "left")
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), *KEPT])
 
+    @task("substring_dedup")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("substring_dedup")
         for b in batches:
             rows = [_kept(t.as_py(), r) for t, r in zip(b.column("text"), b.column("ranges").to_pylist())]
             yield batch_of(schema, b.column("doc_id"), b.column("text_key"), *(zip(*rows) if rows else ([], [], [])))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import batch_of, begin
+from codeweave.llm.common import batch_of, task
 
 #: Shares of each list that are read before the bounds are looked at again; the last reads all.
 DEPTHS = (0.25, 0.5, 1.0)
@@ -74,7 +74,7 @@ def read_block(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, id
         bound = best.score[alive, -1]
         if n >= k:
             bound = np.maximum(bound, np.partition(lower, n - k, axis=1)[:, n - k])
-        open_ = upper >= bound[:, None]
+        open_ = (upper >= bound[:, None]) & ~own[alive]
         left = open_.sum(axis=1)
         few = left <= max(4 * k, n // 16)  # outsiders cannot qualify; the rest is resolved
         for q in np.flatnonzero(few).tolist():
@@ -99,8 +99,8 @@ RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score",
 def _search(candidates: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
     shared = candidates.sparkSession.sparkContext.broadcast((query_ids, queries))
 
+    @task("topk")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("topk")
         of_query, q = shared.value
         best = Best(len(q), k)
         for b in batches:

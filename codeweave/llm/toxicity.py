@@ -10,7 +10,8 @@ and every other token costs a fixed amount (``drift``).
 *Calibration.* Scores of the best segment in clean text follow an extreme-value law: a segment of score
 S in n words has the expectation E = K n exp(-lambda S). lambda solves the usual equation on the token
 scores of clean training text, K is fitted to its maxima; training rows are scored without their own
-counts. The score is a logistic function of ln(1 - ln E) of the best segment.
+counts. The best segments of different texts, up to ten, are judged together by their sum statistic P; the
+score is a logistic function of ln(1 - ln P).
 
 Training takes a bounded sample: at most ``most`` labelled rows, chosen by a hash of the id, and at most
 ``features`` tokens. Scoring covers every row and whole texts; only the text is an input.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import batch_of, begin, held_out
+from codeweave.llm.common import batch_of, begin, held_out, task
 from codeweave.llm.labelled import logistic, probability, training_rows
 
 WORD = re.compile(r"[^\W_]+")
@@ -40,6 +41,8 @@ PREFIXES = (4, 5, 6)
 #: A word that training hasn't seen takes its prefix's log-odds only where the prefix is toxic in this share.
 STEM_SHARE = 0.95
 MEMO_ENTRIES = 400_000
+#: Most segments of a text that are judged together.
+TOGETHER = 10
 
 
 def features_of(word: str) -> list[str]:
@@ -79,8 +82,20 @@ class Model:
         """ln of the number of segments with this score or more that n clean words have by chance."""
         return math.log(self.scale * max(n, 1)) - self.rate * score
 
-    def strength(self, segments: list[tuple[int, int, float]], n: int) -> float:
-        return math.log1p(max([0.0, *(-self.log_expectation(s, n) for _, _, s in segments)]))
+    def strength(self, scores: list[float], n: int) -> float:
+        """How unlikely in clean text the best r of these segment scores (largest first) are together, for the best r.
+
+        With t the sum of the r normalised scores, P = exp(-t) t^(r-1) / (r! (r-1)!), the sum statistic of
+        Karlin and Altschul.
+        """
+        t, best = 0.0, 0.0
+        for r, s in enumerate(scores, 1):
+            u = -self.log_expectation(s, n)
+            if u <= 0:
+                break
+            t += u
+            best = max(best, t - (r - 1) * math.log(t) + math.lgamma(r + 1) + math.lgamma(r))
+        return math.log1p(best)
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -106,6 +121,23 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(f, e, a - b) for b, a, f, e in kept]
 
 
+def without_repeats(words: list[str], scores: np.ndarray, drift: float) -> np.ndarray:
+    """A word adds to the score of a text at its first two places; at others it costs what any word does."""
+    seen: dict[str, int] = {}
+    for i in np.flatnonzero(scores > 0).tolist():
+        seen[words[i]] = times = seen.get(words[i], 0) + 1
+        if times > 2:
+            scores[i] = -drift
+    return scores
+
+
+def top_scores(words: list[str], scores: np.ndarray, drift: float) -> list[float]:
+    """The largest scores of segments with different texts, largest first: a repeated line counts once."""
+    scores = without_repeats(words, scores, drift)
+    found = {tuple(words[f:e]): s for f, e, s in maximal_segments(scores)}
+    return sorted(found.values(), reverse=True)[:TOGETHER]
+
+
 class Scorer:
     """A worker's memo of word scores."""
 
@@ -130,8 +162,8 @@ def _counts(rows: DataFrame) -> DataFrame:
     """(token, clean, toxic): documents of each class with the token."""
     schema = pa.schema([("token", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())])
 
+    @task("toxicity")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("toxicity")
         for b in batches:
             found: dict[str, list[int]] = {}
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
@@ -170,9 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, features: int =
     plain = Model(counts, clean, toxic)
 
     # every training row, scored without its own counts: its segment maximum, length and token scores
+    @task("toxicity")
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("toxicity")
-        schema = pa.schema([("y", pa.int32()), ("n", pa.int64()), ("best", pa.float64()), ("values", pa.list_(pa.float64())), ("times", pa.list_(pa.int64()))])
+        schema = pa.schema([("y", pa.int32()), ("n", pa.int64()), ("tops", pa.list_(pa.float64())), ("values", pa.list_(pa.float64())), ("times", pa.list_(pa.int64()))])
         for b in batches:
             out = []
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
@@ -180,12 +212,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, features: int =
                 own = {w: plain.word_score(w, int(y == 1)) for w in set(words)}
                 s = np.fromiter(map(own.__getitem__, words), float, len(words))
                 values, times = np.unique(np.round(s, 1), return_counts=True)
-                out.append((y, len(words), max([0.0, *(x[2] for x in maximal_segments(s))]), values.tolist(), times.tolist()))
+                out.append((y, len(words), top_scores(words, s, plain.drift), values.tolist(), times.tolist()))
             yield batch_of(schema, *(zip(*out) if out else ([],) * 5))
 
-    seen = rows.select("text", "y").mapInArrow(measure, "y int, n long, best double, values array<double>, times array<long>").toArrow()
+    seen = rows.select("text", "y").mapInArrow(measure, "y int, n long, tops array<double>, values array<double>, times array<long>").toArrow()
     y = seen.column("y").to_numpy() == 1
-    n, best = np.maximum(seen.column("n").to_numpy(), 1), seen.column("best").to_numpy()
+    n, tops = np.maximum(seen.column("n").to_numpy(), 1), seen.column("tops").to_pylist()
+    best = np.array([max(t, default=0.0) for t in tops])
     tally: dict[float, int] = {}
     for is_toxic, values, times in zip(y.tolist(), seen.column("values").to_pylist(), seen.column("times").to_pylist()):
         if not is_toxic:
@@ -194,9 +227,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, features: int =
     rate = _rate(np.array(sorted(tally)), np.array([tally[k] for k in sorted(tally)], float)) if tally else 1.0
     scale = max(float((~y).sum() / (n[~y] * np.exp(-rate * best[~y])).sum()), 1e-9)
     law = Model(counts, clean, toxic, rate=rate, scale=scale)
-    x = np.array([law.strength([(0, 0, s)], k) if s > 0 else 0.0 for s, k in zip(best.tolist(), n.tolist())])
+    x = np.array([law.strength(t, k) for t, k in zip(tops, n.tolist())])
     order = np.lexsort((y, x))
-    w = logistic(x[order, None], y[order].astype(float), ridge=1e-4)
+    w = logistic(x[order, None], y[order].astype(float), ridge=1e-6)
     return Model(counts, clean, toxic, rate=rate, scale=scale, weights=(float(w[0]), float(max(w[1], 0.0))))
 
 
@@ -204,14 +237,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
+    @task("toxicity")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("toxicity")
         scorer = Scorer(model)
         for b in batches:
             x = []
             for text in b.column("text"):
                 words = WORD.findall((text.as_py() or "").lower())
-                x.append(model.strength(maximal_segments(scorer.scores(words)), len(words)))
+                x.append(model.strength(top_scores(words, scorer.scores(words), model.drift), len(words)))
             yield batch_of(schema, b.column("doc_id"), probability(np.array(model.weights), np.array(x, float)[:, None]))
 
     out = docs.select("doc_id", "text").mapInArrow(work, "doc_id long, score double")
@@ -222,8 +255,8 @@ def passages(docs: DataFrame, model: Model, expectation: float = 0.01) -> DataFr
     """Every significant passage: doc_id, first and last+1 character, its score and its expectation in clean text."""
     schema = pa.schema([("doc_id", pa.int64()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("segment_score", pa.float64()), ("expectation", pa.float64())])
 
+    @task("toxicity")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("toxicity")
         scorer = Scorer(model)
         for b in batches:
             out = []
@@ -249,7 +282,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
         out = []
         for t in text:
             words = WORD.findall((t or "").lower())
-            out.append(model.strength(maximal_segments(shared[0].scores(words)), len(words)))
+            out.append(model.strength(top_scores(words, shared[0].scores(words), model.drift), len(words)))
         return text.__class__(probability(np.array(model.weights), np.array(out, float)[:, None]), dtype="float64")
 
     return docs.where(strength(F.coalesce("text", F.lit(""))) < threshold)
