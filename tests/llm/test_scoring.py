@@ -1,0 +1,101 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from codeweave.llm import quality, toxicity
+from codeweave.llm.labelled import logistic, probability
+from tests.llm.conftest import ODD
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+
+
+def brute_segments(scores):
+    """Ruzzo and Tompa by definition: the best segment, then the same on either side of it."""
+    if not len(scores):
+        return []
+    best = max(((sum(scores[i:j]), -(j - i), i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), key=lambda b: (round(b[0], 9), b[1]))
+    total, _, i, j = best
+    if total <= 0:
+        return []
+    return [*brute_segments(scores[:i]), (i, j, total), *[(a + j, b + j, s) for a, b, s in brute_segments(scores[j:])]]
+
+
+def test_segments_are_the_maximal_ones():
+    rng = random.Random(4)
+    for _ in range(300):
+        scores = [rng.choice([-3.1, -1.07, -0.53, 0.71, 1.13, 2.19]) for _ in range(rng.randrange(14))]
+        got = [(a, b, round(s, 6)) for a, b, s in toxicity.maximal_segments(np.array(scores))]
+        assert got == [(a, b, round(s, 6)) for a, b, s in brute_segments(scores)]
+
+
+def held_out_rates(scored, labels, label):
+    rows = scored.where("held_out").join(labels, "doc_id").where(f"{label} IS NOT NULL").select("doc_id", label, "predicted").collect()
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows)
+    right = [sum(r["predicted"] == y for r in rows if r[label] == y) / max(1, sum(r[label] == y for r in rows)) for y in (0, 1)]
+    return right
+
+
+def test_toxicity_on_held_out_rows(tables):
+    docs, labels = tables
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.score(docs, model).cache()
+    clean, toxic = held_out_rates(scored, labels, "toxic")
+    assert clean >= 0.99 and toxic >= 0.95
+    assert scored.where("NOT (score >= 0 AND score <= 1)").count() == 0 and scored.count() == docs.count()
+    kept = toxicity.without_toxic(docs, model)
+    assert kept.count() == scored.where("predicted = 0").count() and kept.columns == docs.columns
+    spans = toxicity.passages(docs, model).join(docs, "doc_id").limit(200).collect()
+    assert spans and all(0 <= r["char_start"] < r["char_end"] <= len(r["text"]) and r["expectation"] <= 0.01 for r in spans)
+
+
+def test_quality_on_held_out_rows(tables):
+    docs, labels = tables
+    scored = quality.score(docs, quality.fit(docs, labels)).cache()
+    bad, good = held_out_rates(scored, labels, "quality")
+    assert bad >= 0.93 and good >= 0.98
+    assert scored.where("NOT (score >= 0 AND score <= 1)").count() == 0 and scored.count() == docs.count()
+
+
+@pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
+def test_labels_are_no_input(spark, tables, module, label):
+    """Held-out labels change nothing, and neither does any column but the text."""
+    from pyspark.sql import functions as F
+
+    from codeweave.llm.common import held_out
+
+    docs, labels = tables
+    docs, labels = docs.where("doc_id < 1500"), labels.where("doc_id < 1500")
+    flipped = labels.withColumn(label, F.when(held_out(F.col("doc_id")), 1 - F.col(label)).otherwise(F.col(label)))
+    other = docs.withColumns({"lang": F.lit("x"), "source": F.lit("y")})
+    a = {r["doc_id"]: r["score"] for r in module.score(docs, module.fit(docs, labels)).collect()}
+    b = {r["doc_id"]: r["score"] for r in module.score(other, module.fit(other, flipped)).collect()}
+    assert a == b
+
+
+@pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
+def test_odd_tables(spark, odd, nothing, module, label):
+    labels = [(i, i % 2) for i in range(len(ODD))] + [(1, None), (None, 1), (3, 0)]
+    labels = spark.createDataFrame(labels, f"doc_id long, {label} int")
+    model = module.fit(odd, labels)
+    rows = module.score(odd, model).collect()
+    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
+    by_id = {r["doc_id"]: r["score"] for r in rows}
+    assert by_id[0] == by_id[1] and by_id[4] == by_id[5] == by_id[None]
+    assert module.score(nothing, model).count() == 0
+    for none in (labels.limit(0), labels.where(f"{label} = 1")):
+        rows = module.score(odd, module.fit(odd, none)).collect()
+        assert len({round(r["score"], 9) for r in rows}) == 1
+    assert module.score(nothing, module.fit(nothing, labels)).count() == 0
+
+
+def test_logistic_finds_a_boundary():
+    x = np.array([[-2.0], [-1], [-0.5], [0.5], [1], [2]])
+    w = logistic(x, np.array([0, 0, 0, 1, 1, 1.0]), ridge=1e-2)
+    assert probability(w, np.array([[-1.0]]))[0] < 0.5 < probability(w, np.array([[1.0]]))[0]
