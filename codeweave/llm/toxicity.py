@@ -5,7 +5,8 @@ against the base rate come from a Beta (two-class Dirichlet) posterior whose pri
 the next shorter prefix, so an unseen form of a known stem still scores; a standard error is taken off,
 and every other token costs a fixed amount (``drift``).
 
-*Segments.* A linear scan (Ruzzo and Tompa) finds all maximal scoring segments of the whole text.
+*Segments.* A linear scan (Ruzzo and Tompa) finds all maximal scoring segments of the whole text. Inside a
+segment a word adds at its first two places only; segments with the same text count once.
 
 *Calibration.* Scores of the best segment in clean text follow an extreme-value law: a segment of score
 S in n words has the expectation E = K n exp(-lambda S). lambda solves the usual equation on the token
@@ -122,8 +123,8 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def without_repeats(words: list[str], scores: np.ndarray, drift: float) -> np.ndarray:
-    """A word adds to the score of a text at its first two places; at others it costs what any word does."""
-    seen: dict[str, int] = {}
+    """Scores of a segment's words: a word adds at its first two places in it; at others it costs what any word does."""
+    scores, seen = scores.copy(), {}
     for i in np.flatnonzero(scores > 0).tolist():
         seen[words[i]] = times = seen.get(words[i], 0) + 1
         if times > 2:
@@ -132,9 +133,19 @@ def without_repeats(words: list[str], scores: np.ndarray, drift: float) -> np.nd
 
 
 def top_scores(words: list[str], scores: np.ndarray, drift: float) -> list[float]:
-    """The largest scores of segments with different texts, largest first: a repeated line counts once."""
-    scores = without_repeats(words, scores, drift)
-    found = {tuple(words[f:e]): s for f, e, s in maximal_segments(scores)}
+    """The largest scores of segments with different texts, largest first: a repeated line counts once.
+
+    Segments are those of the unaltered scores; a word's repeats are discounted inside one segment only, so what
+    a passage scores doesn't depend on the text before it.
+    """
+    found = {}
+    for f, e, s in maximal_segments(scores):
+        inside = words[f:e]
+        if len(inside) - len(set(inside)) < 2:  # no word three times
+            found[tuple(inside)] = s
+            continue
+        for a, b, part in maximal_segments(without_repeats(inside, scores[f:e], drift)):
+            found[tuple(inside[a:b])] = part
     return sorted(found.values(), reverse=True)[:TOGETHER]
 
 

@@ -35,6 +35,19 @@ def test_segments_are_the_maximal_ones():
         assert got == [(a, b, round(s, 6)) for a, b, s in brute_segments(scores)]
 
 
+def test_a_passage_scores_the_same_wherever_it_stands():
+    """Telling words that occurred before, scattered, don't hide a dense passage; a word said over and over does not add up."""
+    telling = [f"t{i}" for i in range(12)]
+    scores_of = lambda words: np.array([1.0 if w in telling else -0.5 for w in words])
+    passage = [w for t in telling for w in (t, "plain")]
+    before = [w for t in telling * 3 for w in [t, *["plain"] * 40]]
+    alone = toxicity.top_scores(passage, scores_of(passage), 0.5)
+    late = before + passage + ["plain"] * 100
+    assert toxicity.top_scores(late, scores_of(late), 0.5)[0] == alone[0] == 6.5
+    again = ["t0"] * 50
+    assert toxicity.top_scores(again, scores_of(again), 0.5) == [2.0]
+
+
 def held_out_rates(scored, labels, label):
     rows = scored.where("held_out").join(labels, "doc_id").where(f"{label} IS NOT NULL").select("doc_id", label, "predicted").collect()
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows)
