@@ -12,7 +12,7 @@ doc_id, ``keep="last"`` the largest.
 
 Defined cases: null text counts as empty (and equals an empty text); a null doc_id sorts before all
 others; rows repeated with the same doc_id are rows of the group, each returned, and each kept if the
-id stays; an empty table gives no rows; other columns of the input are ignored.
+id stays, but ``deduplicate`` leaves one of them; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -84,8 +84,15 @@ def _by_bytes(docs: DataFrame, digests: DataFrame, keep: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, keep: str = "last") -> DataFrame:
-    """``docs`` without the rows whose text another row that stays has; rows without an id are judged by their text alike."""
-    stays = groups(docs, keep).where("kept").select(F.col("doc_id").alias("_stay"), F.unhex("text_sha256").alias("_digest")).distinct()
+    """``docs`` with one row for each text: of rows with the id that stays, and of rows without an id if there are no others, one."""
+    kept_rows = groups(docs, keep).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("times"))
+    stays = materialize(kept_rows.select(F.col("doc_id").alias("_stay"), F.unhex("text_sha256").alias("_digest"), "times"))
     keyed = docs.withColumn("_digest_own", F.unhex(F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)))
-    kept = keyed.join(stays, keyed["doc_id"].eqNullSafe(stays["_stay"]) & (keyed["_digest_own"] == stays["_digest"]), "left_semi")
-    return kept.select(*docs.columns)
+
+    def of(keys: DataFrame) -> DataFrame:
+        return keyed.join(keys, keyed["doc_id"].eqNullSafe(keys["_stay"]) & (keyed["_digest_own"] == keys["_digest"]), "left_semi")
+
+    if stays.where("times > 1").isEmpty():
+        return of(stays).select(*docs.columns)
+    once = of(stays.where("times > 1")).dropDuplicates(["doc_id", "_digest_own"])
+    return of(stays.where("times = 1")).unionByName(once).select(*docs.columns)

@@ -46,6 +46,13 @@ def test_exact_deduplicate(odd, nothing):
     assert exact_dedup.deduplicate(nothing).count() == 0
 
 
+def test_exact_deduplicate_leaves_one_of_equal_rows(spark):
+    rows = [(3, "A b")] * 50 + [(1, "a b"), (None, "a b"), (None, "alone"), (None, "Alone"), (7, "c"), (7, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["text"].lower()) for r in exact_dedup.deduplicate(docs).collect()), key=str)
+    assert got == sorted([(3, "a b"), (None, "alone"), (7, "c"), (7, "d")], key=str)
+
+
 def brute_print(t, width=3):
     words = WORD.findall(lower(t))
     if not words:
