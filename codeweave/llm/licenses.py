@@ -57,7 +57,8 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "Unlicense": "This is free and unencumbered software released into the public domain",
-    "All-rights-reserved": "All rights reserved. No part of this publication may be reproduced",
+    "All-rights-reserved": "All rights reserved",
+    "All-rights-reserved-notice": "All rights reserved. No part of this publication may be reproduced",
 }
 
 _MASK = (1 << 61) - 1

@@ -110,3 +110,14 @@ def test_licenses_against_a_scan_for_each_template(spark):
     for name in ("MIT", "CC-BY-NC-4.0", "Apache-2.0", "GPL-3.0"):
         verbatim = {r["doc_id"] for r in docs.where(F.contains(F.lower("text"), F.lit(licenses.TEMPLATES[name].lower()))).collect()}
         assert verbatim and verbatim <= {d for d, n in found if n.startswith(name)}
+
+
+def test_the_bare_line_of_all_rights_reserved(spark):
+    """The short line is a template of its own; where the long notice stands, that is reported."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {r["doc_id"] for r in licenses.license_matches(docs).collect() if r["license"].startswith("All-rights-reserved")}
+    verbatim = {r["doc_id"] for r in docs.where(F.contains(F.lower("text"), F.lit("all rights reserved"))).collect()}
+    assert verbatim and verbatim <= found
+    texts = [(1, "Words. All rights reserved. More"), (2, licenses.TEMPLATES["All-rights-reserved-notice"]), (3, "all rights are reserved")]
+    got = [(r["doc_id"], r["license"]) for r in licenses.license_matches(spark.createDataFrame(texts, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(1, "All-rights-reserved"), (2, "All-rights-reserved-notice")]
