@@ -26,6 +26,12 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def fresh_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return [name for i in range(n + len(taken)) if (name := f"_own_{i}") not in taken][:n]
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the third of the rows that never trains anything; a null id trains nothing either."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))

@@ -2,39 +2,43 @@
 
 A fingerprint takes the majority bit of the XXH64 hashes of a text's word shingles. Two fingerprints
 link at up to 3 differing bits, so a middle value lies within 1 bit of one and 2 bits of the other.
-Each fingerprint emits the variants within its half of the radius: all 65 within 1 bit (near), and
-those 2 bits away whose bits lie in one 32-bit half (far, 992): of three differing bits two are in
-one half, so some middle value is always hit. After the shuffle on variants, a bucket with a near
-member links every other member to it (near-near differ in at most 2 bits, near-far in at most 3):
-a star, never all pairs, and at most 1,057 members by construction. Links are made distinct and
-verified on their bits.
-
-Before that, a narrower round of the same kind leaves out fingerprints that cannot link: with 3
-differing bits one 32-bit half differs in at most 1, so only those that share a half, or a half with
-one bit flipped, with another fingerprint go on to the full ball. Fingerprints are made distinct first, so copies never
-multiply.
+Every fingerprint that may link emits all variants within half the radius, rounded up: the 2,081 values
+up to 2 bits away. After the shuffle on variants, the smallest fingerprint of a bucket that is within 1
+bit of the variant is its centre, and the others are linked to it (they differ from it in at most 3
+bits): a star, never all pairs, over at most 2,081 members by construction. Two fingerprints that differ
+in up to 3 bits meet in a bucket that has a centre, so stars connect whatever links connect. Links are
+made distinct and verified on their bits.
+
+Which fingerprints may link is found first, without loss: with 64 bits in B blocks, 3 differing bits
+leave B - 3 blocks equal, so fingerprints that share no choice of B - 3 blocks with another one have no
+link, and emit no variants. B grows with the number of distinct fingerprints (:func:`blocks_for`), so
+that chance keeps few of the unlinked ones at any size. Fingerprints are made distinct first, so copies
+never multiply, and what is left is dealt out anew before variants are emitted.
 
 Defined cases: texts without words (null, empty, white space) have fingerprint 0, linked like any
 other; fewer words than a shingle count as one shingle; a null doc_id is fingerprinted and linked, and
 is never the smallest id unless its component has no other; equal rows give equal rows; an empty
-table gives no rows; other columns of the input are ignored.
+table gives no rows; other columns of the input are ignored. :func:`deduplicate` leaves one row of each
+component, also where ids repeat or are null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweave.llm.common import batch_of, discard, materialize, task
-from codeweave.llm.components import components
+from codeweave.llm.components import components, one_of_each, text_digest
 
 RADIUS = 3
-HALF = 32
+BITS = 64
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -76,17 +80,18 @@ def fingerprints_of(texts: list[str], width: int = 3, seed: int = 42) -> np.ndar
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long) of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, digest of the text, fp long) of every document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("fp", pa.int64())])
 
     @task("simhash")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
-                yield batch_of(schema, part.column("doc_id"), fingerprints_of([t or "" for t in part.column("text").to_pylist()], width, seed))
+                prints = fingerprints_of([t or "" for t in part.column("text").to_pylist()], width, seed)
+                yield batch_of(schema, part.column("doc_id"), part.column("digest"), prints)
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, fp long")
+    return docs.select("doc_id", text_digest(F.col("text")).alias("digest"), "text").mapInArrow(work, "doc_id long, digest binary, fp long")
 
 
 def _signed(x: int) -> int:
@@ -97,35 +102,63 @@ def _masks(values: list[int]) -> Column:
     return F.array(*[F.lit(_signed(v)).cast("long") for v in values])
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
-    """The fingerprints that share a half, up to one bit, with another one."""
-    flips = _masks([0, *(1 << i for i in range(HALF))])
-    halves = distinct.select("fp", F.explode(F.array(F.shiftrightunsigned("fp", HALF), F.col("fp").bitwiseAND(0xFFFFFFFF).bitwiseOR(1 << HALF))).alias("half"))
-    emitted = halves.select("fp", "half", F.explode(flips).alias("flip")).select("fp", F.col("half").bitwiseXOR(F.col("flip")).alias("key"), (F.col("flip") == 0).alias("own"))
-    shared = emitted.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 AND own").select("key")
-    return emitted.join(shared, "key", "left_semi").select("fp").distinct()
+def blocks_for(n: int) -> int:
+    """Blocks of which all but ``RADIUS`` are compared: so many that chance lets about one in 16 of ``n`` fingerprints through."""
+    for blocks in range(2 * RADIUS, BITS // 4):
+        kept = BITS * (blocks - RADIUS) // blocks
+        if n * comb(blocks, RADIUS) <= 1 << (kept - 4):
+            return blocks
+    return BITS // 4
+
+
+def block_masks(blocks: int) -> list[int]:
+    """The bits of every choice of ``blocks - RADIUS`` blocks."""
+    edge = [BITS * i // blocks for i in range(blocks + 1)]
+    one = [(1 << edge[i + 1]) - (1 << edge[i]) for i in range(blocks)]
+    return [sum(chosen) for chosen in combinations(one, blocks - RADIUS)]
+
+
+def candidates(distinct: DataFrame, blocks: int) -> DataFrame:
+    """The fingerprints that share all but ``RADIUS`` of their blocks with another one."""
+    emitted = distinct.select("fp", F.posexplode(_masks(block_masks(blocks))).alias("k", "mask")).select(
+        "fp", F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")), "k").alias("key")
+    )
+    shared = emitted.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("key")
+    # written, so that the join may read its size and split a hot key
+    return emitted.join(materialize(shared), "key", "left_semi").select("fp").distinct()
+
+
+def ball() -> list[int]:
+    """The bits that lead to every variant within half the radius."""
+    one = [1 << i for i in range(BITS)]
+    return [0, *one, *(a | b for a, b in combinations(one, 2))]
 
 
 def links(some: DataFrame) -> DataFrame:
     """Distinct verified links (u, v) that connect exactly what 3 or fewer differing bits connect."""
-    near = [0, *(1 << i for i in range(64))]
-    far = [1 << (h + i) | 1 << (h + j) for h in (0, HALF) for i in range(HALF) for j in range(i)]
-    ball = some.select("fp", F.posexplode(_masks(near + far)).alias("k", "mask")).select(
-        "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), F.when(F.col("k") < len(near), F.col("fp")).alias("near")
-    )
-    buckets = ball.groupBy("variant").agg(F.collect_list("fp").alias("members"), F.min("near").alias("centre")).where("centre IS NOT NULL AND size(members) > 1")
-    pairs = buckets.select(F.col("centre").alias("u"), F.explode("members").alias("v")).where("u <> v").distinct()
+    tasks = int(some.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few fingerprints make many variants: dealt out first, so that no task emits them all
+    variants = some.repartition(tasks, "fp").select("fp", F.explode(_masks(ball())).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    near = F.when(F.bit_count(F.col("fp").bitwiseXOR(F.col("variant"))) <= RADIUS // 2, F.col("fp"))
+    met = variants.repartition(tasks, "variant").select("fp", F.min(near).over(Window.partitionBy("variant")).alias("centre"))
+    pairs = met.where("fp <> centre").select(F.col("centre").alias("u"), F.col("fp").alias("v")).distinct()
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
 
 
+def _linked(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fp, least id) of every distinct fingerprint, and (u, root) of those that aren't the root of their component."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    some = materialize(candidates(distinct.select("fp"), blocks_for(distinct.count())))
+    roots = components(links(some))
+    discard(prints.sparkSession, some)
+    return distinct, roots
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links."""
     spark = docs.sparkSession
-    prints = materialize(fingerprints(docs, width, seed))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    some = materialize(candidates(distinct.select("fp")))
-    roots = components(links(some))
-    discard(spark, some)
+    prints = materialize(fingerprints(docs, width, seed).select("doc_id", "fp"))
+    distinct, roots = _linked(prints)
     rooted = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialize(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"))
     discard(spark, roots)
@@ -133,7 +166,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFram
 
 
 def deduplicate(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id; rows without an id stay."""
-    groups = near_duplicates(docs, width, seed)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+    """``docs`` with one row of each component (see :func:`codeweave.llm.components.one_of_each`)."""
+    prints = materialize(fingerprints(docs, width, seed))
+    _, roots = _linked(prints)
+    return one_of_each(docs, prints.withColumnRenamed("fp", "node"), roots)

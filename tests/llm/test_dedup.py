@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 import xxhash
 
 from codeweave.llm import components, exact_dedup, simhash, substring_dedup
@@ -92,7 +93,8 @@ def test_near_duplicates_on_documents(spark):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()} == expected
 
 
-def test_links_of_planted_fingerprints(spark):
+@pytest.mark.parametrize("blocks", [6, 9, 16])
+def test_links_of_planted_fingerprints(spark, blocks):
     """Chains and clusters at one, two, three and four bits, over both halves."""
     rng = random.Random(3)
     prints = []
@@ -106,7 +108,7 @@ def test_links_of_planted_fingerprints(spark):
     prints = sorted(set(prints))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
-    roots = {r["u"]: r["root"] for r in components.components(simhash.links(simhash.candidates(df))).collect()}
+    roots = {r["u"]: r["root"] for r in components.components(simhash.links(simhash.candidates(df, blocks))).collect()}
     mine = {}
     for p, s in zip(prints, signed):
         mine.setdefault(roots.get(s, s), set()).add(p)
@@ -116,6 +118,24 @@ def test_links_of_planted_fingerprints(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_blocks_grow_with_the_fingerprints():
+    sizes = [simhash.blocks_for(n) for n in (0, 10**6, 10**8, 10**10, 10**13)]
+    assert sizes == sorted(sizes) and sizes[0] == 6 < sizes[-1]
+    for blocks in set(sizes):
+        masks = simhash.block_masks(blocks)
+        assert all(any(not m & bits for m in masks) for bits in (1, 7, 1 | 1 << 31 | 1 << 63, 1 << 20 | 1 << 40 | 1 << 41))
+
+
+def test_simhash_deduplicate_with_repeated_ids(spark):
+    """One row of every text stays, though ids repeat; of equal rows one."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(3, a), (5, a), (5, b), (8, b), (3, a), (None, "alone text here"), (None, "alone text here")]
+    docs = spark.createDataFrame([(*r, "x", b"y") for r in rows], "doc_id long, text string, _own_0 string, digest binary").repartition(3)
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(3, a), (5, b), (None, "alone text here")], key=str)
+
+
 def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r["u"]: r["root"] for r in components.components(df).collect()}
