@@ -5,16 +5,19 @@ document with a smaller doc_id. Windows are judged on the input.
 
 1. *Phrases.* In each window the 6-word phrase with the smallest hash (the leftmost of equals) is its
    phrase; neighbouring windows mostly share it, and equal windows always have it at the same place.
-   The windows of one phrase occurrence form a span; about 4 in 100 words start one. Each occurrence
-   gives a row (document, phrase, digest of the span).
+   The windows of one phrase occurrence form a span; about 4 in 100 words start one. A scan gives, for each
+   occurrence, the document, the phrase, and the span: how far it reaches to either side of the phrase, and
+   the 128-bit digest of its text. It doesn't say where in the document that is.
 2. *Confirm.* Grouped on a hash of the phrase (combined before the shuffle, so a phrase in a third of
    all documents moves a row per task), phrases of one document only go; the others are grouped on
-   their text and the span's digest, and recurring spans get the smallest document that has them. If a later document has a whole span, all of it goes.
-3. *Automata.* A document's recurring phrases are joined to it; each batch of documents is a shard:
-   its phrases are compiled into an Aho-Corasick automaton, through which its documents stream; the
-   occurrences found there are extended to their spans.
+   their text and span, and a span gets the smallest document that has it. If a later document has it too,
+   the passage under it recurs, and goes from the later one.
+3. *Automata.* Confirmed phrases are joined to their documents; each batch of documents is a shard: its
+   phrases are compiled into an Aho-Corasick automaton, and all documents, with phrases or without, are
+   streamed through the automaton of their shard. The automaton says where phrases occur; around every
+   occurrence the text that a span would have there is digested and compared.
 4. *Edges.* Where a phrase has several spans (a passage begins or ends), the first document of each
-   span also gives its window digests (128 bits), at most 45 a span; grouped, they tell which of these
+   span also gives the digests of its windows, at most 45 a span; grouped, they tell which of these
    windows an earlier document has.
 
 All joins are on keys with one row on one side. Nothing is kept on the driver.
@@ -31,19 +34,23 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import batch_of, discard, materialize, release, run_indices, task
+from codeweave.llm.common import batch_of, discard, fresh_names, materialize, release, run_indices, task
 
 WINDOW = 50
 PHRASE = 6
+#: Documents whose phrases are compiled into one automaton.
+SHARD = 500
+_digest = xxhash.xxh3_128_digest
 
 _rng = np.random.default_rng(20_25)
 _BYTE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[0x20] = 0
 _STEP = _rng.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -75,16 +82,14 @@ class Words:
         if self.n:
             size = self.end - self.start
             place = run_indices(np.zeros(self.n, np.int64), size + 1)[: len(raw)]
-            powers = _powers(_BASES[0], int(size.max()) + 2)
+            powers = _powers(_BASE, int(size.max()) + 2)
             self.hash = _mix(np.add.reduceat(_BYTE[raw] * powers[place], self.start) + size.astype(np.uint64))
         else:
             self.hash = np.empty(0, np.uint64)
 
-    def phrase(self, at: int) -> bytes:
-        return self.blob[self.start[at] : self.end[at + PHRASE - 1]]
-
-    def digests(self, base: int) -> "Digests":
-        return Digests(self.hash, base)
+    def texts(self, first: np.ndarray, n: np.ndarray | int) -> list[bytes]:
+        """The text of ``n`` words from each of the places ``first``."""
+        return [self.blob[s:e] for s, e in zip(self.start[first].tolist(), self.end[first + n - 1].tolist())]
 
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each phrase occurrence: its document, its first word, and the first words of its first and last window."""
@@ -118,41 +123,25 @@ class Words:
         return of[new], at[new], window[new], window[last]
 
 
-class Digests:
-    """Digests of word ranges in constant time each."""
-
-    def __init__(self, hashes: np.ndarray, base: int):
-        n = len(hashes)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(hashes * _powers(base, n), dtype=np.uint64)))
-        self.back = _powers(pow(base, -1, 1 << 64), n + 1)
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.back[start])
-
-
-def span_digests(words: Words, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Digest of a span's words and of where its phrase and its windows lie in it."""
-    whole = words.digests(_BASES[0]).of(low, high + WINDOW)
-    return _mix(whole + ((at - low) * 64 + (high - low)).astype(np.uint64)).view(np.int64)
-
-
-PHRASES = pa.schema([("doc_id", pa.int64()), ("phrase", pa.binary()), ("span", pa.int64())])
+#: ``reach``: 64 times the words of a span before its phrase, plus its windows less one.
+PHRASES = pa.schema([("doc_id", pa.int64()), ("phrase", pa.binary()), ("reach", pa.int32()), ("span", pa.binary())])
 
 
 def phrases(docs: DataFrame) -> DataFrame:
-    """(doc_id, phrase, span): one row per phrase occurrence."""
+    """(doc_id, phrase, reach, span): one row per phrase occurrence, without its place."""
 
     @task("substring_dedup")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
+            for i in range(0, b.num_rows, SHARD):
+                part = b.slice(i, SHARD)
                 words = Words(part.column("text").to_pylist())
                 doc, at, low, high = words.spans()
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                yield batch_of(PHRASES, ids[doc].astype(np.int64), list(map(words.phrase, at.tolist())), span_digests(words, at, low, high))
+                reach = ((at - low) * 64 + (high - low)).astype(np.int32)
+                yield batch_of(PHRASES, ids[doc].astype(np.int64), words.texts(at, PHRASE), reach, list(map(_digest, words.texts(low, high - low + WINDOW))))
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(work, "doc_id long, phrase binary, span long")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(work, "doc_id long, phrase binary, reach int, span binary")
 
 
 def recurring(found: DataFrame) -> DataFrame:
@@ -160,11 +149,11 @@ def recurring(found: DataFrame) -> DataFrame:
 
     Grouped on a 64-bit hash of the phrase, which can only let rows through that the text rules out later.
     """
-    keyed = found.withColumn("key", F.xxhash64("phrase"))
-    shared = keyed.groupBy("key").agg(*(f(c).alias(f"{n}_{c}") for c in ("doc_id", "span") for n, f in (("min", F.min), ("max", F.max))))
+    keyed = found.withColumn("key", F.xxhash64("phrase")).withColumn("of_span", F.xxhash64("reach", "span"))
+    shared = keyed.groupBy("key").agg(*(f(c).alias(f"{n}_{c}") for c in ("doc_id", "of_span") for n, f in (("min", F.min), ("max", F.max))))
     # written, so that the join reads a table on either side and can split a hot phrase
-    shared = materialize(shared.where("min_doc_id < max_doc_id").select("key", (F.col("min_span") != F.col("max_span")).alias("edge")))
-    return keyed.join(shared, "key").select("doc_id", "phrase", "span", "edge")
+    shared = materialize(shared.where("min_doc_id < max_doc_id").select("key", (F.col("min_of_span") != F.col("max_of_span")).alias("edge")))
+    return keyed.join(shared, "key").select("doc_id", "phrase", "reach", "span", "edge")
 
 
 def confirmed(rows: DataFrame) -> DataFrame:
@@ -172,19 +161,21 @@ def confirmed(rows: DataFrame) -> DataFrame:
 
     Spans that one document alone has matter at edges only.
     """
-    spans = materialize(rows.groupBy("phrase", "span").agg(F.min("doc_id").alias("first")))
-    known = rows.join(spans, ["phrase", "span"]).where("edge OR first < doc_id")
-    return known.groupBy("doc_id").agg(F.collect_set(F.struct("phrase", "span", "first", "edge")).alias("phrases"))
+    span = ["phrase", "reach", "span"]
+    spans = materialize(rows.groupBy(*span).agg(F.min("doc_id").alias("first")))
+    known = rows.join(spans, span).where("edge OR first < doc_id")
+    return known.groupBy("doc_id").agg(F.collect_set(F.struct(*span, "first", "edge")).alias("phrases"))
 
 
-LOCATED_DDL = "doc_id long, text_key long, ranges array<struct<low:int,high:int>>, edges array<struct<a:long,b:long,at:int>>"
+LOCATED_DDL = "doc_id long, text_key long, ranges array<struct<low:int,high:int>>, edges array<binary>, places array<int>"
 _RANGE = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
-_EDGE = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("at", pa.int32())]))
-LOCATED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("ranges", _RANGE), ("edges", _EDGE)])
+LOCATED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("ranges", _RANGE), ("edges", pa.list_(pa.binary())), ("places", pa.list_(pa.int32()))])
 
 
-def compiled(patterns: set[bytes]) -> ahocorasick.Automaton:
+def compiled(patterns: set[bytes]) -> ahocorasick.Automaton | None:
     """The automaton of one shard; each phrase is framed by blanks, so that it only matches whole words."""
+    if not patterns:
+        return None
     automaton = ahocorasick.Automaton()
     for p in patterns:
         automaton.add_word(f" {p.decode('latin-1')} ", p)
@@ -192,64 +183,75 @@ def compiled(patterns: set[bytes]) -> ahocorasick.Automaton:
     return automaton
 
 
-def occurrences(automaton: ahocorasick.Automaton, words: Words, doc: int) -> dict[int, bytes]:
-    """Word number (in the batch) -> phrase, for every occurrence in the document."""
-    lo, n = words.first[doc], words.counts[doc]
-    if not n:
-        return {}
-    base = int(words.start[lo])
-    text = f" {words.blob[base : words.end[lo + n - 1]].decode('latin-1')} "
-    hits = [(end - len(p), p) for end, p in automaton.iter(text)]  # where the phrase begins, after its blank
-    if not hits:
-        return {}
-    numbers = np.searchsorted(words.start, np.array([h[0] - 1 + base for h in hits]))
-    return dict(zip(numbers.tolist(), (h[1] for h in hits)))
+def occurrences(automaton: ahocorasick.Automaton | None, text: bytes, starts: np.ndarray) -> list[tuple[int, bytes]]:
+    """(word number, phrase) of every occurrence in a text of words joined by blanks, which begin at ``starts``."""
+    if automaton is None or not text:
+        return []
+    hits = [(end - len(p) - 1, p) for end, p in automaton.iter(f" {text.decode('latin-1')} ")]
+    return list(zip(np.searchsorted(starts, np.array([h[0] for h in hits], np.int64)).tolist(), (h[1] for h in hits)))
+
+
+#: Of a phrase, by reach: the first documents of spans by digest, and whether the phrase has other spans.
+Known = dict[bytes, dict[int, dict[bytes, tuple[int, bool]]]]
+
+
+def _known(rows: list[dict] | None) -> Known:
+    out: Known = {}
+    for p in rows or ():
+        out.setdefault(p["phrase"], {}).setdefault(p["reach"], {})[p["span"]] = (p["first"], p["edge"])
+    return out
+
+
+def extended(hits: list[tuple[int, bytes]], known: Known, text: bytes, starts: list[int], ends: list[int], own: int) -> tuple[set[tuple[int, int]], set[int]]:
+    """Around each occurrence, the spans whose text is there: word ranges that an earlier document has, and first words of windows at edges."""
+    ranges, edges = set(), set()
+    for at, phrase in hits:
+        for reach, spans in known.get(phrase, {}).items():
+            low = at - (reach >> 6)
+            last = low + (reach & 63)
+            if low < 0 or last + WINDOW > len(starts):
+                continue
+            first, edge = spans.get(_digest(text[starts[low] : ends[last + WINDOW - 1]]), (None, False))
+            if first is None:
+                continue
+            if first < own:
+                ranges.add((low, last + WINDOW))
+            elif edge:
+                edges.update(range(low, last + 1))
+    return ranges, edges
 
 
 def locate(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Streams the documents through automata of their phrases: whole spans to remove, and window digests at edges.
+    """Streams all documents through the automata of their shards: word ranges to remove, and window digests at edges.
 
-    ``docs``: doc_id, text, text_key; ``known``: doc_id, phrases array<struct<phrase, span, first, edge>>.
+    ``docs``: doc_id, text, text_key; ``known``: doc_id, phrases array<struct<phrase, reach, span, first, edge>>.
     """
 
     @task("substring_dedup")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 200):
-                part = b.slice(i, 200)
-                ids, keys = part.column("doc_id").to_pylist(), part.column("text_key").to_pylist()
-                of_doc = [{(p["phrase"], p["span"]): (p["first"], p["edge"]) for p in row} for row in part.column("phrases").to_pylist()]
-                automaton = compiled({phrase for row in of_doc for phrase, _ in row})
-                words = Words(part.column("text").to_pylist())
-                doc, at, low, high = words.spans()
-                digest = span_digests(words, at, low, high).tolist()
-                begins = np.searchsorted(doc, np.arange(len(ids) + 1)).tolist()
-                at, low, high = at.tolist(), low.tolist(), high.tolist()
-                edge_a, edge_b = words.digests(_BASES[0]), words.digests(_BASES[1])
-                ranges, edges = [], []
-                for d, own in enumerate(ids):
-                    hits = occurrences(automaton, words, d)
-                    offset = int(words.first[d])
-                    r, e = [], []
-                    for k in range(begins[d], begins[d + 1]):
-                        phrase = hits.get(at[k])
-                        first, edge = of_doc[d].get((phrase, digest[k]), (None, False)) if phrase is not None else (None, False)
-                        if first is None:
-                            continue
-                        if first < own:
-                            r.append({"low": low[k] - offset, "high": high[k] - offset + WINDOW})
-                        elif edge:
-                            e.append((low[k], high[k]))
-                    ranges.append(r)
-                    if e:
-                        pos = np.concatenate([np.arange(lo, hi + 1) for lo, hi in e])
-                        da, db = (x.of(pos, pos + WINDOW).view(np.int64).tolist() for x in (edge_a, edge_b))
-                        edges.append([{"a": x, "b": y, "at": z} for x, y, z in zip(da, db, (pos - offset).tolist())])
-                    else:
-                        edges.append([])
-                yield batch_of(LOCATED, ids, keys, ranges, edges)
-
-    joined = docs.join(known, "doc_id").select("doc_id", "text_key", "text", "phrases")
+            for i in range(0, b.num_rows, SHARD):
+                part = b.slice(i, SHARD)
+                of_doc = [_known(row) for row in part.column("phrases").to_pylist()]
+                automaton = compiled({phrase for known_ in of_doc for phrase in known_})
+                out = []
+                for own, key, known_, t in zip(part.column("doc_id").to_pylist(), part.column("text_key").to_pylist(), of_doc, part.column("text")):
+                    words = (t.as_py() or "").encode().split()
+                    text = b" ".join(words)
+                    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                    starts = np.concatenate(([0], ends[:-1] + 1)) if words else ends
+                    hits = occurrences(automaton, text, starts)
+                    if not hits:
+                        continue
+                    starts, ends = starts.tolist(), ends.tolist()
+                    ranges, edges = extended(hits, known_, text, starts, ends, own)
+                    if ranges or edges:
+                        places = sorted(edges)
+                        windows = [_digest(text[starts[p] : ends[p + WINDOW - 1]]) for p in places]
+                        out.append((own, key, [{"low": lo, "high": hi} for lo, hi in sorted(ranges)], windows, places))
+                yield batch_of(LOCATED, *(zip(*out) if out else ([],) * 5))
+
+    joined = docs.join(known, "doc_id", "left").select("doc_id", "text_key", "text", "phrases")
     return joined.mapInArrow(work, LOCATED_DDL)
 
 
@@ -263,9 +265,9 @@ def covered(docs: DataFrame) -> DataFrame:
     located = materialize(locate(docs, confirmed(rows)))
     discard(spark, rows)
     release(spark)
-    at_edges = located.select("doc_id", "text_key", F.explode("edges").alias("e")).select("doc_id", "text_key", "e.*")
-    owned = at_edges.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "b", "first")
-    late = at_edges.join(owned, ["a", "b"]).where("first < doc_id")
+    at_edges = located.select("doc_id", "text_key", F.explode(F.arrays_zip("edges", "places")).alias("e")).select("doc_id", "text_key", F.col("e.edges").alias("window"), F.col("e.places").alias("at"))
+    owned = at_edges.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
+    late = at_edges.join(owned, "window").where("first < doc_id")
     more = late.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(F.col("at").alias("low"), (F.col("at") + WINDOW).alias("high"))).alias("ranges"))
     both = located.where("size(ranges) > 0").select("doc_id", "text_key", "ranges").unionByName(more)
     return both.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges"))
@@ -306,16 +308,18 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Texts that lose nothing stay as they are, byte by byte; documents that lose every word are left out.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    key, id_, other, ranges = fresh_names(docs, 4)
+    keyed = docs.withColumn(key, F.xxhash64("text"))
     gone = covered(docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_key")))
-    joined = keyed.join(gone.withColumnsRenamed({"doc_id": "_id", "text_key": "_k", "ranges": "_ranges"}), (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
+    gone = gone.withColumnsRenamed({"doc_id": id_, "text_key": other, "ranges": ranges})
+    joined = keyed.join(gone, (keyed["doc_id"] == gone[id_]) & (keyed[key] == gone[other]), "left")
 
     @F.pandas_udf("string")
     def cut(text, ranges):  # noqa: ANN001
         return text.combine(ranges, lambda t, r: t if r is None or not len(r) else _kept(t, list(r))[2])
 
-    out = joined.withColumn("text", F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(cut("text", "_ranges")))
-    out = out.where("_ranges IS NULL OR text <> ''")
+    out = joined.withColumn("text", F.when(F.col(ranges).isNull(), F.col("text")).otherwise(cut("text", ranges)))
+    out = out.where(F.col(ranges).isNull() | (F.col("text") != ""))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_ranges").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(ranges).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

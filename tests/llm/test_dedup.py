@@ -208,3 +208,24 @@ def test_substring_deduplicate_leaves_clean_texts_alone(spark):
     docs = spark.createDataFrame([(1, f"a\n{passage}  b", 9), (2, passage, 9), (3, f"c {passage} d", 9), (4, "un\ntouched  text", 9)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in substring_dedup.deduplicate(docs).collect()}
     assert got == {1: (f"a\n{passage}  b", 9), 3: ("c d", 3), 4: ("un\ntouched  text", 9)}
+
+
+def test_places_come_from_the_automaton(spark):
+    """All documents are streamed; a phrase that the automaton doesn't find gives nothing, whatever else is known of it."""
+    passage = " ".join(f"p{i}" for i in range(300))
+    rows = [(d, f"{' '.join(f'x{d}_{i}' for i in range(d * 7))} {passage} tail{d}", d) for d in range(1, 5)] + [(9, "no phrase " * 60, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key long")
+    known = substring_dedup.confirmed(substring_dedup.recurring(substring_dedup.phrases(docs)))
+    found = {r["doc_id"]: r["ranges"] for r in substring_dedup.locate(docs, known).collect()}
+    assert all(min(x["low"] for x in found[d]) >= d * 7 and max(x["high"] for x in found[d]) <= d * 7 + 300 for d in (2, 3, 4))
+    assert not found[1]
+    other = known.selectExpr("doc_id", "transform(phrases, p -> named_struct('phrase', CAST(concat('q', CAST(p.phrase AS STRING)) AS BINARY), 'reach', p.reach, 'span', p.span, 'first', p.first, 'edge', p.edge)) AS phrases")
+    assert substring_dedup.locate(docs, other).count() == 0
+    assert substring_dedup.compiled(set()) is None and substring_dedup.occurrences(None, b"a b", None) == []
+
+
+def test_substring_deduplicate_with_clashing_columns(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, passage, "k", "r", 1, "x"), (2, f"a {passage}", "k", "r", 2, None)], "doc_id long, text string, _key string, _ranges string, _own_0 long, text_key string")
+    assert sorted(map(tuple, substring_dedup.deduplicate(docs).collect())) == [(1, passage, "k", "r", 1, "x"), (2, "a", "k", "r", 2, None)]
+    assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs).collect()) == [(1, 0), (2, 60)]
