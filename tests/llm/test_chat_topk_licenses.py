@@ -57,30 +57,75 @@ def test_conversations_over_many_partitions(spark):
 
 
 def brute_top(rows, is_query, k):
-    ok = {i: [int(np.floor(256 * float(x))) for x in v] for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    ok = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in ok:
+    for n, (q, x) in enumerate(ok):
         if is_query(q):
-            scored = sorted((-sum(a * b for a, b in zip(ok[q], v)), i) for i, v in ok.items() if i != q and len(v) == len(ok[q]))[:k]
+            scored = sorted((-sum(a * b for a, b in zip(x, v)), i) for m, (i, v) in enumerate(ok) if m != n and len(v) == len(x))[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("blocks", [topk.BLOCK, 40])
-def test_top_k(spark, blocks, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", blocks)
-    rng = np.random.default_rng(1)
-    centres = rng.normal(size=(4, 12))
-    rows = [(i, [float(np.float32(x)) for x in centres[i % 4] * 0.3 + rng.normal(size=12) * 0.1]) for i in range(500)]
+def clustered(rng, n=500, dims=12):
+    centres = rng.normal(size=(4, dims))
+    return [(i, [float(np.float32(x)) for x in centres[i % 4] * 0.3 + rng.normal(size=dims) * 0.1]) for i in range(n)]
+
+
+@pytest.mark.parametrize("group_bytes", [400, topk.GROUP_BYTES])
+def test_top_k(spark, group_bytes):
+    rows = clustered(np.random.default_rng(1))
     rows += [(i, rows[3][1]) for i in range(500, 530)]  # ties
+    rows += [(50, rows[7][1]), (50, rows[50][1]), (7, rows[50][1])]  # ids that repeat
     rows += [(600, None), (601, []), (602, [None] * 12), (603, [float("nan")] * 12), (604, [float("inf")] * 12), (605, [1.0] * 5), (650, [1.0] * 5), (None, rows[0][1]), (700, [0.0] * 12)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, k=5, group=4).collect())
+    df = spark.createDataFrame([(*r, "x", 0.5) for r in rows], "vec_id long, embedding array<float>, query_id string, score double").repartition(3)
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, k=5, group_bytes=group_bytes).collect())
     assert got == brute_top(rows, lambda i: i % 50 == 0, 5)
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0 and topk.top_k(df, F.lit(False)).count() == 0
     assert topk.top_k(df.where("vec_id < 3"), F.lit(True), k=5).count() == 6  # fewer than k
 
 
+def test_top_k_of_very_large_components(spark):
+    """Sums beyond 2^53 are exact; those beyond a long are cut to its ends, where smaller ids come first."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4) * 10.0 ** (5 + i % 2)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 10 == 0).collect()) == brute_top(rows, lambda i: i % 10 == 0, 5)
+    huge = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [-1e30]), (3, [2e30])], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(huge, F.col("vec_id") == 0).collect())
+    assert got == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 2**63 - 1), (0, 3, 2, -(2**63))]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 90), st.integers(1, 6), st.integers(1, 7))
+def test_bounds_hold_while_lists_are_read(seed, n, dims, queries):
+    rng = np.random.default_rng(seed)
+    block, q = rng.integers(-9, 9, (n, dims)).astype(float), rng.integers(-9, 9, (queries, dims)).astype(float)
+    lists = topk.Lists(block)
+    for depth in (0, n // 9, n // 3, n):
+        lists.read(depth)
+        lower, upper = lists.bounds(np.maximum(q, 0), np.minimum(q, 0))
+        assert (lower <= q @ block.T).all() and (q @ block.T <= upper).all()
+    assert (lower == upper).all()
+
+
+def test_reading_stops_early_where_vectors_have_structure():
+    """Queries leave most list entries of clustered vectors unread; results are those of a full scan, also where all is read."""
+    rng = np.random.default_rng(3)
+    centres = np.round(rng.normal(size=(40, 24)) * 200)
+    structured = np.repeat(centres, 500, axis=0) + rng.integers(-9, 9, (20_000, 24))
+    loose = rng.integers(-200, 200, (4000, 24)).astype(float)
+    for x, share in ((structured[rng.permutation(len(structured))], 0.25), (loose, 1.0)):
+        rows = np.arange(len(x))
+        search = topk.Search(rows[::500], rows[::500], x[::500], 5)
+        for i in range(0, len(x), 10_000):
+            search.add(x[i : i + 10_000], rows[i : i + 10_000], rows[i : i + 10_000])
+        assert search.reads <= share * search.entries
+        scores = x[::500] @ x.T
+        scores[np.arange(len(scores)), rows[::500]] = -np.inf
+        expected = [sorted(zip((-s).tolist(), rows.tolist()))[:5] for s in scores]
+        assert [[(-s, i) for s, i in zip(ss, ii)] for ss, ii in zip(search.best.score.tolist(), search.best.id.tolist())] == expected
+
+
 def test_licenses_found_whole_changed_and_not_at_all(spark, odd, nothing):
     t = licenses.TEMPLATES
     texts = {
