@@ -15,7 +15,9 @@ def lower(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
-def test_exact_groups(spark, odd, nothing):
+@pytest.mark.parametrize("filter_bytes", [exact_dedup.FILTER_BYTES, -1])
+def test_exact_groups(spark, odd, nothing, monkeypatch, filter_bytes):
+    monkeypatch.setattr(exact_dedup, "FILTER_BYTES", filter_bytes)
     rows = [(r["doc_id"], lower(r["text"])) for r in odd.collect()]
     by_text = {}
     for i, t in rows:
@@ -23,7 +25,7 @@ def test_exact_groups(spark, odd, nothing):
     expected = sorted(
         ((i, max((x for x in by_text[t] if x is not None), default=None), len(by_text[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows), key=str
     )
-    got = exact_dedup.groups(odd).collect()
+    got = exact_dedup.groups(odd.repartition(7)).collect()
     assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=str) == expected
     assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
     assert exact_dedup.groups(nothing).count() == 0
@@ -31,6 +33,39 @@ def test_exact_groups(spark, odd, nothing):
     assert first[6] == 4 and first[2] == 2
 
 
+def test_merge_levels_and_their_filters(spark):
+    """Entries that several runs have are combined; filters let all of them through, and few others."""
+    from pyspark.sql import functions as F
+
+    rows = [(run, f"{run}_{i}" if i % 10 else f"all_{i}", run * 10_000 + i) for run in range(16) for i in range(3000)]
+    level = exact_dedup.flush(spark.createDataFrame(rows, "run int, t string, doc_id long").select("run", F.unhex(F.sha2("t", 256)).alias("digest"), "doc_id"), "first")
+    assert level.count() == len(rows)
+    shown = []
+    for runs in (4, 1):
+        level = exact_dedup.merge(level, "first")
+        shown.append(level.groupBy("run").count().count())
+        assert level.count() == 16 * 2700 + runs * 300
+    assert shown == [4, 1]
+    assert sorted((r["id"], r["copies"]) for r in level.where("copies > 1").collect()) == [(i, 16) for i in range(0, 3000, 10)]
+    of_hits = exact_dedup.filters(level.where("copies > 1"), "run", exact_dedup._blocks_for(300)).select("block", "words")
+    probe = level.withColumn("block", exact_dedup._block(F.col("digest"), 1)).join(of_hits, "block").where(exact_dedup._has(F.col("words"), F.col("digest")))
+    assert 300 <= probe.count() <= 300 + 16 * 2700 * 0.01
+    assert probe.where("copies > 1").count() == 300
+
+
+def test_only_texts_that_may_be_copies_are_shuffled(spark):
+    """The filter of the hits is probed below the exchange of the texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    index = exact_dedup.compact(exact_dedup.flush(docs.selectExpr("0 AS run", "unhex(sha2(lower(text), 256)) AS digest", "doc_id"), "last"), "last")
+    plan = exact_dedup.differing(docs, index)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning(digest") < plan.index("getbit") and "BroadcastHashJoin" in plan
+
+
+def test_exact_deduplicate_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "A", "x", b"y", "z", 5), (2, "a", None, None, None, 6)], "doc_id long, text string, _digest string, digest binary, _own_0 string, run int")
+    assert [tuple(r) for r in exact_dedup.deduplicate(docs).collect()] == [(2, "a", None, None, None, 6)]
+
+
 def test_exact_collisions_are_told_apart_by_bytes(spark, monkeypatch):
     """With a digest that all texts share, groups are still those of the bytes."""
     from pyspark.sql import functions as F
