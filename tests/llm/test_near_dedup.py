@@ -1,8 +1,11 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from codeweave.llm import exact_dedup
+from codeweave.llm import exact_dedup, near_dedup
 from codeweave.llm.common import materialize
 from tests.llm.test_dedup import WORD, lower
 
@@ -29,6 +32,20 @@ def brute_stay(rows, width=5):
     return {ids[find(i)] for i in range(len(ids))}
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 400), st.floats(0, 0.4))
+def test_sketches_never_rule_out_a_link(seed, n, changed):
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 1 << 63, n, np.uint64)
+    b = np.concatenate((a[: n - int(changed * n)], rng.integers(0, 1 << 63, rng.integers(0, n + 1), np.uint64)))
+    differ = int(np.bitwise_count((near_dedup.sketch(a) ^ near_dedup.sketch(b)).view(np.uint64)).sum())
+    one, other = set(a.tolist()), set(b.tolist())
+    assert differ <= len(one ^ other)
+    if 5 * len(one & other) >= 4 * len(one | other):
+        assert 9 * differ <= len(one) + len(other)
+    assert near_dedup.sketch(a).shape == (near_dedup.SKETCH,) and int(np.bitwise_count(near_dedup.sketch(a).view(np.uint64)).sum()) <= n
+
+
 def test_stage_removes_near_copies_of_documents(spark):
     docs = materialize(exact_dedup.deduplicate(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
