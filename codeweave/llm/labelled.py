@@ -10,14 +10,16 @@ from codeweave.llm.common import held_out
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``most`` labelled rows that aren't held out, the same ones on every run.
+    """(doc_id, text, y) of at most ``most`` labelled documents that aren't held out, the same ones on every run.
 
     The choice is by a hash of the id, on the narrow table of labels; an id with several labels takes
-    the largest. The sample, not the corpus, is what gets broadcast: its size is bounded by ``most``.
+    the largest, an id that several documents have its smallest text, so there is one row an id. The sample,
+    not the corpus, is what gets broadcast: its size is bounded by ``most``.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:

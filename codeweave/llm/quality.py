@@ -4,9 +4,10 @@ A text is cut into pieces of about ``piece`` bytes, all of it; every piece is co
 dictionary. The difference of the compressed sizes, divided by the size of the text, becomes a
 probability by logistic calibration on rows that the dictionaries have not seen.
 
-Training takes a bounded sample: at most ``most`` labelled rows, chosen by a hash of the id, of which
-those with an even hash (up to ``dictionary_bytes`` of whole texts a class) make the dictionaries and
-the others the calibration. Scoring covers every row and whole texts; only the text is an input.
+Training takes a bounded sample: at most ``most`` labelled documents, chosen by a hash of the id, of which
+those with an even hash make the dictionaries and the others the calibration. A class's dictionary is
+trained on at most ``pieces`` pieces of its texts, chosen by a hash from all pieces of all of them, so one
+very long text is no more than its pieces. Scoring covers every row and whole texts; only the text is an input.
 
 Defined cases: null and empty texts get the score that a difference of zero has; a table without any
 labelled row of one class gives the other class's share everywhere (0.5 with no labels); equal texts get
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import batch_of, held_out, task
+from codeweave.llm.common import batch_of, discard, held_out, materialize, task
 from codeweave.llm.labelled import logistic, probability, training_rows
 
 LEVEL = 3
@@ -68,19 +69,18 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
         return b"\n".join(texts)[-size:] or b" " * 8
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 8000, piece: int = 1000, dictionary_bytes: int = 10 << 20, dictionary_size: int = 112_640) -> Model:
-    rows = training_rows(docs, labels, "quality", most)
+def _pieces(rows: DataFrame, piece: int, most: int) -> list[bytes]:
+    """At most ``most`` pieces of ``piece`` characters, the same ones on every run."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(piece))
+    cut = rows.where(F.length("text") > 0).select("doc_id", "text", F.explode(starts).alias("at"))
+    chosen = cut.select("doc_id", "at", F.substring(F.col("text"), F.col("at"), F.lit(piece)).alias("piece")).orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(most)
+    return [p.as_py().encode() for p in chosen.select("piece").toArrow().column("piece")]
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = 8000, piece: int = 1000, pieces: int = 10_000, dictionary_size: int = 112_640) -> Model:
+    rows = materialize(training_rows(docs, labels, "quality", most))
     even = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
-    # whole texts up to the byte bound of each class: a running sum over the bounded sample
-    make = rows.where(even & (F.length("text") > 0)).withColumn("size", F.octet_length("text"))
-    picked = (
-        make.selectExpr("doc_id", "text", "y", "sum(size) OVER (PARTITION BY y ORDER BY xxhash64(doc_id), doc_id ROWS UNBOUNDED PRECEDING) AS upto")
-        .where(F.col("upto") <= dictionary_bytes)
-        .select("text", "y", "upto")
-        .orderBy("upto")
-        .collect()
-    )
-    texts = {y: [r["text"].encode() for r in picked if (r["y"] == 1) == y] for y in (True, False)}
+    texts = {y: _pieces(rows.where(even & ((F.col("y") == 1) == F.lit(y))), piece, pieces) for y in (True, False)}
     good, bad = (_dictionary(texts[y], dictionary_size) for y in (True, False))
 
     @task("quality")
@@ -90,13 +90,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8000, piece: int = 1000,
             yield batch_of(schema, b.column("y"), [difference(t, good, bad, piece) for t in b.column("text").to_pylist()])
 
     seen = rows.where(~even).select("y", "text").mapInArrow(measure, "y int, x double").toArrow()
+    share = rows.agg(F.avg((F.col("y") == 1).cast("double"))).first()[0]
+    discard(docs.sparkSession, rows)
     y = np.array(seen.column("y").to_numpy() == 1, float)
     x = np.array(seen.column("x").to_numpy(), float)
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
     if len(set(y.tolist())) < 2 or not texts[True] or not texts[False]:
-        share = float(np.mean([*y, *[1.0] * len(texts[True]), *[0.0] * len(texts[False])])) if len(y) + len(picked) else 0.5
-        share = min(max(share, 1e-6), 1 - 1e-6)
+        share = min(max(0.5 if share is None else share, 1e-6), 1 - 1e-6)
         return Model(good, bad, (float(np.log(share / (1 - share))), 0.0), piece)
     scale = x.std() or 1.0
     w = logistic((x / scale)[:, None], y)

@@ -5,17 +5,18 @@ against the base rate come from a Beta (two-class Dirichlet) posterior whose pri
 the next shorter prefix, so an unseen form of a known stem still scores; a standard error is taken off,
 and every other token costs a fixed amount (``drift``).
 
-*Segments.* A linear scan (Ruzzo and Tompa) finds all maximal scoring segments of the whole text. Inside a
-segment a word adds at its first two places only; segments with the same text count once.
+*Segments.* A linear scan (Ruzzo and Tompa) finds all maximal scoring segments of the whole text: a segment on
+its list links to the nearest one that begins lower, so no step looks twice at what it has passed. Inside a
+segment a word that comes again adds less each time, a half, a third and so on; segments with the same text count once.
 
 *Calibration.* Scores of the best segment in clean text follow an extreme-value law: a segment of score
 S in n words has the expectation E = K n exp(-lambda S). lambda solves the usual equation on the token
 scores of clean training text, K is fitted to its maxima; training rows are scored without their own
-counts. The best segments of different texts, up to ten, are judged together by their sum statistic P; the
-score is a logistic function of ln(1 - ln P).
+counts. The segments of different texts are judged together by their sum statistic P, for that number of
+them, the best first, that is least likely; the score is a logistic function of ln(1 - ln P).
 
-Training takes a bounded sample: at most ``most`` labelled rows, chosen by a hash of the id, and at most
-``features`` tokens. Scoring covers every row and whole texts; only the text is an input.
+Training takes a bounded sample: at most ``most`` labelled documents, chosen by a hash of the id, and all of
+their telling tokens. Scoring covers every row and whole texts; only the text is an input.
 
 Defined cases: null and empty texts have no segment and get the lowest score; without labelled rows of
 both classes every score is the share of toxic ones (0 with no labels); equal texts get equal scores;
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import batch_of, begin, held_out, task
+from codeweave.llm.common import batch_of, begin, discard, held_out, materialize, task
 from codeweave.llm.labelled import logistic, probability, training_rows
 
 WORD = re.compile(r"[^\W_]+")
@@ -42,8 +43,6 @@ PREFIXES = (4, 5, 6)
 #: A word that training hasn't seen takes its prefix's log-odds only where the prefix is toxic in this share.
 STEM_SHARE = 0.95
 MEMO_ENTRIES = 400_000
-#: Most segments of a text that are judged together.
-TOGETHER = 10
 
 
 def features_of(word: str) -> list[str]:
@@ -105,35 +104,34 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     if not len(positive):
         return []
     upto = np.concatenate(([0.0], np.cumsum(scores, dtype=float)))
-    kept: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, last + 1
+    kept: list[tuple[float, float, int, int, int]] = []  # sum before, sum after, first, last + 1, nearest one that begins lower
     left = upto[positive].tolist()
     right = upto[positive + 1].tolist()
     for before, after, at in zip(left, right, positive.tolist()):
-        first, end = at, at + 1
+        first, end, j = at, at + 1, len(kept) - 1
         while True:
-            j = len(kept) - 1
             while j >= 0 and kept[j][0] >= before:
-                j -= 1
+                j = kept[j][4]
             if j < 0 or kept[j][1] >= after:
-                kept.append((before, after, first, end))
+                kept.append((before, after, first, end, j))
                 break
-            before, first = kept[j][0], kept[j][2]
+            before, _, first, _, link = kept[j]
             del kept[j:]
-    return [(f, e, a - b) for b, a, f, e in kept]
+            j = link
+    return [(f, e, a - b) for b, a, f, e, _ in kept]
 
 
 def without_repeats(words: list[str], scores: np.ndarray, drift: float) -> np.ndarray:
-    """Scores of a segment's words: a word adds at its first two places in it; at others it costs what any word does."""
+    """Scores of a segment's words: the n-th time that a word comes, it adds an n-th of what it adds first, and costs what any word does."""
     scores, seen = scores.copy(), {}
     for i in np.flatnonzero(scores > 0).tolist():
         seen[words[i]] = times = seen.get(words[i], 0) + 1
-        if times > 2:
-            scores[i] = -drift
+        scores[i] = (scores[i] + drift) / times - drift
     return scores
 
 
 def top_scores(words: list[str], scores: np.ndarray, drift: float) -> list[float]:
-    """The largest scores of segments with different texts, largest first: a repeated line counts once.
+    """The scores of segments with different texts, largest first: a repeated line counts once.
 
     Segments are those of the unaltered scores; a word's repeats are discounted inside one segment only, so what
     a passage scores doesn't depend on the text before it.
@@ -141,12 +139,12 @@ def top_scores(words: list[str], scores: np.ndarray, drift: float) -> list[float
     found = {}
     for f, e, s in maximal_segments(scores):
         inside = words[f:e]
-        if len(inside) - len(set(inside)) < 2:  # no word three times
+        if len(inside) == len(set(inside)):
             found[tuple(inside)] = s
             continue
         for a, b, part in maximal_segments(without_repeats(inside, scores[f:e], drift)):
             found[tuple(inside[a:b])] = part
-    return sorted(found.values(), reverse=True)[:TOGETHER]
+    return sorted(found.values(), reverse=True)
 
 
 class Scorer:
@@ -200,15 +198,15 @@ def _rate(scores: np.ndarray, weights: np.ndarray) -> float:
     return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, features: int = 200_000) -> Model:
-    rows = training_rows(docs, labels, "toxic", most)
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
+    rows = materialize(training_rows(docs, labels, "toxic", most))
     totals = {bool(r["toxic"]): r["n"] for r in rows.groupBy((F.col("y") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     clean, toxic = totals.get(False, 0), totals.get(True, 0)
     if not clean or not toxic:
         share = min(max(toxic / max(1, clean + toxic), 1e-6), 1 - 1e-6)
         return Model({}, max(clean, 1), max(toxic, 1), weights=(math.log(share / (1 - share)), 0.0))
     telling = _counts(rows).where((F.col("toxic") >= 2) & (F.col("toxic") * clean > 1.5 * F.col("clean") * toxic))
-    kept = telling.orderBy(F.desc("toxic"), "token").limit(features).toArrow()
+    kept = telling.toArrow()
     counts = dict(zip(kept.column("token").to_pylist(), zip(kept.column("clean").to_pylist(), kept.column("toxic").to_pylist())))
     plain = Model(counts, clean, toxic)
 
@@ -239,6 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, features: int =
     scale = max(float((~y).sum() / (n[~y] * np.exp(-rate * best[~y])).sum()), 1e-9)
     law = Model(counts, clean, toxic, rate=rate, scale=scale)
     x = np.array([law.strength(t, k) for t, k in zip(tops, n.tolist())])
+    discard(docs.sparkSession, rows)
     order = np.lexsort((y, x))
     w = logistic(x[order, None], y[order].astype(float), ridge=1e-6)
     return Model(counts, clean, toxic, rate=rate, scale=scale, weights=(float(w[0]), float(max(w[1], 0.0))))

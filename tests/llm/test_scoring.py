@@ -1,8 +1,11 @@
+import math
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from codeweave.llm import quality, toxicity
 from codeweave.llm.labelled import logistic, probability
@@ -45,7 +48,74 @@ def test_a_passage_scores_the_same_wherever_it_stands():
     late = before + passage + ["plain"] * 100
     assert toxicity.top_scores(late, scores_of(late), 0.5)[0] == alone[0] == 6.5
     again = ["t0"] * 50
-    assert toxicity.top_scores(again, scores_of(again), 0.5) == [2.0]
+    assert 1 < toxicity.top_scores(again, scores_of(again), 0.5)[0] < 3
+
+
+def test_segments_of_long_texts_take_linear_time():
+    """Twenty times the scores that used to take a second, with every kind of run that makes a list of segments long."""
+    for pattern in ([1.0, -1.5], [1.0, -0.9], [3.0, -1.0, -1.0], [2.0, -1.0, 0.5, -2.0]):
+        began = time.process_time()
+        toxicity.maximal_segments(np.array(pattern * (320_000 // len(pattern))))
+        toxicity.maximal_segments(np.concatenate((np.tile(pattern, 40_000), np.linspace(0.1, 5, 100_000))))
+        assert time.process_time() - began < 4
+
+
+def test_strength_is_the_least_likely_sum_statistic():
+    """All segments take part; the statistic is Karlin and Altschul's, computed here from factorials."""
+    model = toxicity.Model({}, 10, 10, rate=1.1, scale=0.05)
+    rng = random.Random(9)
+    for n in (1, 3, 12, 40):
+        scores = sorted((rng.uniform(4, 12) for _ in range(n)), reverse=True)
+        normalised = [1.1 * s - math.log(0.05 * 100) for s in scores]
+        tails = []
+        for r in range(1, n + 1):
+            t = sum(normalised[:r])
+            tails.append(math.exp(-t) * t ** (r - 1) / (math.factorial(r) * math.factorial(r - 1)))
+        if min(normalised) > 0:
+            assert model.strength(scores, 100) == pytest.approx(math.log1p(-math.log(min(1.0, *tails))))
+    assert model.strength([], 100) == 0 and model.strength([0.1], 100) == 0
+
+
+def brute_word_score(model, texts, word, drift=0.5):
+    """A word's score, from the training texts themselves."""
+    share = base = model.toxic / (model.clean + model.toxic)
+    known, last = None, None
+    for token, of in [*((word[:k], lambda w, k=k: w[:k] if len(w) > k else None) for k in (4, 5, 6) if len(word) > k), (word, lambda w: w)]:
+        counts = [sum(any(of(w) == token for w in toxicity.WORD.findall(t.lower())) for t, y in texts if y == c) for c in (0, 1)]
+        known = counts[1] >= 2 and counts[1] * model.clean > 1.5 * counts[0] * model.toxic
+        if known:
+            last = (counts[1] + 4 * share, counts[0] + 4 * (1 - share))
+            share = last[0] / sum(last)
+    if last is None or (not known and share < 0.95):
+        return -drift
+    odds = math.log(share / (1 - share)) - math.log(base / (1 - base)) - math.sqrt(1 / (last[0] + 0.5) + 1 / (last[1] + 0.5))
+    return odds - drift if odds >= 1 else -drift
+
+
+def test_model_and_scores_against_brute_force(spark):
+    """Counts, token log-odds and final scores of a small corpus, computed from its texts."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdef", k=rng.randrange(3, 9))) for _ in range(60)]
+    telling = ["awfulness", "awfully", "grim", "vilest"]
+    rows = []
+    for i in range(240):
+        toxic = rng.random() < 0.4
+        text = rng.choices(words, k=rng.randrange(3, 30))
+        for _ in range(rng.randrange(1, 4) * toxic):
+            text.insert(rng.randrange(len(text)), rng.choice(telling))
+        rows.append((i, " ".join(text), int(toxic)))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    train = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert (model.clean, model.toxic) == (sum(y == 0 for _, y in train), sum(y == 1 for _, y in train))
+    for w in [*telling, *words, "awfulest", "unseen"]:
+        assert model.word_score(w) == pytest.approx(brute_word_score(model, train, w))
+    for r in toxicity.score(docs, model).collect():
+        text = rows[r["doc_id"]][1].split()
+        scores = np.array([brute_word_score(model, train, w) for w in text])
+        x = model.strength(toxicity.top_scores(text, scores, 0.5), len(text))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(model.weights[0] + model.weights[1] * x))))
+        assert r["predicted"] == (r["score"] >= 0.7)
 
 
 def held_out_rates(scored, labels, label):
@@ -61,7 +131,7 @@ def test_toxicity_on_held_out_rows(tables):
     scored = toxicity.score(docs, model).cache()
     clean, toxic = held_out_rates(scored, labels, "toxic")
     # about 7 in 100 toxic labels of these tables are on texts without any telling word
-    assert clean >= 0.99 and toxic >= 0.88
+    assert clean >= 0.99 and toxic >= 0.9
     assert scored.where("NOT (score >= 0 AND score <= 1)").count() == 0 and scored.count() == docs.count()
     kept = toxicity.without_toxic(docs, model)
     assert kept.count() == scored.where("predicted = 0").count() and kept.columns == docs.columns
@@ -77,6 +147,43 @@ def test_quality_on_held_out_rows(tables):
     assert scored.where("NOT (score >= 0 AND score <= 1)").count() == 0 and scored.count() == docs.count()
 
 
+def test_quality_scores_against_brute_force(spark, tables):
+    """Every score from the compressed sizes of the text's pieces, by plain calls of the compressor."""
+    docs, labels = tables
+    docs = docs.where("doc_id < 1500")
+    model = quality.fit(docs, labels)
+    with_good, with_bad = (zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d)) for d in (model.good, model.bad))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in quality.score(docs, model).collect():
+        raw, x = texts[r["doc_id"]].encode(), 0.0
+        if raw:
+            n = max(1, round(len(raw) / 1000))
+            parts = [raw[i : i + -(-len(raw) // n)] for i in range(0, len(raw), -(-len(raw) // n))]
+            assert b"".join(parts) == raw
+            x = sum(len(with_bad.compress(p)) - len(with_good.compress(p)) for p in parts) / (len(raw) + 20)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(model.weights[0] + model.weights[1] * x))), abs=1e-9)
+
+
+def test_a_very_long_labelled_text_leaves_the_class_its_dictionary(spark, tables):
+    """A text of 11 MB, whatever its place in the order, is no more than its pieces."""
+    docs, labels = tables
+    docs, labels = docs.where("doc_id < 1500").select("doc_id", "text"), labels.where("doc_id < 1500").select("doc_id", "quality")
+    long = spark.createDataFrame([(i, 1) for i in range(10**6, 10**6 + 3)], "doc_id long, quality int")
+    texts = long.selectExpr("doc_id", "repeat(concat('much the same words again ', doc_id, ' '), 300000) AS text")
+    model = quality.fit(docs.unionByName(texts), labels.unionByName(long))
+    assert model.weights[1] > 0
+    assert len(quality._pieces(texts, 1000, 500)) == 500 and quality._pieces(texts.limit(0), 1000, 500) == []
+
+
+def test_a_labelled_id_that_repeats_trains_once(spark):
+    from codeweave.llm.labelled import training_rows
+
+    docs = spark.createDataFrame([(i % 4, f"text {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    rows = training_rows(docs, labels, "toxic", 10).collect()
+    assert len(rows) == len({r["doc_id"] for r in rows}) and all(r["text"] == f"text {r['doc_id']}" for r in rows)
+
+
 @pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
 def test_labels_are_no_input(spark, tables, module, label):
     """Held-out labels change nothing, and neither does any column but the text."""
