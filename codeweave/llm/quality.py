@@ -71,9 +71,9 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
 
 def _pieces(rows: DataFrame, piece: int, most: int) -> list[bytes]:
     """At most ``most`` pieces of ``piece`` characters, the same ones on every run."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(piece))
-    cut = rows.where(F.length("text") > 0).select("doc_id", "text", F.explode(starts).alias("at"))
-    chosen = cut.select("doc_id", "at", F.substring(F.col("text"), F.col("at"), F.lit(piece)).alias("piece")).orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(most)
+    cut = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))  # in one pass over a text, however long
+    parts = rows.select("doc_id", F.posexplode(cut).alias("at", "piece"))
+    chosen = parts.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(most)
     return [p.as_py().encode() for p in chosen.select("piece").toArrow().column("piece")]
 
 
