@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -64,15 +65,27 @@ def _from_ranks(path: str):
     return own
 
 
+def _from_json(path: str):
+    """The tokenizer of a file; only one that cuts as ``PATTERN`` does and changes no text fits what is memoised here."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    cut = made.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    if not plain or made.get("normalizer") or made["model"].get("type") != "BPE" or made["model"].get("dropout"):
+        raise ValueError(f"{path}: only byte-level BPE with the usual pattern, without a normalizer, is supported")
+    return Tokenizer.from_file(path)
+
+
 class Codec:
     """A byte-level tokenizer with its byte table; made once in each worker (see :func:`codec`)."""
 
     def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES):
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path) if path.endswith(".json") else _from_ranks(path)
+        self.tokenizer = _from_json(path) if path.endswith(".json") else _from_ranks(path)
         self.tokenizer.encode_special_tokens = True
         back = {c: b for b, c in enumerate(byte_alphabet())}
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)

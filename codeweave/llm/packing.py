@@ -3,13 +3,14 @@
 Each document is encoded and closed with id 0. Whole windows are cut off its front at once; what
 remains goes, uncut, to the open window whose fill level makes the sum of squared counts of
 partially filled windows smallest (Csirik et al., sum-of-squares for integral bin packing), kept
-in an array of counts by level. When a partition ends, the windows still open are laid out anew:
-their pieces fill windows one after the other, cut where needed, and the last rest is split into
-powers of two, which need no padding.
+in an array of counts by level. When a partition ends, the windows still open are filled up: the
+emptiest ones are taken apart, and their pieces, cut where needed, fill the others, which keep what was
+placed in them; the last rest is split into powers of two, which need no padding.
 
 Each input partition is packed on its own: no shuffle, and a task's result depends on its own rows
 only, so a task that is run again after a lost executor gives whole, consistent sequences. Memory
-is bounded by ``max_open`` windows; beyond that the open windows are laid out as at the end.
+is bounded by ``max_open`` windows: beyond that, the windows of the most crowded level (which weighs most in
+the sum of squares) are filled up from each other in the same way, and the others stay as they are.
 
 Defined cases: null and empty texts are documents of one id (the closing 0); equal rows are packed
 each; an empty table gives no rows; other columns of the input are ignored.
@@ -48,7 +49,7 @@ class Packer:
     def __init__(self, window: int, first_id: int, max_open: int = 4096):
         if window & (window - 1) or window < 2:
             raise ValueError("window must be a power of two")
-        self.window, self.next_id, self.max_open = window, first_id, max_open
+        self.window, self.next_id, self.max_open = window, first_id, max(max_open, window)  # a level each, at least
         self.counts = np.zeros(window + 1, np.int64)  # windows by level
         self.at: list[list[list]] = [[] for _ in range(window)]  # their pieces
         self.n_open = 0
@@ -96,26 +97,58 @@ class Packer:
             counts[best + size] += 1
             self.n_open += 1
             if self.n_open > self.max_open:
-                self.finish()
+                self._relieve()
+
+    def _fill(self, windows: list[list]) -> tuple[list, int]:
+        """Closes all of ``windows`` (fullest first) but one, filled with pieces of the last ones; the pieces of that one and their size."""
+        levels = [sum(len(p[2]) for p in pieces) // 4 for pieces in windows]
+        i, j = 0, len(windows) - 1
+        while i < j:
+            doc, start, ids, total = windows[j].pop()
+            room = 4 * (self.window - levels[i])
+            windows[i].append((doc, start, ids[:room], total))
+            if len(ids) > room:
+                windows[j].append((doc, start + room // 4, ids[room:], total))
+            moved = min(room, len(ids)) // 4
+            levels[i] += moved
+            levels[j] -= moved
+            if levels[i] == self.window:
+                self._close(windows[i])
+                i += 1
+            if not levels[j]:
+                j -= 1
+        return (windows[i], levels[i]) if i == j else ([], 0)
+
+    def _relieve(self) -> None:
+        """Fills the windows of the most crowded level from each other; what is left of them stays open."""
+        level = int(np.argmax(self.counts))
+        crowd, self.at[level] = self.at[level], []
+        self.n_open -= len(crowd)
+        self.counts[level] = 0
+        pieces, size = self._fill(crowd)
+        if size == self.window:
+            self._close(pieces)
+        elif size:
+            self.at[size].append(pieces)
+            self.counts[size] += 1
+            self.n_open += 1
 
     def finish(self) -> None:
-        """Lay out the open windows anew; nothing is padded."""
-        loose = [p for level in reversed(self.at) for pieces in level for p in pieces]
-        left = sum(len(p[2]) for p in loose) // 4
+        """Fills the open windows up; nothing is padded."""
+        pieces, left = self._fill([pieces for level in reversed(self.at) for pieces in level])
         self.at = [[] for _ in range(self.window)]
         self.counts[:] = 0
         self.n_open = 0
-        room, current = 0, []
-        for doc, start, ids, total in loose:
-            while ids:
-                if not room:
-                    room = min(self.window, 1 << (left.bit_length() - 1))
-                take = min(room, len(ids) // 4)
-                current.append((doc, start, ids[: 4 * take], total))
-                start, ids, room, left = start + take, ids[4 * take :], room - take, left - take
-                if not room:
-                    self._close(current)
-                    current = []
+        while left:  # the last window, in powers of two
+            room, current = 1 << (left.bit_length() - 1), []
+            left -= room
+            while room:
+                doc, start, ids, total = pieces.pop(0)
+                current.append((doc, start, ids[: 4 * room], total))
+                if len(ids) > 4 * room:
+                    pieces.insert(0, (doc, start + room, ids[4 * room :], total))
+                room -= len(current[-1][2]) // 4
+            self._close(current)
 
     def take(self) -> list[tuple]:
         out, self.out = self.out, []

@@ -1,11 +1,15 @@
 import base64
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from codeweave.llm import bpe, packing
@@ -122,8 +126,46 @@ def test_packing_odd_tables(odd, nothing):
     assert sum(r["length"] for r in rows if r["start"] == 0 and r["doc_tokens"] == 1) == 2  # null and empty: the closing id each
     total = {(r["doc_id"], r["start"]) for r in rows}
     assert {d for d, _ in total} == {None, *range(len(ODD))}
-    few = packing.Packer(1024, 0, max_open=2)
-    for i in range(50):
-        few.add(i, b"\1\0\0\0" * (400 + i))
-    few.finish()
-    assert sum(r[2] for r in few.take()) == sum(400 + i for i in range(50))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 200), max_size=300), st.integers(1, 90))
+def test_few_open_windows_lose_nothing_and_pad_nothing(sizes, most):
+    """Every id of every document, in order, whatever is filled up early; only the last windows aren't full."""
+    packer = packing.Packer(64, 0, max_open=most)
+    docs = [np.arange(i * 1000, i * 1000 + n, dtype="<u4").tobytes() for i, n in enumerate(sizes)]
+    for i, ids in enumerate(docs):
+        packer.add(i, ids)
+        assert packer.n_open <= max(most, 64) and packer.n_open == packer.counts.sum() == sum(map(len, packer.at))
+    packer.finish()
+    rows = packer.take()
+    for i, ids in enumerate(docs):
+        own = sorted((r for r in rows if r[0] == i), key=lambda r: r[1])
+        assert b"".join(r[7] for r in own) == ids and all(r[3] == zlib.crc32(r[7]) and r[2] == len(r[7]) // 4 for r in own)
+        assert [r[1] for r in own] == [sum(p[2] for p in own[:k]) for k in range(len(own))]
+    full = {}
+    for r in sorted(rows, key=lambda r: (r[5], r[6])):
+        assert r[6] == full.get(r[5], 0)
+        full[r[5]] = r[6] + r[2]
+    rest = [n for n in full.values() if n != 64]
+    assert all(n & (n - 1) == 0 and n < 64 for n in rest) and len(set(rest)) == len(rest)
+
+
+def test_most_windows_are_closed_by_the_method():
+    """Of a partition of 2,000 documents, at most a fifth of the windows are touched when it ends."""
+    rng = random.Random(8)
+    packer = packing.Packer(1024, 0)
+    for i in range(2000):
+        packer.add(i, b"\1\0\0\0" * int(rng.lognormvariate(5.5, 1)))
+    before = len({r[5] for r in packer.take()})
+    packer.finish()
+    assert len({r[5] for r in packer.take()}) <= 0.2 * before
+
+
+def test_a_tokenizer_that_cuts_otherwise_is_refused(tmp_path):
+    for change in ({"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": None}):
+        path = tmp_path / "own.json"
+        with open(JSON, encoding="utf-8") as f:
+            path.write_text(json.dumps(json.load(f) | change))
+        with pytest.raises(ValueError, match="byte-level"):
+            bpe.Codec(str(path))
