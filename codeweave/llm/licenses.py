@@ -1,12 +1,14 @@
 """License scans: winnowed template fingerprints in an inverted index, then banded alignment.
 
 Templates are short public notices and the openings of common licence texts (a parameter). Their words
-are hashed in 3-word fingerprints, winnowed over 3 neighbours, and kept in an inverted index of hash ->
-(template, place); its size is that of the templates. Every document's 3-word hashes, all of them, are
-looked up in it. Hits of one template whose diagonals lie close together make a candidate, and a banded
+are hashed in 3-word fingerprints, winnowed over 3 neighbours (templates of up to ``SHORT`` words keep all), and
+kept in an inverted index of hash -> (template, place); its size is that of the templates. Every document's
+3-word hashes, all of them, are looked up in it. So a candidate needs five words in a row as they stand in the
+template, three for a short one. Hits of one template whose diagonals lie close together make a candidate, and a banded
 alignment (match 2, other -1) of the template against the text around it gives the matched words, their
 share of the template (``coverage``) and the span in the text. Matches with a coverage of 0.8 or more are
-reported, the best of overlapping ones.
+reported, the best of overlapping ones. Hits are sorted once and matches kept in order, so a text full of
+notices takes time in proportion (and the logarithm of their number).
 
 Words are runs of letters and digits, compared in lower case. A document is scanned in its own task; no
 shuffle.
@@ -19,6 +21,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +32,7 @@ from codeweave.llm.common import batch_of, task
 
 GRAM = 3
 WINNOW = 3
+SHORT = 12
 WORD = re.compile(r"[^\W_]+")
 
 # Public licence notices and the openings of licence texts.
@@ -84,9 +88,10 @@ class Index:
         self.places: dict[int, list[tuple[str, int]]] = {}
         for name, words in self.words.items():
             grams = _grams([self.vocabulary[w] for w in words])
+            width = WINNOW if len(words) > SHORT else 1
             last = -1
-            for i in range(max(1, len(grams) - WINNOW + 1) if grams else 0):
-                window = grams[i : i + WINNOW]
+            for i in range(max(1, len(grams) - width + 1) if grams else 0):
+                window = grams[i : i + width]
                 at = i + min(range(len(window)), key=lambda j: (window[j], -j))
                 if at != last:
                     self.places.setdefault(grams[at], []).append((name, at))
@@ -137,21 +142,23 @@ def scan(text: str, index: Index, coverage: float = 0.8) -> list[tuple[str, floa
         template = index.words[name]
         band = max(2, len(template) // 8)
         hits.sort()
-        while hits:
-            diagonal = hits[0][0]
-            near = [h for h in hits if h[0] - diagonal <= band]
-            middle = near[len(near) // 2][0]
+        at = 0
+        while at < len(hits):
+            diagonal = hits[at][0]
+            after = bisect_right(hits, (diagonal + band, len(words)), at)
+            middle = hits[(at + after) // 2][0]
             matched, s, e = align(template, words, max(0, middle - band), min(len(words), middle + len(template) + band), middle, band)
             if matched >= coverage * len(template):
                 matches.append((matched / len(template), matched, name, s, e))
-            hits = hits[len(near) :]
-    taken: list[tuple[int, int]] = []
-    out = []
+            at = after
+    starts: list[int] = []  # of the matches taken, which don't overlap
+    taken: dict[int, tuple[str, float, int, int]] = {}
     for share, matched, name, s, e in sorted(matches, key=lambda m: (-m[1], -m[0], m[2], m[3])):
-        if all(e <= a or s >= b for a, b in taken):
-            taken.append((s, e))
-            out.append((name, share, found[s].start(), found[e - 1].end()))
-    return sorted(out, key=lambda m: m[2:])
+        k = bisect_left(starts, e)
+        if not k or taken[starts[k - 1]][3] <= s:
+            starts.insert(bisect_left(starts, s), s)
+            taken[s] = (name, share, s, e)
+    return [(name, share, found[s].start(), found[e - 1].end()) for name, share, s, e in map(taken.__getitem__, starts)]
 
 
 @lru_cache(2)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -166,3 +167,54 @@ def test_the_bare_line_of_all_rights_reserved(spark):
     texts = [(1, "Words. All rights reserved. More"), (2, licenses.TEMPLATES["All-rights-reserved-notice"]), (3, "all rights are reserved")]
     got = [(r["doc_id"], r["license"]) for r in licenses.license_matches(spark.createDataFrame(texts, "doc_id long, text string")).collect()]
     assert sorted(got) == [(1, "All-rights-reserved"), (2, "All-rights-reserved-notice")]
+
+
+def brute_coverage(template, words):
+    """The best share of a template's words that any local alignment with the text matches, by the whole table."""
+    best = (0, 0)
+    before = [(0, 0)] * (len(words) + 1)
+    for t in template:
+        row = [(0, 0)]
+        for j, w in enumerate(words, 1):
+            score, matched = before[j - 1]
+            options = [(score + 2, matched + 1) if t == w else (score - 1, matched), (before[j][0] - 1, before[j][1]), (row[j - 1][0] - 1, row[j - 1][1])]
+            row.append(max((o if o[0] > 0 else (0, 0)) for o in options))
+        best = max(best, *row)
+        before = row
+    return best[1] / len(template)
+
+
+def test_matches_against_whole_alignments():
+    """Templates with words changed, left out or put in: what covers 0.8 or more and keeps a run of words is found, nothing else is."""
+    rng = random.Random(6)
+    index = licenses.Index(licenses.TEMPLATES)
+    plain = [f"w{i}" for i in range(50)] + ["the", "license", "of", "and", "software"]
+    found = missed = 0
+    for _ in range(400):
+        name = rng.choice(list(licenses.TEMPLATES))
+        words = list(index.words[name])
+        for _ in range(rng.randrange(1 + len(words) // 3)):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([["w1"], [], [words[at], "w2"]])
+            words = words or ["w3"]
+        text = rng.choices(plain, k=rng.randrange(20)) + words + rng.choices(plain, k=rng.randrange(20))
+        got = licenses.scan(" ".join(text), index)
+        covered = {n: brute_coverage(t, text) for n, t in index.words.items()}
+        assert all(covered[n] >= 0.8 and covered[n] >= share for n, share, _, _ in got)
+        run = 3 if len(index.words[name]) <= licenses.SHORT else 5
+        grams = {tuple(index.words[name][i : i + run]) for i in range(len(index.words[name]) - run + 1)}
+        if covered[name] >= 0.8 and any(tuple(text[i : i + run]) in grams for i in range(len(text))):
+            found += bool(got)
+            missed += not got
+    assert found > 100 and missed <= 0.02 * found  # an alignment that leaves the band
+
+
+def test_a_text_full_of_notices_takes_time_in_proportion():
+    index = licenses.Index(licenses.TEMPLATES)
+    seconds = []
+    for n in (500, 8000):
+        text = " and then ".join([licenses.TEMPLATES["MIT"], licenses.TEMPLATES["CC-BY-NC-4.0"]] * n)
+        began = time.process_time()
+        assert len(licenses.scan(text, index)) == 2 * n
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 40 * max(seconds[0], 0.02)
