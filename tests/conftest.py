@@ -8,7 +8,7 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(ROOT), os.environ.get("PYTHONPATH")]))
-SAMPLE = Path(__file__).parent / "fixtures" / "sample"
+SAMPLE = Path(__file__).parent / "fixtures" / "harbour"
 
 
 @pytest.fixture(scope="session")

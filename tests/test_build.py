@@ -12,71 +12,86 @@ def rows(df):
 
 def test_counts(built):
     assert {r["label"]: r["n"] for r in built[2].stats().collect()} == {
-        "File": 4, "Symbol": 12, "DEFINED_IN": 12, "CONTAINS": 3, "INHERITS": 1, "IMPORTS": 2, "CALLS": 5, "USES": 1,
+        "File": 4, "Symbol": 14, "DEFINED_IN": 14, "CONTAINS": 3, "INHERITS": 1, "IMPORTS": 2, "CALLS": 6, "USES": 2,
     }
 
 
-def test_ranks_are_the_published_ones(built):
-    ranks = {(r["path"], r["name"]): r["rank"] for r in built[2].g.symbols.collect()}
-    expected = {
-        ("auth.py", "hash_password"): 0.078367, ("auth.py", "BaseUser"): 0.141472, ("auth.py", "name"): 0.054994, ("auth.py", "User"): 0.101739,
-        ("auth.py", "login"): 0.054994, ("db.py", "connect"): 0.078367, ("db.py", "open_pool"): 0.121606, ("handler.go", "Handle"): 0.054994,
-        ("handler.go", "process"): 0.101739, ("service.ts", "Session"): 0.054994, ("service.ts", "start"): 0.054994, ("service.ts", "login"): 0.101739,
-    }
-    assert ranks.keys() == expected.keys()
-    assert all(ranks[k] == pytest.approx(v, abs=1e-6) for k, v in expected.items())
+LINKS = [  # calls, uses and bases of the sample, by name
+    ("Depart", "board"), ("board", "board"), ("deposit", "open_book"), ("deposit", "round_cents"), ("open_book", "new_page"), ("sell", "price"),
+    ("Counter", "Fare"), ("Counter", "Savings"), ("Savings", "Account"),
+]
+
+
+def test_ranks_are_those_of_the_power_method(built):
+    symbols = [(r["path"], r["name"], r["rank"]) for r in built[2].g.symbols.collect()]
+    out = {n: [b for a, b in LINKS if a == n] for _, n, _ in symbols}
+    place = {n: [i for i, s in enumerate(symbols) if s[1] == n][0] for _, n, _ in symbols}
+    rank = [1 / 14] * 14
+    for _ in range(20):
+        loose = sum(r for r, (_, n, _) in zip(rank, symbols) if not out[n])
+        new = [0.15 / 14 + 0.85 * loose / 14] * 14
+        for r, (_, n, _) in zip(rank, symbols):
+            for b in out[n]:
+                new[place[b]] += 0.85 * r / len(out[n])
+        rank = new
+    assert [s[2] for s in symbols] == pytest.approx(rank, abs=1e-9)
 
 
 def test_edges(built):
     g = built[2]
-    assert set(rows(g.g.imports)) == {("auth.py", "db.py"), ("service.ts", "auth.py")}
-    assert set(rows(g.callees("login"))) == {
-        ("connect", "db.py:5", "EXTRACTED", 18), ("hash_password", "auth.py:6", "EXTRACTED", 19),
+    assert set(rows(g.g.imports)) == {("ledger.py", "storage.py"), ("ticket.ts", "ledger.py")}
+    assert set(rows(g.callees("deposit"))) == {
+        ("open_book", "storage.py:10", "EXTRACTED", 20), ("round_cents", "ledger.py:12", "EXTRACTED", 21),
     }
-    assert rows(g.callers("process")) == [("Handle", "handler.go:3", "EXTRACTED", 4)]
-    assert {r["name"] for r in g.callees("login", depth=2).collect()} == {"connect", "hash_password", "open_pool"}
-    assert [r["name"] for r in g.path("login", "open_pool").collect()] == ["login", "connect", "open_pool"]
-    assert g.path("open_pool", "login").isEmpty() and g.path("nobody", "login").isEmpty()
-    assert rows(g.inheritors("BaseUser")) == [("User", "class", "auth.py:16")]
-    assert rows(g.uses("Session")) == [("User", "class", "auth.py:16", "EXTRACTED")]
-    assert rows(g.used_by("User", compact=True)) == [("Session\tclass\tservice.ts:3\tEXTRACTED",)]
-    assert rows(g.dependents("auth.py")) == [("service.ts",)]
+    assert set(rows(g.callers("board"))) == {("Depart", "ferry.go:4", "EXTRACTED", 5), ("board", "ferry.go:8", "EXTRACTED", 12)}
+    assert {r["name"] for r in g.callees("deposit", depth=2).collect()} == {"open_book", "round_cents", "new_page"}
+    assert {r["name"] for r in g.callers("board", depth=3).collect()} == {"Depart", "board"}
+    assert [r["name"] for r in g.path("deposit", "new_page").collect()] == ["deposit", "open_book", "new_page"]
+    assert [r["name"] for r in g.path("board", "board").collect()] == ["board", "board"]
+    assert g.path("new_page", "deposit").isEmpty() and g.path("nobody", "deposit").isEmpty()
+    assert rows(g.inheritors("Account")) == [("Savings", "class", "ledger.py:16")]
+    assert rows(g.uses("Counter")) == [("Fare", "interface", "ticket.ts:3", "EXTRACTED"), ("Savings", "class", "ledger.py:16", "EXTRACTED")]
+    assert rows(g.used_by("Savings", compact=True)) == [("Counter\tclass\tticket.ts:7\tEXTRACTED",)]
+    assert rows(g.dependents("storage.py")) == [("ledger.py",)]
 
 
 def test_bodies(built):
     g = built[2]
-    (body,) = rows(g.read_symbol_body("open_pool"))
-    assert body == ("db.py:9-10", "function", 'def open_pool():\n    return {"size": 1}')
-    batch = g.batch_read_symbol_bodies(["process", "nobody", "connect"]).collect()
-    assert [(r["ref"], r["error"]) for r in batch] == [("process", None), ("nobody", "not found"), ("connect", None)]
+    (body,) = rows(g.read_symbol_body("new_page"))
+    assert body == ("storage.py:4-5", "function", "def new_page(width):\n    return [None] * width")
+    batch = g.batch_read_symbol_bodies(["price", "nobody", "open_book"]).collect()
+    assert [(r["ref"], r["error"]) for r in batch] == [("price", None), ("nobody", "not found"), ("open_book", None)]
+    assert batch[0]["body"].startswith("function price(payer: Savings)") and batch[0]["body"].endswith("}")
     assert g.read_symbol_body("nobody").isEmpty()
 
 
 def test_lookups(built):
     g = built[2]
-    assert [r["name"] for r in g.search_symbols("LOGIN").collect()] == ["login", "login"]
-    assert rows(g.list_files("auth")) == [("auth.py",)]
-    assert [r["name"] for r in g.search_docs("pool").collect()] == ["connect"]
-    assert g.get_symbol("db.py#56").first()["name"] == "connect"
-    assert len(g.symbols_in_file("auth.py").collect()) == 5
+    assert [r["name"] for r in g.search_symbols("LABEL").collect()] == ["label", "label"]
+    assert rows(g.list_files("led")) == [("ledger.py",)]
+    assert [r["name"] for r in g.search_docs("blank").collect()] == ["open_book"]
+    assert g.get_symbol("label").first()["location"] == "ledger.py:7-8"
+    assert g.get_symbol("ticket.ts#37").first()["name"] == "Fare"
+    assert len(g.symbols_in_file("ledger.py").collect()) == 5
     assert all("\t" in r[0] for r in rows(g.search_symbols("o", compact=True)))
     assert g.hot_symbols(edge="NONSENSE").isEmpty() and g.architecture_violations("a", "b", "CONTAINS").isEmpty()
-    assert rows(g.architecture_violations("service", "auth")) == [("service.ts", "auth.py")]
-    assert rows(g.architecture_violations("auth", "db", "CALLS")) == [("login (auth.py)", "connect (db.py)")]
+    assert rows(g.hot_symbols(1)) == [("board", "function", "ferry.go:8", 2)]
+    assert rows(g.architecture_violations("ticket", "ledger")) == [("ticket.ts", "ledger.py")]
+    assert rows(g.architecture_violations("ledger", "storage", "CALLS")) == [("deposit (ledger.py)", "open_book (storage.py)")]
 
 
 def test_repo_map_budget_and_prefix(built):
     g = built[2]
     whole = g.repo_map().collect()
-    assert [r["rank"] for r in whole] == sorted((r["rank"] for r in whole), reverse=True) and len(whole) == 12
+    assert [r["rank"] for r in whole] == sorted((r["rank"] for r in whole), reverse=True) and len(whole) == 14
     some = g.repo_map(budget_tokens=30).collect()
-    assert 0 < len(some) < 12 and sum(len(r["row"]) // 4 for r in some) <= 30
-    assert all("db.py" in r["row"] for r in g.repo_map("db").collect())
+    assert 0 < len(some) < 14 and sum(len(r["row"]) // 4 for r in some) <= 30
+    assert all("storage.py" in r["row"] for r in g.repo_map("storage").collect())
 
 
 def test_semantic_search(built):
-    hits = built[2].search_semantic("open a pool", limit=3).collect()
-    assert hits[0]["name"] == "open_pool" and len(hits) == 3
+    hits = built[2].search_semantic("open a book", limit=3).collect()
+    assert hits[0]["name"] == "open_book" and len(hits) == 3
 
 
 def test_nothing_to_do_then_a_change_then_a_deletion(spark, sample_repo, tmp_path):
@@ -85,20 +100,20 @@ def test_nothing_to_do_then_a_change_then_a_deletion(spark, sample_repo, tmp_pat
     before = Catalog(spark, home).current(str(sample_repo))["version"]
     assert build_index(spark, str(sample_repo), home) == first
     assert Catalog(spark, home).current(str(sample_repo))["version"] == before
-    (sample_repo / "db.py").write_text((sample_repo / "db.py").read_text() + "\n\ndef reset():\n    return None\n")
-    (sample_repo / "handler.go").unlink()
+    (sample_repo / "storage.py").write_text((sample_repo / "storage.py").read_text() + "\n\ndef shut(book):\n    book.clear()\n")
+    (sample_repo / "ferry.go").unlink()
     after = build_index(spark, str(sample_repo), home, embeddings=False)
-    assert after["Symbol"] == 12 + 1 - 2 and after["File"] == 3
-    assert open_graph(spark, str(sample_repo), home).get_symbol("Handle").isEmpty()
+    assert after["Symbol"] == 14 + 1 - 2 and after["File"] == 3
+    assert open_graph(spark, str(sample_repo), home).get_symbol("Depart").isEmpty()
 
 
 def test_relative_import(spark, tmp_path):
     from codeweave.plans.build import graph_of
     from codeweave.sources.extract import extract_files
 
-    files = [("pkg/store.py", b"def save():\n    return 1\n"), ("pkg/core.py", b"from .store import save\n\ndef run():\n    return save()\n")]
+    files = [("isle/tide.py", b"HIGH = 4\n"), ("isle/pier.py", b"from .tide import HIGH\n\n\ndef mooring():\n    return HIGH + 1\n")]
     g = graph_of(extract_files(spark.createDataFrame(files, "path string, content binary")))
-    assert rows(g.imports) == [("pkg/core.py", "pkg/store.py")]
+    assert rows(g.imports) == [("isle/pier.py", "isle/tide.py")]
 
 
 def test_projects_are_apart(spark, tmp_path):
@@ -123,11 +138,11 @@ def test_command_line(spark, built, capsys, monkeypatch):
     monkeypatch.setattr(cli, "session", lambda: spark)
     root, home, _ = built
     assert cli.main(["--home", home, "--root", root, "stats"]) == 0
-    assert json.loads(capsys.readouterr().out)["CALLS"] == 5
+    assert json.loads(capsys.readouterr().out)["CALLS"] == 6
     assert cli.main(["--home", home, "--root", root, "query", "MATCH (s:Symbol) RETURN count(s) AS n"]) == 0
-    assert json.loads(capsys.readouterr().out) == {"n": 12}
+    assert json.loads(capsys.readouterr().out) == {"n": 14}
     assert cli.main(["--home", home, "--root", root, "sql", "select count(*) AS n from calls"]) == 0
-    assert json.loads(capsys.readouterr().out) == {"n": 5}
+    assert json.loads(capsys.readouterr().out) == {"n": 6}
     assert cli.main(["--home", home, "--root", root, "map", "--budget", "40"]) == 0
     assert capsys.readouterr().out.strip()
     assert cli.main(["--home", home, "--root", "/nowhere", "stats"]) == 1

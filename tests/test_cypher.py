@@ -8,27 +8,27 @@ def q(built, text, **params):
 
 
 def test_same_rows_as_the_methods(built):
-    assert q(built, "MATCH (a:Symbol)-[c:CALLS]->(b:Symbol {name: $n}) RETURN DISTINCT a.name AS name, c.line AS line", n="process") == [("Handle", 4)]
-    assert q(built, "MATCH (a:Symbol {name: 'login', path: 'auth.py'})-[c:CALLS]->(b:Symbol) RETURN b.name AS name, c.confidence AS conf ORDER BY name") == [
-        ("connect", "EXTRACTED"), ("hash_password", "EXTRACTED"),
+    assert q(built, "MATCH (a:Symbol)-[c:CALLS]->(b:Symbol {name: $n}) RETURN DISTINCT a.name AS name, c.line AS line ORDER BY name", n="board") == [("Depart", 5), ("board", 12)]
+    assert q(built, "MATCH (a:Symbol {name: 'deposit', path: 'ledger.py'})-[c:CALLS]->(b:Symbol) RETURN b.name AS name, c.confidence AS sure ORDER BY name") == [
+        ("open_book", "EXTRACTED"), ("round_cents", "EXTRACTED"),
     ]
-    walked = q(built, "MATCH (a:Symbol {name:'login'})-[:CALLS*1..2]->(b:Symbol) RETURN DISTINCT b.name AS name ORDER BY name")
-    assert walked == [("connect",), ("hash_password",), ("open_pool",)]
-    assert q(built, "MATCH (a:File)-[:IMPORTS]->(b:File) RETURN a.path AS a, b.path AS b ORDER BY a") == [("auth.py", "db.py"), ("service.ts", "auth.py")]
-    assert q(built, "MATCH (b:Symbol {name:'BaseUser'})<-[:INHERITS]-(a:Symbol) RETURN a.name AS n") == [("User",)]
+    walked = q(built, "MATCH (a:Symbol {name:'deposit'})-[:CALLS*1..2]->(b:Symbol) RETURN DISTINCT b.name AS name ORDER BY name")
+    assert walked == [("new_page",), ("open_book",), ("round_cents",)]
+    assert q(built, "MATCH (a:File)-[:IMPORTS]->(b:File) RETURN a.path AS a, b.path AS b ORDER BY a") == [("ledger.py", "storage.py"), ("ticket.ts", "ledger.py")]
+    assert q(built, "MATCH (b:Symbol {name:'Account'})<-[:INHERITS]-(a:Symbol) RETURN a.name AS n") == [("Savings",)]
 
 
 def test_filters_groups_pages(built):
-    assert q(built, "MATCH (s:Symbol) RETURN s.kind AS kind, count(s) AS n ORDER BY n DESC, kind") == [("function", 8), ("class", 3), ("method", 1)]
-    assert q(built, "MATCH (s:Symbol) WHERE s.kind IN ['class'] AND (s.name STARTS WITH 'B' OR lower(s.name) CONTAINS 'sess') RETURN s.name AS n ORDER BY n") == [
-        ("BaseUser",), ("Session",),
+    assert q(built, "MATCH (s:Symbol) RETURN s.kind AS kind, count(s) AS n ORDER BY n DESC, kind") == [("function", 9), ("class", 3), ("interface", 1), ("method", 1)]
+    assert q(built, "MATCH (s:Symbol) WHERE s.kind IN ['class'] AND (s.name STARTS WITH 'A' OR lower(s.name) CONTAINS 'count') RETURN s.name AS n ORDER BY n") == [
+        ("Account",), ("Counter",),
     ]
-    assert q(built, "MATCH (s:Symbol) WHERE s.doc <> '' RETURN s.name AS n") == [("connect",)]
-    assert len(q(built, "MATCH (s:Symbol) RETURN s.name AS n ORDER BY n SKIP 10 LIMIT 5")) == 2
-    assert q(built, "MATCH ()-[e:CALLS]->() RETURN count(*) AS n") == [(5,)]
-    assert q(built, "MATCH (a:Symbol)-[:CALLS|USES]-(b:Symbol {name:'User'}) RETURN a.name AS n") == [("Session",)]
-    assert q(built, "MATCH (f:File {path: 'db.py'}) RETURN f.*")[0][:2] == ("db.py", "python")
-    assert q(built, "MATCH (s:Symbol)-[:DEFINED_IN]->(f:File {path:'db.py'}) RETURN count(s) AS n") == [(2,)]
+    assert q(built, "MATCH (s:Symbol) WHERE s.doc <> '' RETURN s.name AS n ORDER BY n") == [("Depart",), ("open_book",), ("round_cents",)]
+    assert len(q(built, "MATCH (s:Symbol) RETURN s.name AS n ORDER BY n SKIP 12 LIMIT 5")) == 2
+    assert q(built, "MATCH ()-[e:CALLS]->() RETURN count(*) AS n") == [(6,)]
+    assert q(built, "MATCH (a:Symbol)-[:CALLS|USES]-(b:Symbol {name:'Savings'}) RETURN a.name AS n") == [("Counter",)]
+    assert q(built, "MATCH (f:File {path: 'storage.py'}) RETURN f.*")[0][:2] == ("storage.py", "python")
+    assert q(built, "MATCH (s:Symbol)-[:DEFINED_IN]->(f:File {path:'storage.py'}) RETURN count(s) AS n") == [(2,)]
 
 
 @pytest.mark.parametrize("text", ["MATCH (a)", "MATCH (a:Nope) RETURN a.x", "MATCH (a) RETURN b.name", "MATCH (a)-[:X]->(b) RETURN a.id", "MATCH (a) RETURN a.id LIMIT 1 FOO", "CREATE (a)"])

@@ -27,59 +27,62 @@ def sample(name):
 
 
 def test_python_symbols_and_references():
-    row = sample("auth.py")
-    assert names(row, "class") == {"BaseUser", "User"}
-    assert names(row, "function") == {"hash_password", "name", "login"}
-    assert row["inherits"] == [{"sub": by_name(row)["User"]["id"], "base": "BaseUser"}]
-    assert row["imports"] == ["db"]
-    assert callees(row) == {"connect", "hash_password"}
-    assert {c["child"] for c in row["contains"]} == {by_name(row)["name"]["id"], by_name(row)["login"]["id"]}
-    assert next(c["line"] for c in row["callsites"] if c["callee_name"] == "connect") == 18
+    row = sample("ledger.py")
+    assert names(row, "class") == {"Account", "Savings"}
+    assert names(row, "function") == {"label", "round_cents", "deposit"}
+    assert row["inherits"] == [{"sub": by_name(row)["Savings"]["id"], "base": "Account"}]
+    assert row["imports"] == ["storage"]
+    assert callees(row) == {"int", "open_book", "append", "round_cents"}
+    assert {c["child"] for c in row["contains"]} == {by_name(row)["label"]["id"], by_name(row)["deposit"]["id"]}
+    assert next(c["line"] for c in row["callsites"] if c["callee_name"] == "append") == 21
 
 
 def test_typescript_and_go():
-    ts, go = sample("service.ts"), sample("handler.go")
-    assert names(ts, "class") == {"Session"} and names(ts, "method") == {"start"}
-    assert ts["imports"] == ["./auth"] and callees(ts) == {"login"} and uses(ts) == {"User"}
-    assert by_name(ts)["Session"]["start_byte"] == 39  # the class, not the export around it
-    assert names(go) == {"Handle", "process"} and callees(go) == {"process"} and go["imports"] == []
+    ts, go = sample("ticket.ts"), sample("ferry.go")
+    assert names(ts, "class") == {"Counter"} and names(ts, "method") == {"sell"} and names(ts, "interface") == {"Fare"}
+    assert ts["imports"] == ["./ledger"] and callees(ts) == {"price"} and uses(ts) == {"Fare", "Savings"}
+    from tests.conftest import SAMPLE
+
+    assert (SAMPLE / "ticket.ts").read_bytes()[by_name(ts)["Counter"]["start_byte"] :].startswith(b"class Counter")  # not the export around it
+    assert names(go) == {"Depart", "board"} and callees(go) == {"board"} and go["imports"] == []
 
 
 def test_php():
     source = (
-        "<?php\nnamespace App\\Web;\nuse Psr\\Http\\Handler;\nclass Cors implements Handler {\n"
-        "    public function process(): Reply { return $this->addHeaders(); }\n"
-        "    private static function addHeaders() { return new Helper(); }\n"
-        "    public function __construct(private Logger $log) { Factory::make(); }\n}\n"
+        "<?php\nnamespace Harbour\\Yard;\nuse Harbour\\Tools\\Winch;\n\ninterface Lifts {}\n\nfinal class Crane extends Machine implements Lifts {\n"
+        "    protected ?Winch $winch = null;\n"
+        "    final public function lift(Load $load, int $metres = 3): Height {\n        return $this->turn($load)->by(Gear::low());\n    }\n"
+        "    private static function turn($what) { return new Cable($what); }\n}\n"
     )
-    row = extract_source("Cors.php", source.encode())
-    assert names(row, "class") == {"Cors"} and names(row, "method") == {"process", "addHeaders", "__construct"}
-    assert [i["base"] for i in row["inherits"]] == ["Handler"]
-    assert row["imports"] == ["Psr\\Http\\Handler"]
-    assert "addHeaders" in callees(row) and "Helper" not in callees(row)
-    assert uses(row) == {"Reply", "Helper", "Logger", "Factory"}
-    assert by_name(row)["addHeaders"]["visibility"] == "private" and by_name(row)["addHeaders"]["modifiers"] == "static"
+    row = extract_source("yard/Crane.php", source.encode())
+    assert names(row, "class") == {"Crane"} and names(row, "interface") == {"Lifts"} and names(row, "method") == {"lift", "turn"}
+    assert {i["base"] for i in row["inherits"]} == {"Machine", "Lifts"}
+    assert row["imports"] == ["Harbour\\Tools\\Winch"]
+    assert {"turn", "by"} <= callees(row) and "Cable" not in callees(row)
+    assert {"Load", "Height", "Gear", "Cable"} <= uses(row) and "Crane" not in uses(row)
+    assert by_name(row)["turn"]["visibility"] == "private" and by_name(row)["turn"]["modifiers"] == "static"
+    assert by_name(row)["lift"]["visibility"] == "public"
 
 
 def test_python_type_uses_skip_the_class_itself():
-    row = extract_source("s.py", b"class Repo:\n    pass\n\nclass Service:\n    kept: Repo\n    def run(self, repo: Repo, me: Service) -> Repo:\n        return repo\n")
-    assert uses(row) == {"Repo"}
+    row = extract_source("d.py", b"class Dock:\n    ...\n\n\nclass Yard:\n    near: list[Dock]\n\n    def widen(self, by: int, other: Yard) -> Dock:\n        return self.near[by]\n")
+    assert uses(row) == {"Dock", "int"}
 
 
 @pytest.mark.parametrize(
     ("path", "source", "expected"),
     [
-        ("lib.c", "int add(int a, int b) {\n    return a + b;\n}\nstruct Point { int x; };\n", {"add", "Point"}),
-        ("svc.rb", "class Account\n  def deposit(n)\n    n\n  end\nend\n", {"Account", "deposit"}),
-        ("a.rs", "pub struct P { x: i32 }\nfn go() { helper(); }\nenum E { A }\n", {"P", "go", "E"}),
-        ("A.java", "public class A extends B {\n  private int add(int a) { return a; }\n}\ninterface I { void f(); }\n", {"A", "add", "I", "f"}),
-        ("k.kt", "class K { fun f(x: Int) { g() } }", {"K", "f"}),
-        ("c.cs", "public class C { private static int F(int x) { return x; } }", {"C", "F"}),
-        ("w.swift", "class W { func go() { } }", {"W", "go"}),
-        ("s.scala", "class S { def f(x: Int) = x }", {"S", "f"}),
-        ("q.lua", "local function f(x)\n return x\nend\n", {"f"}),
-        ("b.sh", "greet() {\n echo hi\n}\n", {"greet"}),
-        ("z.sql", "CREATE FUNCTION addx(a int) RETURNS int AS 'select 1';", {"addx"}),
+        ("lib.c", "static double area(double w, double h)\n{\n    return w * h;\n}\n\nstruct Hull { double beam; };\n", {"area", "Hull"}),
+        ("svc.rb", "class Buoy\n  def float_at(depth)\n    depth + 1\n  end\nend\n", {"Buoy", "float_at"}),
+        ("a.rs", "pub enum Wind { Calm, Gale }\n\nstruct Sail { area: f32 }\n\npub fn trim(s: &Sail) -> f32 { reef(s.area) }\n", {"Wind", "Sail", "trim"}),
+        ("A.java", "final class Anchor implements Heavy {\n  private int weigh(int n) { return n; }\n}\ninterface Heavy { int weigh(int n); }\n", {"Anchor", "weigh", "Heavy"}),
+        ("k.kt", "class Rope { fun splice(n: Int) { knot(n) } }", {"Rope", "splice"}),
+        ("c.cs", "public class Oar { internal static int Length(int of) { return of; } }", {"Oar", "Length"}),
+        ("w.swift", "class Mast { func raise(_ flag: Flag) { } }", {"Mast", "raise"}),
+        ("s.scala", "class Deck { def scrub(n: Int) = n }", {"Deck", "scrub"}),
+        ("q.lua", "local function drift(x)\n return x + 1\nend\n", {"drift"}),
+        ("b.sh", "hoist() {\n echo up\n}\n", {"hoist"}),
+        ("z.sql", "CREATE FUNCTION knots(mph float) RETURNS float AS 'select 1';", {"knots"}),
     ],
 )
 def test_other_languages(path, source, expected):
@@ -92,11 +95,11 @@ def test_go_types_in_one_block_have_their_own_ids():
 
 
 def test_visibility_and_modifiers():
-    py = by_name(extract_source("s.py", b"def a():\n    pass\n\ndef _b():\n    pass\n\nasync def c():\n    pass\n\ndef __d__():\n    pass\n"))
-    assert [py[n]["visibility"] for n in ("a", "_b", "c", "__d__")] == ["public", "private", "public", "public"]
-    assert py["c"]["modifiers"] == "async"
-    ts = by_name(extract_source("s.ts", b"class C {\n  private secret() { return 1; }\n  static make() { return 2; }\n}\n"))
-    assert ts["secret"]["visibility"] == "private" and ts["make"]["modifiers"] == "static"
+    py = by_name(extract_source("v.py", b"async def sail():\n    ...\n\n\ndef _bail(n):\n    return n\n\n\ndef __enter__():\n    ...\n\n\ndef moor(): ...\n"))
+    assert [py[n]["visibility"] for n in ("sail", "_bail", "__enter__", "moor")] == ["public", "private", "public", "public"]
+    assert py["sail"]["modifiers"] == "async"
+    ts = by_name(extract_source("v.ts", b"class Helm {\n  protected steer(by: number) { return by; }\n  static async straight() { return 0; }\n  private hold() {}\n}\n"))
+    assert [ts[n]["visibility"] for n in ("steer", "straight", "hold")] == ["protected", "public", "private"] and "static" in ts["straight"]["modifiers"]
 
 
 def test_comments_before_a_definition_and_byte_offsets():
