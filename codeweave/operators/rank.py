@@ -23,8 +23,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
         return spark.createDataFrame([], "id string, rank double")
     ids = nodes.select("id")
     known = edges.select("src", "dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    pairs = known.groupBy("src", "dst").agg(F.count("*").alias("times"))
-    degrees = known.groupBy("src").agg(F.count("*").alias("degree"))
+    pairs = materialize(known.groupBy("src", "dst").agg(F.count("*").alias("times")))
+    degrees = pairs.groupBy("src").agg(F.sum("times").alias("degree"))
     links = materialize(pairs.join(degrees, "src").select("src", "dst", (F.col("times") / F.col("degree")).alias("share")))
     out = materialize(ids.join(degrees.select(F.col("src").alias("id"), F.lit(True).alias("links")), "id", "left").select("id", F.col("links").isNull().alias("dangling")))
     ranks = out.select("id", "dangling", F.lit(1.0 / n).alias("rank"))

@@ -1,4 +1,7 @@
-"""Bounded graph traversals as frontier loops: one join, one distinct and one anti-join a hop."""
+"""Bounded graph traversals as frontier loops: one join, one distinct and one anti-join a hop.
+
+Edges are often resolved from raw references; where several hops read them, they are written once.
+"""
 
 from __future__ import annotations
 
@@ -19,10 +22,12 @@ def k_hop(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 
     ``edges``: (src, dst); ``start``: (id). A start node is in the result if a walk leads back to it.
     """
+    depth = clamp(depth)
     steps = edges.select("src", "dst").distinct()
+    if depth > 1:
+        steps = materialize(steps)
     seen = None
     frontier = start.select("id").distinct()
-    depth = clamp(depth)
     for hop in range(1, depth + 1):
         reached = frontier.join(steps, frontier["id"] == steps["src"]).select(F.col("dst").alias("id")).distinct()
         if seen is not None:
@@ -44,7 +49,7 @@ def shortest_path(edges: DataFrame, start: DataFrame, end: DataFrame, depth: int
     end node, of which the smallest counts. From a node to itself: its shortest cycle.
     """
     spark = edges.sparkSession
-    steps = edges.select("src", "dst").distinct()
+    steps = materialize(edges.select("src", "dst").distinct())
     levels: list[DataFrame] = []
     frontier = start.select("id").distinct()
     seen = None

@@ -1,9 +1,11 @@
 """A compiler for the graph patterns that code queries use, to DataFrames.
 
 Grammar: ``MATCH`` of one node or of two nodes and a relationship; labels File and Symbol; property maps;
-relationship types, one or several by ``|``, directed or not, ``*a..b`` (to 6); ``WHERE`` with AND, OR, NOT,
+relationship types, one or several by ``|``, directed or not, ``*a..b`` (to 6), ``* SHORTEST a..b``; ``WHERE`` with AND, OR, NOT,
 parentheses, ``= <> < <= > >=``, IN, CONTAINS, STARTS WITH, ENDS WITH, IS [NOT] NULL; ``RETURN [DISTINCT]``
-of properties, ``n.*``, ``count(x)``, ``count(*)`` (grouped by the others), ``lower()``; ``ORDER BY``,
+of properties, ``n.*``, ``count(x)``, ``count(*)`` (grouped by the others), ``lower()``; of a relationship ``e`` of several
+steps ``list_transform(nodes(e), n -> n.property)`` over the nodes between its ends, and of ``p = (a)-[...]-(b)`` the
+path ``p``, an array of its nodes from end to end; ``ORDER BY``,
 ``SKIP``, ``LIMIT``; ``$parameters``. Anything else is an error, never a guess. For more, use
 ``spark.sql`` on the catalog's views.
 """
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweave.operators import traverse
+from codeweave.plans.scratch import materialize
 from codeweave.schema import Graph
 
 _TOKEN = re.compile(
@@ -111,6 +114,10 @@ class Compiler:
         self.expect(")")
         return name, table.select(*[F.col(c).alias(f"{name}.{c}") for c in table.columns])
 
+    def relationship(self) -> str:
+        """A type's name; one of them is a keyword elsewhere."""
+        return "CONTAINS" if self.accept("CONTAINS") else self.word()
+
     def edges(self, kind: str) -> DataFrame:
         if kind == "IMPORTS":
             return self.g.imports.select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst"))
@@ -121,8 +128,14 @@ class Compiler:
         raise CypherError(f"no relationship {kind}")
 
     def match(self) -> DataFrame:
+        path = None
+        if self.t[self.i][0] == "word" and self.peek("=", 1):
+            path = self.word()
+            self.expect("=")
         left, rows = self.node()
         if not (self.peek("-") or self.peek("<-")):
+            if path:
+                raise CypherError("a path has a relationship")
             return rows
         back = self.accept("<-")
         if not back:
@@ -131,12 +144,16 @@ class Compiler:
         name = self.word() if self.t[self.i][0] == "word" else None
         kinds = []
         if self.accept(":"):
-            kinds.append(self.word())
+            kinds.append(self.relationship())
             while self.accept("|"):
                 self.accept(":")
-                kinds.append(self.word())
+                kinds.append(self.relationship())
         span = None
+        shortest = False
         if self.accept("*"):
+            if self.t[self.i][0] == "word" and self.t[self.i][1].upper() == "SHORTEST":
+                self.i += 1
+                shortest = True
             low = self.value() if self.t[self.i][0] == "number" else 1
             high = low if not self.accept("..") else (self.value() if self.t[self.i][0] == "number" else traverse.MAX_DEPTH)
             span = (low, high)
@@ -155,27 +172,75 @@ class Compiler:
         flipped = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *columns)
         e = flipped if back else e if forward else e.unionByName(flipped)
         a, b = (f"{n}.{'path' if self.labels[n] == 'File' else 'id'}" for n in (left, right))
-        if span:
-            if name:
-                raise CypherError("a path of several steps has no variable here")
-            e, columns = self._walks(e, rows.select(F.col(f"`{a}`").alias("id")), *span), []
-        if name:
+        ways = bool(path or (name and span))
+        if span or path:
+            starts = rows.select(F.col(f"`{a}`").alias("id"))
+            if shortest:
+                e = self._shortest(e, starts, others.select(F.col(f"`{b}`").alias("id")), *span)
+            else:
+                e = self._walks(e, starts, *(span or (1, 1)), ways)
+            columns = []
+        if ways:
+            if "File" in (self.labels[left], self.labels[right]):
+                raise CypherError("paths go from symbol to symbol")
+            e, columns = self._with_nodes(e), ["nodes"]
+            self.labels[name or path] = "WAY"
+            name = name or path
+        elif name:
             self.labels[name] = "REL"
         e = e.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), *[F.col(c).alias(f"{name or '_'}.{c}") for c in columns])
-        return rows.join(e, F.col(f"`{a}`") == F.col("_src")).join(others, F.col("_dst") == F.col(f"`{b}`")).drop("_src", "_dst")
+        rows = rows.join(e, F.col(f"`{a}`") == F.col("_src")).join(others, F.col("_dst") == F.col(f"`{b}`")).drop("_src", "_dst")
+        if path:
+            ends = [F.array(F.struct(*[F.col(f"`{n}.{c}`").alias(c) for c in self.g.symbols.columns])) for n in (left, right)]
+            rows = rows.withColumn(f"{path}.", F.concat(ends[0], F.col(f"`{name}.nodes`"), ends[1]))
+            self.labels[path] = "PATH"
+        return rows
 
-    def _walks(self, e: DataFrame, start: DataFrame, low: int, high: int) -> DataFrame:
-        """Distinct (src, dst) that a walk of low to high steps joins, from the given starts."""
-        if not 1 <= low <= high <= traverse.MAX_DEPTH:
-            raise CypherError(f"a path has 1 to {traverse.MAX_DEPTH} steps")
+    def _walks(self, e: DataFrame, start: DataFrame, low: int, high: int, ways: bool = False) -> DataFrame:
+        """(src, dst, way): what walks of low to high steps join, from the given starts.
+
+        With ``ways`` a row a walk, and the nodes between its ends; else distinct ends.
+        """
+        self._bounds(low, high)
         steps = e.select("src", "dst").distinct()
-        ends = start.distinct().select(F.col("id").alias("src"), F.col("id").alias("at"))
+        empty = F.array().cast("array<string>")
+        ends = start.distinct().select(F.col("id").alias("src"), F.col("id").alias("at"), empty.alias("way"))
         found = None
         for hop in range(1, high + 1):
-            ends = ends.join(steps.withColumnsRenamed({"src": "at", "dst": "to"}), "at").select("src", F.col("to").alias("at")).distinct()
+            way = F.concat("way", F.array("at")) if ways and hop > 1 else empty
+            ends = ends.join(steps.withColumnsRenamed({"src": "at", "dst": "to"}), "at").select("src", F.col("to").alias("at"), way.alias("way")).distinct()
             if hop >= low:
                 found = ends if found is None else found.unionByName(ends)
-        return found.distinct().withColumnRenamed("at", "dst")
+        return (found if ways else found.distinct()).withColumnRenamed("at", "dst")
+
+    def _shortest(self, e: DataFrame, start: DataFrame, end: DataFrame, low: int, high: int) -> DataFrame:
+        """(src, dst, way): one shortest walk for every start and end that one joins, by the smallest nodes between them."""
+        self._bounds(low, high)
+        if low != 1:
+            raise CypherError("a shortest path begins at one step")
+        steps = materialize(e.select("src", "dst").distinct())
+        ends = start.distinct().select(F.col("id").alias("src"), F.col("id").alias("at"), F.array().cast("array<string>").alias("way"))
+        seen = None
+        for hop in range(1, high + 1):
+            way = F.concat("way", F.array("at")) if hop > 1 else F.col("way")
+            reached = ends.join(steps.withColumnsRenamed({"src": "at", "dst": "to"}), "at").groupBy("src", "to").agg(F.min(way).alias("way")).withColumnRenamed("to", "at")
+            ends = materialize(reached if seen is None else reached.join(seen, ["src", "at"], "left_anti"))
+            seen = ends if seen is None else seen.unionByName(ends)
+        return seen.join(end.distinct().withColumnRenamed("id", "at"), "at", "left_semi").withColumnRenamed("at", "dst")
+
+    @staticmethod
+    def _bounds(low: int, high: int) -> None:
+        if not 1 <= low <= high <= traverse.MAX_DEPTH:
+            raise CypherError(f"a path has 1 to {traverse.MAX_DEPTH} steps")
+
+    def _with_nodes(self, walks: DataFrame) -> DataFrame:
+        """``walks`` with the symbols of ``way``, in order, as ``nodes``."""
+        s = self.g.symbols
+        node = F.struct(*[F.col(c) for c in s.columns])
+        places = walks.select("src", "dst", "way", F.posexplode("way").alias("pos", "id")).join(s, "id")
+        held = places.groupBy("src", "dst", "way").agg(F.array_sort(F.collect_list(F.struct("pos", node.alias("node")))).alias("held"))
+        none = F.expr(f"CAST(array() AS array<{s.schema.simpleString()}>)")
+        return walks.join(held, ["src", "dst", "way"], "left").select("src", "dst", F.coalesce(F.transform("held", lambda h: h["node"]), none).alias("nodes"))
 
     # expressions
     def operand(self) -> tuple[Column, str]:
@@ -185,6 +250,11 @@ class Compiler:
             c, text = self.operand()
             self.expect(")")
             return (F.lower(c) if "lower" in v.lower() else F.upper(c)), f"{v}({text})"
+        if kind == "word" and v.lower() == "list_transform" and self.peek("(", 1):
+            return self.transformed()
+        if kind == "word" and self.labels.get(v) == "PATH":
+            self.i += 1
+            return F.col(f"`{v}.`"), v
         if kind == "word":
             name = self.word()
             if name not in self.labels:
@@ -195,6 +265,27 @@ class Compiler:
         value = self.value()
         return (F.lit(value) if not isinstance(value, list) else F.array(*map(F.lit, value))), str(value)
 
+    def transformed(self) -> tuple[Column, str]:
+        """``list_transform(nodes(e), n -> n.property)``"""
+        self.i += 2
+        if self.word().lower() != "nodes":
+            raise CypherError("list_transform takes nodes(e)")
+        self.expect("(")
+        name = self.word()
+        if self.labels.get(name) not in ("WAY", "PATH"):
+            raise CypherError(f"{name} has no nodes")
+        self.expect(")")
+        self.expect(",")
+        each = self.word()
+        self.expect("->")
+        if self.word() != each:
+            raise CypherError(f"expected {each}")
+        self.expect(".")
+        p = self.word()
+        nodes = F.col(f"`{name}.nodes`" if self.labels[name] == "WAY" else f"`{name}.`")
+        self.expect(")")
+        return F.transform(nodes, lambda n: n[p]), f"list_transform({name}.{p})"
+
     def condition(self) -> Column:
         c = self.conjunction()
         while self.accept("OR"):

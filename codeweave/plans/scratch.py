@@ -15,9 +15,14 @@ _local: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``; only where that is unset (tests on one machine), a local folder."""
+    """A new path under ``spark.checkpoint.dir``; where that is unset, a local folder, but only if all of Spark runs in this process.
+
+    Executors on other machines would each write to a disk of their own, so there it must be set.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="codeweave-"))
             atexit.register(shutil.rmtree, _local[0], ignore_errors=True)

@@ -1,7 +1,9 @@
 """Live refresh: file events, filtered and debounced, trigger an incremental build.
 
-The debounce is one global session window: it ends after a quiet gap. It is the only key, as there is
-one index to refresh; the events of a burst are combined before the shuffle.
+The debounce is one global session window: it ends after a quiet gap, as there is one index to refresh. In a
+table, bursts are found within stretches of time first, each stretch on its own; only one row a stretch then
+decides which bursts go on in the next one. A stream has one key for all its open bursts: what it keeps
+is a row a burst.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -40,17 +42,41 @@ def dispatch(events: DataFrame, root: str) -> DataFrame:
     return events.where(~F.coalesce("is_directory", F.lit(False)) & keep).withColumn("head", head)
 
 
-def debounce(events: DataFrame, gap: str = GAP, delay: str | None = None) -> DataFrame:
-    """(first_event, last_event, n_events, reason) of each burst of events (ts, head)."""
-    rows = events.withWatermark("ts", delay) if delay is not None else events
-    # streams need a key beside the window; this one is the same for every row
-    burst = rows.groupBy(F.session_window("ts", gap), F.col("ts").isNull().alias("none")).agg(
+def _bursts(rows: DataFrame, gap: str, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys, F.session_window("ts", gap)).agg(
         F.min("ts").alias("first_event"), F.max("ts").alias("last_event"), F.count("*").alias("n_events"), F.max("head").alias("head")
     )
+
+
+def debounce(events: DataFrame, gap: str = GAP, delay: str | None = None, stretch: int = 3600) -> DataFrame:
+    """(first_event, last_event, n_events, reason) of each burst of events (ts, head); events without a time are in none."""
+    rows = events.where("ts IS NOT NULL")
+    if events.isStreaming:
+        rows = rows.withWatermark("ts", delay or "0 seconds").withColumn("all", F.lit(0))
+        burst = _bursts(rows, gap, "all")
+    else:
+        burst = _joined(_bursts(rows.withColumn("stretch", F.floor(F.unix_micros("ts") / (stretch * 1_000_000))), gap, "stretch"), gap)
     reason = F.when(F.col("head"), "branch switched").otherwise("files changed")
     return burst.select("first_event", "last_event", "n_events", reason.alias("reason"))
 
 
+def _joined(parts: DataFrame, gap: str) -> DataFrame:
+    """Bursts of single stretches, put together where one goes on in the next stretch that has events."""
+    edges = parts.groupBy("stretch").agg(F.min("first_event").alias("low"), F.max("last_event").alias("high"), F.count("*").alias("bursts"))
+    in_time = Window.orderBy("stretch")  # over one row a stretch, not over events
+    goes_on = F.coalesce(F.col("low") <= F.lag("high").over(in_time) + F.expr(f"INTERVAL {gap}"), F.lit(False))
+    edges = edges.withColumn("goes_on", goes_on)
+    # the stretch in which the burst began that is open at the end of this one
+    began = F.last(F.when(~F.col("goes_on") | (F.col("bursts") > 1), F.col("stretch")), ignorenulls=True).over(in_time.rowsBetween(Window.unboundedPreceding, 0))
+    edges = edges.withColumn("began", began).withColumn("before", F.when(F.col("goes_on"), F.lag("began").over(in_time)))
+    at_edge = parts.join(edges, "stretch")
+    open_burst = F.when(F.col("last_event") == F.col("high"), F.col("began")).when(F.col("first_event") == F.col("low"), F.col("before"))
+    keyed = at_edge.withColumn("burst", open_burst).withColumn("alone", F.when(F.col("burst").isNull(), F.col("first_event")))
+    return keyed.groupBy("burst", "alone").agg(
+        F.min("first_event").alias("first_event"), F.max("last_event").alias("last_event"), F.sum("n_events").alias("n_events"), F.max("head").alias("head")
+    )
+
+
 def watch(events: DataFrame, root: str, refresh: Callable[[str], None], checkpoint: str, gap: str = GAP, trigger: dict | None = None) -> StreamingQuery:
     """Calls ``refresh(reason)`` once for each burst; a failed refresh is logged, and the watch goes on."""
 

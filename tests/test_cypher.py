@@ -31,6 +31,17 @@ def test_filters_groups_pages(built):
     assert q(built, "MATCH (s:Symbol)-[:DEFINED_IN]->(f:File {path:'storage.py'}) RETURN count(s) AS n") == [(2,)]
 
 
+def test_paths_and_the_nodes_on_them(built):
+    ways = "MATCH (a:Symbol {name:'deposit'})-[e:CALLS* SHORTEST 1..6]->(b:Symbol {name:$b}) RETURN list_transform(nodes(e), n -> n.name) AS mid LIMIT 1"
+    assert q(built, ways, b="new_page") == [(["open_book"],)] and q(built, ways, b="open_book") == [([],)] and q(built, ways, b="board") == []
+    assert q(built, "MATCH (a:Symbol {name:'board'})-[e:CALLS* SHORTEST 1..3]->(b:Symbol {name:'board'}) RETURN list_transform(nodes(e), n -> n.id) AS mid") == [([],)]
+    whole = q(built, "MATCH p=(a:Symbol {name:'Counter'})-[:USES|CALLS|CONTAINS*1..2]->(b) RETURN p LIMIT 100")
+    assert sorted([n["name"] for n in p] for (p,) in whole) == [["Counter", "Fare"], ["Counter", "Savings"], ["Counter", "Savings", "deposit"], ["Counter", "sell"], ["Counter", "sell", "price"]]
+    assert q(built, "MATCH p=(a:Symbol {name:'sell'})-[:CALLS]->(b) RETURN list_transform(nodes(p), n -> n.name) AS names") == [(["sell", "price"],)]
+    with pytest.raises(CypherError):
+        q(built, "MATCH (a)-[e:CALLS]->(b) RETURN list_transform(nodes(e), n -> n.name) AS x")
+
+
 @pytest.mark.parametrize("text", ["MATCH (a)", "MATCH (a:Nope) RETURN a.x", "MATCH (a) RETURN b.name", "MATCH (a)-[:X]->(b) RETURN a.id", "MATCH (a) RETURN a.id LIMIT 1 FOO", "CREATE (a)"])
 def test_what_is_not_supported_is_an_error(built, text):
     with pytest.raises(CypherError):

@@ -1,6 +1,9 @@
 import datetime as dt
 import time
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from codeweave.streaming import watch
 
 T0 = dt.datetime(2024, 1, 1)
@@ -24,6 +27,21 @@ def test_debounce_in_batch(spark):
     assert [(r["n_events"], r["reason"]) for r in got] == [(2, "branch switched"), (1, "files changed")]
 
 
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.integers(0, 200), max_size=40), st.integers(1, 60))
+def test_bursts_over_stretches(spark, seconds, stretch):
+    """Whatever the stretches, bursts are those of the events in order."""
+    df = spark.createDataFrame([(T0 + dt.timedelta(seconds=t), t % 7 == 0) for t in seconds] + [(None, True)], "ts timestamp, head boolean")
+    expected, last = [], None
+    for t in sorted(seconds):
+        if last is None or t - last > 5:
+            expected.append([t, t, 0, False])
+        expected[-1][1:] = [t, expected[-1][2] + 1, expected[-1][3] or t % 7 == 0]
+        last = t
+    got = [((r["first_event"] - T0).total_seconds(), (r["last_event"] - T0).total_seconds(), r["n_events"], r["reason"] == "branch switched") for r in watch.debounce(df, "5 seconds", stretch=stretch).collect()]
+    assert sorted(got) == [tuple(e) for e in expected]
+
+
 def test_stream_refreshes_once_a_burst_and_survives_errors(spark, tmp_path):
     source, seen = tmp_path / "in", []
     for n, rows in enumerate([[("/w/a.py", None, False, 0), ("/w/b.py", None, False, 1)], [("/w/.git/HEAD", None, False, 20)], [("/w/c.py", None, False, 60)]]):
