@@ -6,6 +6,8 @@ import argparse
 import json
 import os
 import sys
+import tempfile
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,7 @@ from codeweave.graph import CodeGraph
 from codeweave.plans.build import build_index, open_graph
 from codeweave.plans.cypher import cypher
 from codeweave.sources.catalog import Catalog
+from codeweave.streaming.live import Poller, live, spooled
 
 TOOLS = (
     "search_symbols", "get_symbol", "symbols_in_file", "callers", "callees", "uses", "used_by", "inheritors", "inherited_from", "search_docs",
@@ -57,6 +60,22 @@ def serve(graph: CodeGraph) -> None:
             print(json.dumps({"error": str(e)}), flush=True)
 
 
+def watch_tree(spark: SparkSession, root: str, home: str, seconds: float | None = None) -> None:
+    """Indexes the tree, then again after every burst of changes; a JSON line each time."""
+    print(json.dumps({"reason": "start", **build_index(spark, root, home)}), flush=True)
+    with tempfile.TemporaryDirectory(prefix="codeweave-watch-") as folder:
+        poller, stop = Poller(root, f"{folder}/events"), threading.Event()
+        threading.Thread(target=poller.run, args=(stop,), daemon=True).start()
+        query = live(spark, root, home, spooled(spark, f"{folder}/events"), f"{folder}/checkpoint", lambda why, stats: print(json.dumps({"reason": why, **stats}), flush=True))
+        try:
+            query.awaitTermination(seconds)
+        except KeyboardInterrupt:
+            pass
+        finally:
+            stop.set()
+            query.stop()
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="codeweave")
     parser.add_argument("--home", default=os.path.expanduser("~/.codeweave"))
@@ -73,6 +92,8 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_parser("audit")
     sub.add_parser("serve")
     sub.add_parser("projects")
+    watching = sub.add_parser("watch")
+    watching.add_argument("--seconds", type=float, help="how long; until interrupted, if not given")
     export = sub.add_parser("export")
     export.add_argument("out")
     args = parser.parse_args(argv)
@@ -83,6 +104,9 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "index":
         print(json.dumps(build_index(spark, args.root, args.home, args.full)))
         return 0
+    if args.command == "watch":
+        watch_tree(spark, args.root, args.home, args.seconds)
+        return 0
     catalog = Catalog(spark, args.home)
     if args.command == "projects":
         for p in catalog.projects():

@@ -1,8 +1,10 @@
-"""Stored graphs: versioned Parquet folders, a pointer to the current one, and a registry of projects.
+"""Stored graphs: versioned Parquet folders, pointers to the current one, and a registry of projects.
 
-A build writes a new version beside the old one and then swaps the pointer, a file of one line, so readers
-see either graph whole and a build that fails changes nothing. Paths go through Hadoop's file system, so
-any store that Spark can write will do.
+A build writes a new version beside the old one and then a pointer, a file of one line with the next number.
+The pointer with the highest number counts; none is ever written over, so whatever a build that fails or two
+builds at once leave behind, readers see one graph whole. The version before stays until the next build, for
+readers that hold it open. The registry has such pointers too, in a folder for each project. Paths go through
+Hadoop's file system, so any store that Spark can write will do.
 """
 
 from __future__ import annotations
@@ -46,15 +48,45 @@ class Store:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
-        """Written beside and moved over, so no reader sees half a file."""
+    def create(self, path: str, text: str) -> bool:
+        """Written beside and moved there, so no reader sees half a file; False if there is a file already."""
         fs, p = self._at(path)
-        _, new = self._at(f"{path}.{uuid.uuid4().hex}")
+        _, new = self._at(f"{path}.{uuid.uuid4().hex}.new")
         stream = fs.create(new, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        fs.delete(p, False)
-        fs.rename(new, p)
+        if not fs.exists(p) and fs.rename(new, p):
+            return True
+        fs.delete(new, False)
+        return False
+
+    def names(self, path: str) -> list[str]:
+        """Names of the files and folders in a folder; none where there is none."""
+        fs, p = self._at(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def point(self, folder: str, text: str) -> None:
+        """Makes ``text`` what the folder's newest pointer says."""
+        while not self.create(f"{folder}/CURRENT.{(self._pointers(folder) or [0])[-1] + 1:012d}", text):
+            pass  # another writer had the number
+
+    def _pointers(self, folder: str) -> list[int]:
+        return sorted(int(m[1]) for n in self.names(folder) if (m := re.fullmatch(r"CURRENT\.(\d{12})", n)))
+
+    def pointed(self, folder: str) -> list[dict]:
+        """What a folder's pointers say, the newest first; broken ones count for nothing."""
+        found = []
+        for n in reversed(self._pointers(folder)):
+            try:
+                found.append(json.loads(self.read(f"{folder}/CURRENT.{n:012d}") or "null"))
+            except ValueError:
+                continue
+        return [f for f in found if isinstance(f, dict)]
+
+    def forget(self, folder: str, keep: int = 2) -> None:
+        """Removes all but the newest pointers."""
+        for n in self._pointers(folder)[:-keep]:
+            self.delete(f"{folder}/CURRENT.{n:012d}")
 
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
@@ -73,17 +105,14 @@ class Catalog:
 
     # registry
     def projects(self) -> list[dict]:
-        """Registered projects by root; a broken registry counts as empty."""
-        try:
-            known = json.loads(self.store.read(f"{self.home}/registry.json") or "{}")
-        except ValueError:
-            known = {}
-        return [known[k] for k in sorted(known)]
+        """Registered projects by root; a broken entry counts as none."""
+        known = [found[0] for name in self.store.names(f"{self.home}/registry") if (found := self.store.pointed(f"{self.home}/registry/{name}"))]
+        return sorted(known, key=lambda p: p["root"])
 
     def register(self, root: str, stats: dict[str, int]) -> None:
-        known = {p["root"]: p for p in self.projects()}
-        known[root] = {"root": root, "slug": slug(root), "db": self.folder(root), "stats": stats, "last_indexed": time.strftime("%Y-%m-%dT%H:%M:%S")}
-        self.store.write(f"{self.home}/registry.json", json.dumps(known, sort_keys=True))
+        entry = {"root": root, "slug": slug(root), "db": self.folder(root), "stats": stats, "last_indexed": time.strftime("%Y-%m-%dT%H:%M:%S")}
+        self.store.point(f"{self.home}/registry/{slug(root)}", json.dumps(entry, sort_keys=True))
+        self.store.forget(f"{self.home}/registry/{slug(root)}")
 
     def folder(self, root: str) -> str:
         return f"{self.home}/projects/{slug(root)}"
@@ -91,10 +120,7 @@ class Catalog:
     # one project
     def current(self, root: str) -> dict | None:
         """Version, schema and stats of the current graph."""
-        try:
-            meta = json.loads(self.store.read(f"{self.folder(root)}/CURRENT") or "null")
-        except ValueError:
-            return None
+        meta = next(iter(self.store.pointed(self.folder(root))), None)
         return meta if meta and meta.get("schema") == SCHEMA_VERSION else None
 
     def _read(self, path: str, ddl: str) -> DataFrame:
@@ -130,10 +156,10 @@ class Catalog:
         return f"{self.folder(root)}/v-{uuid.uuid4().hex}"
 
     def publish(self, root: str, path: str, stats: dict[str, int]) -> None:
-        """Make a written version current; the one before goes."""
-        before = self.current(root)
-        version = path.rsplit("/", 1)[-1]
-        self.store.write(f"{self.folder(root)}/CURRENT", json.dumps({"version": version, "schema": SCHEMA_VERSION, "stats": stats}))
+        """Make a written version current; the one before stays, older ones go."""
+        folder, version = self.folder(root), path.rsplit("/", 1)[-1]
+        self.store.point(folder, json.dumps({"version": version, "schema": SCHEMA_VERSION, "stats": stats}))
         self.register(root, stats)
-        if before:
-            self.store.delete(f"{self.folder(root)}/{before['version']}")
+        for old in self.store.pointed(folder)[2:]:  # versions that were never published may be another build's
+            self.store.delete(f"{folder}/{old['version']}")
+        self.store.forget(folder)

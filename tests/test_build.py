@@ -122,16 +122,42 @@ def test_projects_are_apart(spark, tmp_path):
     c.register("/b/repo", {"File": 1})
     c.register("/a/repo", {"File": 2})
     assert [p["root"] for p in c.projects()] == ["/a/repo", "/b/repo"]
-    c.store.write(f"{tmp_path}/registry.json", "{broken")
-    assert c.projects() == []
+    c.register("/a/repo", {"File": 3})
+    assert [p["stats"]["File"] for p in c.projects()] == [3, 1]
+    c.store.point(f"{tmp_path}/registry/{slug('/a/repo')}", "{broken")
+    assert [p["stats"]["File"] for p in c.projects()] == [3, 1]  # the entry before counts
 
 
 def test_another_schema_version_is_no_graph(spark, tmp_path):
     c = Catalog(spark, str(tmp_path))
-    c.store.write(f"{c.folder('/x')}/CURRENT", json.dumps({"version": "v-1", "schema": -1, "stats": {}}))
+    c.store.point(c.folder("/x"), json.dumps({"version": "v-1", "schema": -1, "stats": {}}))
     assert c.current("/x") is None and c.graph("/x") is None
 
 
+def test_publishing_keeps_a_graph_whatever_happens(spark, tmp_path):
+    """Pointers are never written over; the version before stays for its readers, what is being written is left alone."""
+    c, root = Catalog(spark, str(tmp_path)), "/x"
+
+    def version(n):
+        path = c.new_version(root)
+        spark.range(n).write.parquet(f"{path}/symbols")
+        return path
+
+    first, second, third = version(1), version(2), version(3)
+    c.publish(root, first, {"Symbol": 1})
+    opened = spark.read.parquet(f"{first}/symbols")
+    c.publish(root, second, {"Symbol": 2})
+    assert c.current(root)["stats"] == {"Symbol": 2} and opened.count() == 1
+    unfinished = c.new_version(root)
+    spark.range(1).write.parquet(f"{unfinished}/files")
+    c.publish(root, third, {"Symbol": 3})
+    left = [n for n in c.store.names(c.folder(root)) if n.startswith("v-")]
+    assert sorted(left) == sorted(p.rsplit("/", 1)[-1] for p in (second, third, unfinished))
+    assert not c.store.create(f"{c.folder(root)}/CURRENT.{3:012d}", "{}") and c.current(root)["stats"] == {"Symbol": 3}
+    c.store.create(f"{c.folder(root)}/CURRENT.{9:012d}", "{half a")  # a crash in a store without atomic moves
+    assert c.current(root)["stats"] == {"Symbol": 3}
+
+
 def test_command_line(spark, built, capsys, monkeypatch):
     from codeweave import cli
 

@@ -61,3 +61,32 @@ def test_stream_refreshes_once_a_burst_and_survives_errors(spark, tmp_path):
     finally:
         q.stop()
     assert seen[:2] == ["files changed", "branch switched"]  # the last burst is still open
+
+
+def test_changes_of_a_tree_reach_its_stored_graph(spark, sample_repo, tmp_path):
+    """A file that changes, one that comes and one that goes are one burst; the graph follows, a failed build is only logged."""
+    from codeweave.plans.build import build_index, open_graph
+    from codeweave.streaming.live import Poller, live, spooled
+
+    home, spool, seen = str(tmp_path / "home"), str(tmp_path / "spool"), []
+    build_index(spark, str(sample_repo), home, embeddings=False)
+    poller = Poller(str(sample_repo), spool)
+    assert poller.look() == 0
+    query = live(spark, str(sample_repo), home, spooled(spark, spool), str(tmp_path / "checkpoint"), lambda why, stats: seen.append((why, stats["Symbol"])), gap="1 second", trigger={"processingTime": "0 seconds"})
+    try:
+        (sample_repo / "storage.py").write_text("def new_page(width):\n    return []\n")
+        (sample_repo / "tide.go").write_text("package ferry\n\nfunc Tide() int { return board(1) }\n")
+        (sample_repo / "ticket.ts").unlink()
+        (sample_repo / "notes.md").write_text("no source")
+        assert poller.look() == 3
+        end = time.time() + 90
+        while not seen and time.time() < end:
+            time.sleep(1.5)  # later events move the watermark past the burst
+            (sample_repo / "ferry.go").write_bytes((sample_repo / "ferry.go").read_bytes() + b"\n")
+            poller.look()
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    assert seen[0] == ("files changed", 14 - 1 + 1 - 5)
+    g = open_graph(spark, str(sample_repo), home)
+    assert {r["name"] for r in g.callers("board").collect()} == {"Depart", "board", "Tide"} and g.get_symbol("open_book").isEmpty()
