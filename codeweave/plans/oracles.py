@@ -241,15 +241,56 @@ ORACLES: dict[str, str] = {
         SELECT path FROM (SELECT CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'node_modules/' WHEN 2 THEN '.hidden/' WHEN 3 THEN 'src/' WHEN 4 THEN 'build/' ELSE 'a/b/' END || {_DOC_PATH} AS path,
             doc_id FROM documents) WHERE doc_id % 6 IN (0, 3, 5) AND doc_id % 8 NOT IN (4, 6)
     """,
-    "read_body": "SELECT page_id, substr(html, 6, 40) AS body FROM pages WHERE strlen(substr(html, 1, 45)) = 45",
+    "read_body": "SELECT page_id, substr(html, CAST(page_id % 400 AS INTEGER) + 1, 900) AS body FROM pages",
     "batch_bodies": _with(
         "sym",
-        f"""SELECT CAST(o AS INTEGER) AS ord, ref, CASE WHEN s.id IS NULL THEN NULL ELSE {SPAN} END AS location, s.kind, CASE WHEN s.id IS NULL THEN 'not found' END AS error
+        f"""SELECT CAST(o AS INTEGER) AS ord, ref, CASE WHEN s.id IS NULL THEN NULL ELSE {SPAN} END AS location, s.kind,
+            substr(rpad(s.path, CAST((SELECT max(end_byte) FROM sym t WHERE t.path = s.path) AS INTEGER), s.path || ';'), s.start_byte + 1, s.end_byte - s.start_byte) AS body,
+            CASE WHEN s.id IS NULL THEN 'not found' END AS error
         FROM (SELECT 0 AS o, 'blue_bolt' AS ref UNION ALL SELECT 1, 'no such symbol' UNION ALL SELECT 2, (SELECT id FROM sym WHERE pk = 7)) q
         LEFT JOIN LATERAL (SELECT * FROM sym WHERE id = q.ref OR name = q.ref ORDER BY id <> q.ref, path, id LIMIT 1) s ON true""",
     ),
+    "hot_symbols_invalid_edge": "SELECT '' AS name, '' AS kind, '' AS location, CAST(0 AS BIGINT) AS in_degree WHERE false",
+    "arch_violations_invalid_edge": "SELECT '' AS \"from\", '' AS \"to\" WHERE false",
+    "cypher_callers": _with("calls", _hop("calls", "dst", "blue_bolt", "f.name, confidence, line")),
+    "cypher_kinds": _with("sym", "SELECT kind, count(*) AS n FROM sym WHERE visibility <> 'private' AND NOT ends_with(name, '0') GROUP BY kind"),
+    "cypher_reach": _with(
+        "inh use",
+        """, e AS (SELECT src, dst FROM inh UNION SELECT src, dst FROM use), o AS (SELECT dst AS id FROM e WHERE src IN (SELECT id FROM sym WHERE name = 'blue_bolt'))
+        SELECT id FROM o UNION SELECT dst FROM e WHERE src IN (SELECT id FROM o)""",
+    ),
+    "cypher_shortest": _with(
+        "calls",
+        """, w(id, hop) AS (SELECT id, 0 FROM sym WHERE pk = 3 UNION SELECT e.dst, hop + 1 FROM w JOIN calls e ON e.src = w.id WHERE hop < 3)
+        SELECT id, CAST(min(hop) - 1 AS INTEGER) AS between FROM w WHERE hop > 0 GROUP BY id""",
+        True,
+    ),
+    "cypher_files": _with("sym", "SELECT path, count(*) AS n FROM sym WHERE starts_with(path, 'economy') GROUP BY path"),
+    **{
+        name: _with(
+            "sym",
+            f"""SELECT {columns} FROM (
+                SELECT *, sum(strlen(a) + strlen(b) + strlen(c) + strlen(d)) OVER w - strlen(a) - strlen(b) - strlen(c) - strlen(d) AS ofs, (row_number() OVER w - 1) * 5 AS before FROM (
+                    SELECT path, pk, '# part ' || pk || chr(10) AS a, 'class C' || pk || '(B' || pk % 7 || '):' || chr(10) AS b,
+                        '    def m' || pk || '(self, x: T' || pk % 5 || '):' || chr(10) AS c, '        return self.m' || (pk * 7 + 3) % 1000 || '(x)' || chr(10) || chr(10) AS d FROM sym)
+                WINDOW w AS (PARTITION BY path ORDER BY pk)) {tail}""",
+        )
+        for name, columns, tail in (
+            (
+                "extract_symbols",
+                """path, CASE k WHEN 0 THEN 'C' ELSE 'm' END || pk AS name, CASE k WHEN 0 THEN 'class' ELSE 'function' END AS kind, CAST(before + 2 + k AS BIGINT) AS line_start,
+                CAST(before + 4 AS BIGINT) AS line_end, CAST(ofs + strlen(a) + k * (strlen(b) + 4) AS BIGINT) AS start_byte, CAST(ofs + strlen(a) + strlen(b) + strlen(c) + strlen(d) - 2 AS BIGINT) AS end_byte,
+                CASE k WHEN 0 THEN rtrim(b, chr(10)) ELSE trim(rtrim(c, chr(10))) END AS signature, CASE k WHEN 0 THEN rtrim(a, chr(10)) ELSE '' END AS doc""",
+                "CROSS JOIN (SELECT unnest([0, 1]) AS k)",
+            ),
+            ("extract_calls", "path, 'm' || (pk * 7 + 3) % 1000 AS callee_name, CAST(before + 4 AS BIGINT) AS line", ""),
+            ("extract_bases_and_uses", "path, CASE k WHEN 0 THEN 'base' ELSE 'use' END AS what, CASE k WHEN 0 THEN 'B' || pk % 7 ELSE 'T' || pk % 5 END AS name", "CROSS JOIN (SELECT unnest([0, 1]) AS k)"),
+            ("extract_contains", "path, CAST(count(*) AS INTEGER) AS n, 'python' AS lang", "GROUP BY path"),
+        )
+    },
     "project_slug": "SELECT page_id, CASE WHEN b = '' THEN 'repo' ELSE b END || '-' || substr(sha1(url), 1, 10) AS slug FROM (SELECT page_id, url, regexp_replace(split_part(url, '/', -1), '[^A-Za-z0-9_.-]', '-', 'g') AS b FROM pages)",
-    "registry_upsert": "SELECT url AS root, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0",
+    "registry_upsert": """WITH n AS (SELECT CASE WHEN page_id % 3 = 0 THEN url || '/moved' ELSE url END AS root FROM pages)
+        SELECT root, 2 AS version FROM n UNION ALL SELECT url, 1 FROM pages WHERE url NOT IN (SELECT root FROM n)""",
     "search_semantic": """
         WITH q AS (SELECT list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v FROM embeddings WHERE vec_id = 0),
         s AS (SELECT vec_id, list_dot_product(list_transform(embedding, lambda e: CAST(e AS DOUBLE)), q.v)

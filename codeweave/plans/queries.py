@@ -11,7 +11,9 @@ from codeweave.functions.text import body_of, language_of, slug_of
 from codeweave.graph import CodeGraph
 from codeweave.operators import incremental, rank, resolve, similarity
 from codeweave.plans.binding import Binding
+from codeweave.plans.cypher import cypher
 from codeweave.plans.oracles import PATH_TARGET
+from codeweave.sources.extract import extract_files
 from codeweave.sources.rules import is_source
 from codeweave.streaming import watch
 
@@ -65,6 +67,8 @@ on_graph("hot_symbols_uses", lambda g, b: g.hot_symbols(10, "USES"))
 on_graph("hot_symbols_inherits", lambda g, b: g.hot_symbols(10, "INHERITS"))
 for _edge in ("IMPORTS", "CALLS", "USES", "INHERITS"):
     on_graph(f"arch_violations_{_edge.lower()}", lambda g, b, e=_edge: g.architecture_violations("economy/", "small/", e))
+on_graph("hot_symbols_invalid_edge", lambda g, b: g.hot_symbols(10, "IMPORTS"))
+on_graph("arch_violations_invalid_edge", lambda g, b: g.architecture_violations("economy/", "small/", "CONTAINS"))
 on_graph("callers_k", lambda g, b: g.callers("blue_bolt", depth=2))
 on_graph("callees_k", lambda g, b: g.callees("blue_bolt", depth=2))
 on_graph("inheritors_k", lambda g, b: g.inheritors("blue_bolt", depth=3))
@@ -73,6 +77,18 @@ on_graph("shortest_path", lambda g, b: g.path(b.name_of(3), b.name_of(PATH_TARGE
 on_graph("subgraph", lambda g, b: g.subgraph(["blue_bolt", b.name_of(3)]))
 
 
+on_graph("cypher_callers", lambda g, b: cypher(g.g, "MATCH (a:Symbol)-[c:CALLS]->(b:Symbol {name:'blue_bolt'}) RETURN DISTINCT a.name AS name, c.confidence AS confidence, c.line AS line"))
+on_graph("cypher_kinds", lambda g, b: cypher(g.g, "MATCH (s:Symbol) WHERE s.visibility <> 'private' AND NOT s.name ENDS WITH '0' RETURN s.kind AS kind, count(*) AS n ORDER BY n DESC, kind"))
+on_graph("cypher_reach", lambda g, b: cypher(g.g, "MATCH (a:Symbol {name:'blue_bolt'})-[:INHERITS|USES*1..2]->(b:Symbol) RETURN DISTINCT b.id AS id"))
+on_graph(
+    "cypher_shortest",
+    lambda g, b: cypher(g.g, "MATCH (a:Symbol {id:$a})-[e:CALLS* SHORTEST 1..3]->(b:Symbol) RETURN b.id AS id, list_transform(nodes(e), n -> n.id) AS mid", a=b.id_of(3)).select(
+        "id", F.size("mid").alias("between")
+    ),
+)
+on_graph("cypher_files", lambda g, b: cypher(g.g, "MATCH (s:Symbol)-[:DEFINED_IN]->(f:File) WHERE f.path STARTS WITH 'economy' RETURN f.path AS path, count(s) AS n"))
+
+
 def _least_name(g: CodeGraph, edges: DataFrame, end: str) -> str:
     """The first name by alphabet that has an edge at this end."""
     return g.g.symbols.join(edges.select(F.col(end).alias("id")), "id", "left_semi").agg(F.min("name")).first()[0]
@@ -193,6 +209,41 @@ _SUFFIX = "CASE doc_id % 8 WHEN 0 THEN '.py' WHEN 1 THEN '.TS' WHEN 2 THEN '.tsx
 _DOC_PATH = f"source || '/' || lang || '/d' || doc_id || {_SUFFIX}"
 
 
+#: A source file for each path of the bound graph: for each of its symbols, in order, a class with a method that calls another one's.
+SOURCES = """
+    SELECT path, concat_ws('', transform(array_sort(collect_list(struct(pk, text))), x -> x.text)) AS content FROM (
+        SELECT path, pk, '# part ' || pk || char(10) || 'class C' || pk || '(B' || pk % 7 || '):' || char(10) || '    def m' || pk || '(self, x: T' || pk % 5 || '):' || char(10)
+            || '        return self.m' || (pk * 7 + 3) % 1000 || '(x)' || char(10) || char(10) AS text FROM {keyed}) GROUP BY path
+"""
+
+
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.sql(SOURCES, keyed=Binding(spark, sf_dir).keyed)
+    return extract_files(files.select("path", F.col("content").cast("binary").alias("content")))
+
+
+@query
+def extract_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir).select(F.explode("symbols").alias("s")).select("s.path", "s.name", "s.kind", "s.line_start", "s.line_end", "s.start_byte", "s.end_byte", "s.signature", "s.doc")
+
+
+@query
+def extract_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir).select("path", F.explode("callsites").alias("c")).select("path", "c.callee_name", "c.line")
+
+
+@query
+def extract_bases_and_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _extracted(spark, sf_dir)
+    bases = rows.select("path", F.explode("inherits").alias("i")).select("path", F.lit("base").alias("what"), F.col("i.base").alias("name"))
+    return bases.unionByName(rows.select("path", F.explode("uses").alias("u")).select("path", F.lit("use").alias("what"), F.col("u.type_name").alias("name")))
+
+
+@query
+def extract_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir).select("path", F.size("contains").alias("n"), "lang")
+
+
 @query
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", language_of(F.expr(_DOC_PATH)).alias("lang"))
@@ -210,13 +261,15 @@ def scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def read_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _table(spark, sf_dir, "pages").where("octet_length(substr(html, 1, 45)) = 45")
-    return p.select("page_id", body_of(F.col("html").cast("binary"), F.lit(5), F.lit(45)).alias("body"))
+    """Bytes of every page, from offsets in and behind its multi-byte characters."""
+    p = _table(spark, sf_dir, "pages").selectExpr("page_id", "html", "octet_length(substring(html, 1, CAST(page_id % 400 AS INT))) AS a", "octet_length(substring(html, 1, CAST(page_id % 400 + 900 AS INT))) AS b")
+    return p.select("page_id", body_of(F.col("html").cast("binary"), F.col("a"), F.col("b")).alias("body"))
 
 
 def _batch(g: CodeGraph, b: Binding) -> DataFrame:
-    g.sources = b.spark.createDataFrame([], "path string, content binary")
-    return g.batch_read_symbol_bodies(["blue_bolt", "no such symbol", b.id_of(7)]).drop("body")
+    ends = b.symbols.groupBy("path").agg(F.max("end_byte").cast("int").alias("n"))
+    g.sources = ends.select("path", F.rpad("path", F.col("n"), F.concat("path", F.lit(";"))).cast("binary").alias("content"))
+    return g.batch_read_symbol_bodies(["blue_bolt", "no such symbol", b.id_of(7)])
 
 
 on_graph("batch_bodies", _batch)
@@ -229,9 +282,10 @@ def project_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages against all pages: a third of the roots have moved."""
     p = _table(spark, sf_dir, "pages")
-    old = p.where("page_id % 2 = 0").select(F.col("url").alias("root"), F.lit(1).alias("version"))
-    return incremental.upsert(old, p.where("page_id % 3 = 0").select(F.col("url").alias("root"), F.lit(2).alias("version")), "root")
+    new = p.select(F.expr("CASE WHEN page_id % 3 = 0 THEN url || '/moved' ELSE url END").alias("root"), F.lit(2).alias("version"))
+    return incremental.upsert(p.select(F.col("url").alias("root"), F.lit(1).alias("version")), new, "root")
 
 
 @query
