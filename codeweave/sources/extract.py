@@ -163,40 +163,113 @@ def _python(f: File) -> None:
     f.calls.sort()
 
 
-def _masked(source: bytes, spec: Language) -> tuple[str, str, list[tuple[int, int]]]:
-    """The source as one character a byte, with comments and string contents blanked; also with comments alone blanked, and the comments."""
-    text = source.decode("latin-1")
-    starts = [*((o, c) for o, c in spec.block_comments), *((o, "\n") for o in spec.line_comments)]
-    token = re.compile("|".join(re.escape(o) for o, _ in sorted(starts, key=lambda s: -len(s[0]))) + f"|[{re.escape(spec.quotes)}]")
-    ends = dict(starts)
-    plain, code, comments = list(text), list(text), []
-    at = 0
-    while m := token.search(text, at):
-        begin, opened = m.start(), m[0]
-        if opened in ends:
-            close = text.find(ends[opened], m.end())
-            end = len(text) if close < 0 else close + (0 if ends[opened] == "\n" else len(ends[opened]))
-            comments.append((begin, end))
-            for i in range(begin, end):
-                if text[i] != "\n":
-                    plain[i] = code[i] = " "
-        else:
-            end = m.end()
-            while end < len(text) and text[end] != opened and (opened == "`" or text[end] != "\n"):
-                end += 2 if text[end] == "\\" else 1
-            for i in range(m.end(), min(end, len(text))):
-                if text[i] != "\n":
-                    plain[i] = " "
-            end = min(end + 1, len(text))
-        at = max(end, begin + 1)
-    return "".join(plain), "".join(code), comments
+class Mask:
+    """A source as one character a byte: ``plain`` has comments and the contents of literals blanked, ``code`` comments alone."""
+
+    def __init__(self, source: bytes, spec: Language):
+        self.text = source.decode("latin-1")
+        self.spec = spec
+        self._plain, self._code = list(self.text), list(self.text)
+        self.comments: list[tuple[int, int]] = []
+        self._closers = {**dict(spec.block_comments), **dict.fromkeys(spec.line_comments, "\n")}
+        openers = [*sorted(map(re.escape, self._closers), key=len, reverse=True), *(o for o, _ in spec.literals), f"[{re.escape(spec.quotes)}]"]
+        self._token = re.compile("|".join(openers + [r"[{}]"] * spec.templates))
+        if spec.outside:  # what isn't between the tags is no code
+            self._outside()
+        self._code_from(0, False)
+        self.plain, self.code = "".join(self._plain), "".join(self._code)
+
+    def _blank(self, start: int, end: int, *masks: list[str]) -> None:
+        for mask in masks:
+            for i in range(start, min(end, len(self.text))):
+                if self.text[i] != "\n":
+                    mask[i] = " "
+
+    def _outside(self) -> None:
+        opened, closed = self.spec.outside
+        at, kept = 0, []
+        while (start := self.text.find(opened, at)) >= 0:
+            end = self.text.find(closed, start)
+            kept.append((start, len(self.text) if end < 0 else end))
+            at = kept[-1][1]
+        at = 0
+        for start, end in [*kept, (len(self.text), len(self.text))]:
+            self._blank(at, start, self._plain, self._code)
+            at = end
+        self.text = "".join(self._code)
+
+    def _code_from(self, at: int, nested: bool) -> int:
+        """Reads code; where it is nested in a template, up to the brace that closes it. Where reading ended."""
+        depth = 0
+        while m := self._token.search(self.text, at):
+            begin, opened = m.start(), m[0]
+            if opened in "{}":
+                depth += 1 if opened == "{" else -1
+                at = m.end()
+                if nested and depth < 0:
+                    return at
+            elif opened in self._closers:
+                at = self._comment(begin, opened)
+            elif opened == "`" and self.spec.templates:
+                at = self._template(m.end())
+            else:
+                at = self._literal(begin, opened)
+            at = max(at, begin + 1)
+        return len(self.text)
+
+    def _comment(self, begin: int, opened: str) -> int:
+        closer = self._closers[opened]
+        close = self.text.find(closer, begin + len(opened))
+        end = len(self.text) if close < 0 else close + (0 if closer == "\n" else len(closer))
+        self.comments.append((begin, end))
+        self._blank(begin, end, self._plain, self._code)
+        return end
+
+    def _template(self, at: int) -> int:
+        while at < len(self.text):
+            c = self.text[at]
+            if c == "`":
+                return at + 1
+            if self.text.startswith("${", at):
+                at = self._code_from(at + 2, True)
+                continue
+            self._blank(at, at + 1 + (c == "\\"), self._plain)
+            at += 1 + (c == "\\")
+        return at
+
+    def _literal(self, begin: int, opened: str) -> int:
+        for opener, whole in self.spec.literals:
+            if re.fullmatch(opener, opened) and (m := whole.match(self.text, begin)):
+                self._blank(m.start() + 1, m.end() - 1, self._plain)
+                return m.end()
+        if opened not in self.spec.quotes:
+            return begin + len(opened)
+        end = begin + 1
+        while end < len(self.text) and self.text[end] != opened and (opened == "`" or self.text[end] != "\n"):
+            end += 2 if self.text[end] == "\\" else 1
+        self._blank(begin + 1, end, self._plain)
+        return end + 1
+
+
+def _after_type_parameters(plain: str, at: int) -> int:
+    """The place after ``<...>``, if that is next; bounds may hold braces and arrows."""
+    while at < len(plain) and plain[at].isspace():
+        at += 1
+    if at >= len(plain) or plain[at] != "<":
+        return at
+    depth = 0
+    for m in re.compile(r"=>|->|[<>;]").finditer(plain, at):
+        depth += {"<": 1, ">": -1}.get(m[0], 0)
+        if not depth:
+            return m.end()
+    return at
 
 
 def _block_end(plain: str, head: re.Match, start: int, style: str) -> int:
     at = head.end()
     if style == "braces":
         depth = 0
-        for m in re.compile(r"[{};()]").finditer(plain, head.end("name")):
+        for m in re.compile(r"[{};()]").finditer(plain, _after_type_parameters(plain, head.end("name"))):
             c = m[0]
             if c == "(":
                 depth += 1
@@ -225,7 +298,8 @@ def _block_end(plain: str, head: re.Match, start: int, style: str) -> int:
 
 
 def _scan(f: File, spec: Language) -> None:
-    plain, code, comments = _masked(f.source, spec)
+    mask = Mask(f.source, spec)
+    plain, code, comments = mask.plain, mask.code, mask.comments
     comment_at = {e: s for s, e in comments}
     name_of = lambda m: f.text(m.start("name"), m.end("name"))
 

@@ -13,8 +13,12 @@ ID = r"[A-Za-z_$\x80-\xff][\w$\x80-\xff]*"
 MODS = r"(?P<mods>(?:(?:public|private|protected|static|async|abstract|final|readonly|override|internal|open|virtual|inline|export|default|pub(?:\([a-z]+\))?|unsafe|const|synchronized|native|suspend|data|sealed|get|set|\*)\s+)*)"
 
 
+#: Type parameters; bounds may hold arrows, braces and parameters of their own.
+TYPES = r"(?:<(?:=>|[^<>]|<(?:=>|[^<>])*>)*>)"
+
+
 def rx(pattern: str) -> re.Pattern:
-    return re.compile(pattern.replace("ID", ID).replace("MODS", MODS), re.MULTILINE)
+    return re.compile(pattern.replace("ID", ID).replace("MODS", MODS).replace("TYPES", TYPES), re.MULTILINE)
 
 
 @dataclass(frozen=True)
@@ -23,6 +27,9 @@ class Language:
     line_comments: tuple[str, ...] = ("//",)
     block_comments: tuple[tuple[str, str], ...] = (("/*", "*/"),)
     quotes: str = "\"'"
+    literals: tuple[tuple[str, re.Pattern], ...] = ()  # other literals: how they open, and the whole of one
+    templates: bool = False  # `...${code}...`
+    outside: tuple[str, str] | None = None  # tags that code stands between
     block: str = "braces"  # or "end", "indent", "statement"
     imports: tuple[re.Pattern, ...] = ()
     bases: tuple[re.Pattern, ...] = ()
@@ -34,29 +41,34 @@ class Language:
 #: Words that look like a call, a name or a type before ``(`` or ``$`` but are none.
 NOT_CALLED = frozenset(
     "if for while switch catch return function fn func def class struct sizeof typeof new await yield super import require elseif foreach echo isset "
-    "unset and or not in is do else try with when throw void defer as case public private protected static final abstract readonly var const use".split()
+    "unset and or not in is do else try with when throw void defer as case public private protected static final abstract readonly var const use extends implements instanceof keyof infer satisfies".split()
 )
 
+#: A slash that begins a regular expression stands after an operator, a bracket or a keyword.
+_JS_REGEX = (r"/", re.compile(r"(?<![\w$)\]}\s])\s*/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*|(?<=[=(,:;!&|?{}\[\n+*%<>~^-] )/(?![*/ ])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*|(?:(?<=return )|(?<=typeof )|(?<=case ))/(?![*/ ])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"))
 _JS_CALLS = (rx(r"(?<![\w$])(?<!new\s)(?<!function\s)(?P<name>ID)\s*\("),)
 _JS_IMPORTS = (rx(r"^[ \t]*import\b[^;'\"`]*?[\"'](?P<name>[^\"']+)[\"']"),)
 _JS_HEADS = (
-    ("function", rx(r"(?<![\w$.])(?P<mods>(?:async\s+)?)function\s*\*?\s*(?P<name>ID)\s*(?:<[^>]*>)?\(")),
+    ("function", rx(r"(?<![\w$.])(?P<mods>(?:async\s+)?)function\s*\*?\s*(?P<name>ID)\s*TYPES?\(")),
     ("method", rx(r"(?:(?<=[{};])|^)\s*MODS(?P<name>#?ID)\s*(?:<[^>(){}]*>)?\([^(){}]*(?:\([^()]*\)[^(){}]*)*\)\s*(?::[^{};=]+)?(?=\{)")),
     ("class", rx(r"(?<![\w$.])(?P<mods>(?:abstract\s+)?)class\s+(?P<name>ID)(?=[^;{]*\{)")),
 )
 _TS_HEADS = (*_JS_HEADS, ("interface", rx(r"(?<![\w$.])(?P<mods>)interface\s+(?P<name>ID)(?=[^;{]*\{)")))
 _TS = Language(
-    _TS_HEADS, quotes="\"'`", imports=_JS_IMPORTS, calls=_JS_CALLS, in_types=frozenset({"method"}),
-    bases=(rx(r"\bclass\s+(?P<sub>ID)\s*(?:<[^>{]*>)?\s+extends\s+(?P<name>ID)"),),
+    _TS_HEADS, quotes="\"'`", literals=(_JS_REGEX,), templates=True, imports=_JS_IMPORTS, calls=_JS_CALLS, in_types=frozenset({"method"}),
+    bases=(rx(r"\bclass\s+(?P<sub>ID)\s*TYPES?\s+extends\s+(?P<name>ID)"),),
     uses=(rx(r"(?<=[\w$)\]?])\s*:\s*(?P<name>(?!(?:string|number|boolean|any|void|never|unknown|object|symbol|null|undefined)\b)ID)(?![\w$]|\s*[.<\[(])"),),
 )
 
-_C_FUNCTION = rx(r"^[ \t]*MODS(?:[A-Za-z_][\w:<>,*&\[\] \t]*?[\s*&])(?P<name>~?[A-Za-z_]\w*)\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:const|noexcept|override|\s)*(?=\{)")
-_C_TYPES = tuple((k, rx(rf"(?<![\w])(?P<mods>){k}\s+(?P<name>[A-Za-z_]\w*)(?=[^;{{()=]*\{{)")) for k in ("struct", "enum"))
+_C_PARAMETERS = r"\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:const|noexcept|override|final|&|\s)*(?:->\s*[\w:<>,*& ]+)?"
+_C_SCOPE = r"(?:[A-Za-z_]\w*(?:<[^<>;{}]*>)?::)"
+_C_FUNCTION = rx(r"^[ \t]*MODS(?:[A-Za-z_][\w:<>,*&\[\] \t]*?[\s*&])" + _C_SCOPE + r"*(?P<name>~?[A-Za-z_]\w*)" + _C_PARAMETERS + r"(?=\{)")
+_CPP_MEMBER = rx(r"^[ \t]*(?P<mods>)" + _C_SCOPE + r"+(?P<name>~?[A-Za-z_]\w*)" + _C_PARAMETERS + r"(?::[^;{}]*(?:\{[^{};]*\}[^;{}]*)*)?(?=\{)")
+_C_TYPES = tuple((k, rx(rf"(?<![\w])(?P<mods>){k}\s+(?:class\s+)?(?P<name>[A-Za-z_]\w*)\b(?!\s*[,>=])(?=[^;{{()=]*\{{)")) for k in ("struct", "enum"))
 
 LANGUAGES: dict[str, Language] = {
     "javascript": Language(
-        _JS_HEADS, quotes="\"'`", imports=_JS_IMPORTS, calls=_JS_CALLS, in_types=frozenset({"method"}), bases=(rx(r"\bclass\s+(?P<sub>ID)\s+extends\s+(?P<name>ID)(?!\s*[.(])"),)
+        _JS_HEADS, quotes="\"'`", literals=(_JS_REGEX,), templates=True, imports=_JS_IMPORTS, calls=_JS_CALLS, in_types=frozenset({"method"}), bases=(rx(r"\bclass\s+(?P<sub>ID)\s+extends\s+(?P<name>ID)(?!\s*[.(])"),)
     ),
     "typescript": _TS,
     "tsx": _TS,
@@ -79,6 +91,7 @@ LANGUAGES: dict[str, Language] = {
             ("trait", rx(r"(?<!\w)MODStrait\s+(?P<name>ID)")),
         ),
         quotes='"',
+        literals=((r"r#*\"", re.compile(r'r(#*)".*?"\1', re.DOTALL)), (r"'", re.compile(r"'(?:\\.|[^'\\\n])'"))),
         imports=(rx(r"^[ \t]*(?:pub\s+)?use\s+(?P<name>[^;]+);"),),
         calls=(rx(r"(?<![\w.:])(?<!fn\s)(?P<name>ID)\s*\("),),
     ),
@@ -99,6 +112,8 @@ LANGUAGES: dict[str, Language] = {
             ("function", rx(r"(?<![\w$])MODSfunction\s+&?\s*(?P<name>ID)\s*\(")),
         ),
         line_comments=("//", "#"),
+        literals=((r"<<<", re.compile(r"<<<[ \t]*(['\"]?)(\w+)\1\r?\n.*?^[ \t]*\2\b", re.DOTALL | re.MULTILINE)),),
+        outside=("<?", "?>"),
         imports=(rx(r"^[ \t]*use\s+(?:function\s+|const\s+)?\\?(?P<name>\w+(?:\\\w+)+)"),),
         bases=(
             rx(r"\bclass\s+(?P<sub>ID)\s+extends\s+(?P<name>ID)"),
@@ -113,7 +128,13 @@ LANGUAGES: dict[str, Language] = {
         ),
     ),
     "c": Language((("function", _C_FUNCTION), *_C_TYPES)),
-    "cpp": Language((("function", _C_FUNCTION), *_C_TYPES, ("class", rx(r"(?<![\w])(?<!enum\s)(?P<mods>)class\s+(?P<name>[A-Za-z_]\w*)(?=[^;{()=]*\{)")))),
+    "cpp": Language(
+        (
+            ("function", _C_FUNCTION), ("function", _CPP_MEMBER), *_C_TYPES,
+            ("class", rx(r"(?<![\w])(?<!enum\s)(?P<mods>)class\s+(?P<name>[A-Za-z_]\w*)\b(?!\s*[,>=])(?=[^;{()=]*\{)")),
+        ),
+        literals=((r'R"', re.compile(r'R"([^()\\ ]*)\(.*?\)\1"', re.DOTALL)), (r"'", re.compile(r"(?<=\d)'(?=\d)"))),
+    ),
     "c_sharp": Language(
         (
             *((k, rx(rf"(?<![\w.])MODS{k}\s+(?P<name>ID)(?=[^;{{()]*\{{)")) for k in ("class", "interface", "struct", "enum")),

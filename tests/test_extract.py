@@ -115,6 +115,35 @@ def test_strings_and_comments_hide_code():
     assert names(row) == {"yes"} and callees(row) == {"call"}
 
 
+@pytest.mark.parametrize(
+    ("path", "source", "expected"),
+    [
+        ("hull.cpp", "namespace sea {\ntemplate <typename T, class U>\nT deeper(T a, U b) { return dive(a); }\n\ntemplate<class Hull>\nclass Ship : public Vessel {\n public:\n  int sail(int k) const { return row(k); }\n};\n"
+            "enum class Flag { Red, Blue };\nShip<int>::Ship(int n) : n_{n}, m_(n) { launch(); }\nint Ship<int>::speed() const noexcept {\n  auto s = R\"x(class No { int f() { } })x\";\n  int big = 1'000'000;\n"
+            "  return knots(big);\n}\nauto Harbour::depth() -> int { return 3; }\n}\n", ["deeper", "Ship", "sail", "Flag", "Ship", "speed", "depth"]),
+        ("knot.js", "function tie() { const re = /function no() {/; return re.test('x') }\nconst half = a / b; const third = c / d;\nfunction last(q) { return /[/}]/.test(q) ? after(`${q} {`) : 0 }\n", ["tie", "last"]),
+        ("rope.ts", "class Coil<T extends { a: 1 }> extends Base {\n  take(x: T): number { return weigh(x); }\n}\nfunction id<K extends () => void>(k: K) { return k; }\n", ["Coil", "take", "id"]),
+        ("mail.php", "<html> function nope() { } <?php\nclass Mail { public function body() { $t = <<<TXT\nclass no { function yes() { } }\nTXT;\n return send($t); } }\n?> function neither() {} <?php function both() { return <<<'X'\n { ' \"\n X; }\n",
+            ["Mail", "body", "both"]),
+        ("quote.rs", "fn quote(c: char) -> bool { c == '\"' || c == '\\'' }\nfn life<'a>(x: &'a str) -> &'a str { trim(x) }\nfn raw() -> &'static str { r#\"fn no() { \" }\"# }\nstruct Last { a: u8 }\n", ["quote", "life", "raw", "Last"]),
+    ],
+)
+def test_literals_scopes_and_type_parameters(path, source, expected):
+    row = extract_source(path, source.encode())
+    assert [s["name"] for s in row["symbols"]] == expected
+    ends = {s["name"]: source.encode()[s["end_byte"] - 1 : s["end_byte"]] for s in row["symbols"]}
+    assert set(ends.values()) == {b"}"}
+    if path == "rope.ts":
+        assert [i["base"] for i in row["inherits"]] == ["Base"] and callees(row) == {"weigh"}
+    if path == "knot.js":
+        assert callees(row) == {"test", "after"}
+
+
+def test_calls_inside_templates_count():
+    row = extract_source("t.js", b"function greet(n) { return `hi { ${name(`of ${title(n)} (`)} function x() {}`; }\n")
+    assert names(row) == {"greet"} and callees(row) == {"name", "title"}
+
+
 def test_python_that_does_not_parse_is_scanned():
     row = extract_source("bad.py", b"def f(:\n  pass\n\ndef g():\n  return h()\n")
     assert names(row) == {"f", "g"} and callees(row) == {"h"}
