@@ -158,3 +158,29 @@ def test_walk_finds_underscored_files_and_skips_folders(tmp_path):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text("x = 1\n")
     assert [r for _, r in walk(str(tmp_path))] == ["__init__.py", "_private.py", "a/b.go"]
+
+
+def test_every_file_is_in_one_branch(spark, tmp_path):
+    """However many folders are read apart, the files are those of the walk, each once."""
+    from codeweave.sources.tree import branches, read_tree
+
+    for i in range(40):
+        p = tmp_path / f"d{i % 3}" / f"e{i % 7}" / (".hidden" if i == 5 else "f") / f"m{i}.py"
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(f"x = {i}\n")
+    (tmp_path / "top.go").write_text("package a\n")
+    for least in (1, 2, 10, 500):
+        rows = read_tree(spark, str(tmp_path), least).collect()
+        assert sorted(r["path"] for r in rows) == [r for _, r in walk(str(tmp_path))]
+    assert len(branches(str(tmp_path), 1)) == 1 and len(branches(str(tmp_path), 10)) >= 10
+
+
+def test_words_of_one_concept_are_near():
+    from codeweave.functions.encode import encode
+
+    def near(query, *others):
+        vectors = encode([query, *others])
+        return others[int((vectors[1:] @ vectors[0]).argmax())]
+
+    assert near("sign in", "authenticate_member def authenticate_member(name)", "draw_circle def draw_circle(radius)") == "authenticate_member def authenticate_member(name)"
+    assert near("delete a record", "sortKeys(rows)", "removeEntry(row)", "countWords(text)") == "removeEntry(row)"
