@@ -57,6 +57,14 @@ def test_conversations_over_many_partitions(spark):
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def test_conversations_with_long_texts_and_clashing_columns(spark):
+    long = "[INST] ünï </s> " * 300_000
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", long), (1, 2, "user", None), (2, 0, "tool", long), (2, 1, "assistant", "")]
+    df = spark.createDataFrame([(*r, "p", "f", 3, b"l") for r in rows], "conv_id long, turn long, role string, text string, part string, formatted string, n_turns long, loss binary")
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.digests(df).collect()}
+    assert got == {c: digest([(r, x or "") for k, _, r, x in rows if k == c]) for c in (1, 2)}
+
+
 def brute_top(rows, is_query, k):
     ok = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
