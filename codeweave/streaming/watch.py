@@ -55,7 +55,7 @@ def debounce(events: DataFrame, gap: str = GAP, delay: str | None = None, stretc
         rows = rows.withWatermark("ts", delay or "0 seconds").withColumn("all", F.lit(0))
         burst = _bursts(rows, gap, "all")
     else:
-        burst = _joined(_bursts(rows.withColumn("stretch", F.floor(F.unix_micros("ts") / (stretch * 1_000_000))), gap, "stretch"), gap)
+        burst = _joined(_bursts(rows.withColumn("stretch", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (stretch * 1_000_000))), gap, "stretch"), gap)
     reason = F.when(F.col("head"), "branch switched").otherwise("files changed")
     return burst.select("first_event", "last_event", "n_events", reason.alias("reason"))
 
