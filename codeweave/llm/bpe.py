@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from codeweave.llm.common import batch_of, cleaners, run_indices, space_units, task, texts_of
 
 #: Most entries that a worker's memo holds before it keeps those of one batch only, and most rows that are encoded at once.
-MEMO_ENTRIES = 1_000_000
-ROWS = 4000
+MEMO_ENTRIES = 500_000
+ROWS = 2000
 
 #: A blank at the start, or after white space of any kind.
 _NOT_PLAIN = r"^ |[\s\x0b\x1c-\x1f\x{85}\pZ] "
