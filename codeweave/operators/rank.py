@@ -7,38 +7,41 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.plans.scratch import discard, materialize
+from codeweave.plans.scratch import bucketed, materialize
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20) -> DataFrame:
     """(id, rank): parallel edges count, edges with an unknown end don't, dangling mass is spread evenly.
 
-    Ranks start even and sum to 1. Both inputs are written once; an iteration is one join and one aggregation
-    over them, and the dangling mass is an aggregate inside the same plan.
+    Ranks start even and sum to 1. An iteration is linear in the ranks but for the dangling mass, which is the same
+    for all nodes. So only the even vector is carried along the links, time and again: one join, with links that
+    are written once in the order of their sources, and one aggregation a step. Ranks are a weighted sum of
+    these vectors; the weights follow from the vectors' dangling masses, a number each.
     """
     spark = nodes.sparkSession
     nodes = materialize(nodes.select("id").distinct())
     n = nodes.count()
     if not n:
         return spark.createDataFrame([], "id string, rank double")
-    ids = nodes.select("id")
-    known = edges.select("src", "dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    known = edges.select("src", "dst").join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
     pairs = materialize(known.groupBy("src", "dst").agg(F.count("*").alias("times")))
     degrees = pairs.groupBy("src").agg(F.sum("times").alias("degree"))
-    links = materialize(pairs.join(degrees, "src").select("src", "dst", (F.col("times") / F.col("degree")).alias("share")))
-    out = materialize(ids.join(degrees.select(F.col("src").alias("id"), F.lit(True).alias("links")), "id", "left").select("id", F.col("links").isNull().alias("dangling")))
-    ranks = out.select("id", "dangling", F.lit(1.0 / n).alias("rank"))
-    written: list[DataFrame] = []
+    links = bucketed(pairs.join(degrees, "src").select("src", "dst", (F.col("times") / F.col("degree")).alias("share")), "src")
+    carried = nodes.select("id", F.lit(1.0 / n).alias("value"))
+    vectors, sent = [], []
     for _ in range(iterations):
-        sums = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        loose = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("mass"))
-        new = out.join(sums, "id", "left").join(F.broadcast(loose))  # one row
-        new = new.select("id", "dangling", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("mass") / n)).alias("rank"))
-        ranks = materialize(new)
-        written.append(ranks)
-        if len(written) > 2:
-            discard(spark, written.pop(0))
-    return ranks.select("id", "rank")
+        got = links.join(carried.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") * F.col("share")).alias("value"))
+        carried = materialize(got)
+        vectors.append(carried)
+        sent.append(carried.agg(F.coalesce(F.sum("value"), F.lit(0.0))).first()[0])  # all but what dangling nodes had
+    total = [1.0, *sent]
+    weights = [1.0]  # of the even vector and what it became, in the ranks of this step
+    for _ in range(iterations):
+        mass = sum(w * (total[k] - total[k + 1]) for k, w in enumerate(weights))
+        weights = [1 - damping + damping * mass, *(damping * w for w in weights)]
+    parts = [v.select("id", (F.col("value") * F.lit(w)).alias("rank")) for v, w in zip(vectors, weights[1:])]
+    start = nodes.select("id", F.lit(weights[0] / n).alias("rank"))
+    return reduce(DataFrame.unionByName, parts, start).groupBy("id").agg(F.sum("rank").alias("rank"))
 
 
 def symbol_ranks(symbols: DataFrame, *edges: DataFrame) -> DataFrame:
