@@ -12,8 +12,9 @@ segment a word that comes again adds less each time, a half, a third and so on;
 *Calibration.* Scores of the best segment in clean text follow an extreme-value law: a segment of score
 S in n words has the expectation E = K n exp(-lambda S). lambda solves the usual equation on the token
 scores of clean training text, K is fitted to its maxima; training rows are scored without their own
-counts. The segments of different texts are judged together by their sum statistic P, for that number of
-them, the best first, that is least likely; the score is a logistic function of ln(1 - ln P).
+counts. The segments of different texts are judged together by their sum statistic P, for that number r of
+them, the best first, that is least likely; as r is chosen, P is divided by its prior 0.9 * 0.1^(r-1). The
+score is a logistic function of ln(1 - ln P).
 
 Training takes a bounded sample: at most ``most`` labelled documents, chosen by a hash of the id, and all of
 their telling tokens. Scoring covers every row and whole texts; only the text is an input.
@@ -43,6 +44,8 @@ PREFIXES = (4, 5, 6)
 #: A word that training hasn't seen takes its prefix's log-odds only where the prefix is toxic in this share.
 STEM_SHARE = 0.95
 MEMO_ENTRIES = 400_000
+#: Each further segment that is judged together with the best one is this much less expected.
+DECAY = 0.1
 
 
 def features_of(word: str) -> list[str]:
@@ -86,7 +89,7 @@ class Model:
         """How unlikely in clean text the best r of these segment scores (largest first) are together, for the best r.
 
         With t the sum of the r normalised scores, P = exp(-t) t^(r-1) / (r! (r-1)!), the sum statistic of
-        Karlin and Altschul.
+        Karlin and Altschul, divided by the prior of r.
         """
         t, best = 0.0, 0.0
         for r, s in enumerate(scores, 1):
@@ -94,7 +97,7 @@ class Model:
             if u <= 0:
                 break
             t += u
-            best = max(best, t - (r - 1) * math.log(t) + math.lgamma(r + 1) + math.lgamma(r))
+            best = max(best, t - (r - 1) * math.log(t) + math.lgamma(r + 1) + math.lgamma(r) + math.log(1 - DECAY) + (r - 1) * math.log(DECAY))
         return math.log1p(best)
 
 

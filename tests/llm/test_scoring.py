@@ -61,7 +61,7 @@ def test_segments_of_long_texts_take_linear_time():
 
 
 def test_strength_is_the_least_likely_sum_statistic():
-    """All segments take part; the statistic is Karlin and Altschul's, computed here from factorials."""
+    """All segments take part; the statistic is Karlin and Altschul's over the prior of their number, computed here from factorials."""
     model = toxicity.Model({}, 10, 10, rate=1.1, scale=0.05)
     rng = random.Random(9)
     for n in (1, 3, 12, 40):
@@ -70,7 +70,7 @@ def test_strength_is_the_least_likely_sum_statistic():
         tails = []
         for r in range(1, n + 1):
             t = sum(normalised[:r])
-            tails.append(math.exp(-t) * t ** (r - 1) / (math.factorial(r) * math.factorial(r - 1)))
+            tails.append(math.exp(-t) * t ** (r - 1) / (math.factorial(r) * math.factorial(r - 1)) / (0.9 * 0.1 ** (r - 1)))
         if min(normalised) > 0:
             assert model.strength(scores, 100) == pytest.approx(math.log1p(-math.log(min(1.0, *tails))))
     assert model.strength([], 100) == 0 and model.strength([0.1], 100) == 0
