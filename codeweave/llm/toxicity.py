@@ -13,7 +13,7 @@ segment a word that comes again adds less each time, a half, a third and so on;
 S in n words has the expectation E = K n exp(-lambda S). lambda solves the usual equation on the token
 scores of clean training text, K is fitted to its maxima; training rows are scored without their own
 counts. The segments of different texts are judged together by their sum statistic P, for that number r of
-them, the best first, that is least likely; as r is chosen, P is divided by its prior 0.9 * 0.1^(r-1). The
+them, the best first, that is least likely; as r is chosen, P is divided by its prior 0.5^r. The
 score is a logistic function of ln(1 - ln P).
 
 Training takes a bounded sample: at most ``most`` labelled documents, chosen by a hash of the id, and all of
@@ -44,8 +44,8 @@ PREFIXES = (4, 5, 6)
 #: A word that training hasn't seen takes its prefix's log-odds only where the prefix is toxic in this share.
 STEM_SHARE = 0.95
 MEMO_ENTRIES = 400_000
-#: Each further segment that is judged together with the best one is this much less expected.
-DECAY = 0.1
+#: Each further segment that is judged together with the best one is this much less expected (the usual value for segments without gaps).
+DECAY = 0.5
 
 
 def features_of(word: str) -> list[str]:

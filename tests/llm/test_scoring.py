@@ -70,7 +70,7 @@ def test_strength_is_the_least_likely_sum_statistic():
         tails = []
         for r in range(1, n + 1):
             t = sum(normalised[:r])
-            tails.append(math.exp(-t) * t ** (r - 1) / (math.factorial(r) * math.factorial(r - 1)) / (0.9 * 0.1 ** (r - 1)))
+            tails.append(math.exp(-t) * t ** (r - 1) / (math.factorial(r) * math.factorial(r - 1)) / 0.5**r)
         if min(normalised) > 0:
             assert model.strength(scores, 100) == pytest.approx(math.log1p(-math.log(min(1.0, *tails))))
     assert model.strength([], 100) == 0 and model.strength([0.1], 100) == 0
