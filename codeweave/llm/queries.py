@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from codeweave.llm import bpe, chat, exact_dedup, licenses, packing, quality, simhash, substring_dedup, topk, toxicity
+from codeweave.llm import bpe, chat, divergence, exact_dedup, licenses, minhash, packing, quality, simhash, substring_dedup, topk, toxicity
 from codeweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_matches(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), similarity=(17, 20), width=5)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -71,6 +79,8 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_topk": op9_topk,
     "op10_licenses": op10_licenses,
+    "op11_minhash": op11_minhash,
+    "op12_divergence": op12_divergence,
 }
 
 #: The control strings of the chat template, as a pattern for SQL.
@@ -116,4 +126,33 @@ ORACLES: dict[str, str] = {
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g USING (t)
     """,
+    "op11_minhash": """
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i : i + 4], ' ')))) AS g FROM d WHERE len(w) > 0),
+        c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT u, v FROM p JOIN c x ON x.doc_id = u JOIN c y ON y.doc_id = v WHERE 100 * k >= 85 * (x.n + y.n - k)),
+        e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+        r AS (SELECT doc_id, doc_id AS reach FROM d UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.reach)
+        SELECT r.doc_id, coalesce(c.n, 0) AS n_shingles, min(reach) AS component_id, r.doc_id = min(reach) AS kept FROM r LEFT JOIN c USING (doc_id) GROUP BY r.doc_id, c.n
+    """,
+    "op12_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        w AS (SELECT i, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+        k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM w GROUP BY ALL HAVING count(DISTINCT i) >= 10),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS count FROM w GROUP BY ALL),
+        a AS (SELECT g.lang, g.source, k.term, k.total, CAST(coalesce(c.count, 0) AS HUGEINT) AS count FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        n AS (SELECT *, CAST(sum(count) OVER (PARTITION BY lang, source) AS HUGEINT) AS n, CAST(count(*) OVER (PARTITION BY lang, source) AS HUGEINT) AS v,
+            CAST(sum(total) OVER (PARTITION BY lang, source) AS HUGEINT) AS m FROM a),
+        p AS (SELECT *, 1 + 1000000000 * (count + 2) // (n + 2 * v) AS p, 1 + 1000000000 * (total + 2) // (m + 2 * v) AS q FROM n),
+        s AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+            FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+        o AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+            FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+            UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE count > 0 AND p > q),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o)
+        SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
+    """,
 }
