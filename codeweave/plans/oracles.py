@@ -46,6 +46,11 @@ def _with(names: str, body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes} {body}" if ctes else body
 
 
+def with_edges(body: str) -> str:
+    """``body`` after the CTEs of the bound graph: sym, calls, use and inh."""
+    return _with("calls use inh", body)
+
+
 AT = "path || ':' || line_start"
 SPAN = "path || ':' || line_start || '-' || line_end"
 KEY3 = "(SELECT name FROM sym WHERE pk = 3)"
