@@ -2,16 +2,16 @@
 
 Byte-level tokenizer: the UTF-8 bytes of many texts lie in one buffer; a lookup table lower-cases A-Z and tells
 term bytes (letters, and all bytes beyond ASCII) from others, and where that changes are the boundaries. Slices are grouped
-by XXH3; every slice is then compared with the first of its group byte by byte, and groups that held different
-bytes are grouped by the bytes themselves. A CSR matrix of (lang, source) x term per buffer is summed with
-``reduceat``, so a task hands on one row for each term of a group and buffer, not one for each occurrence.
+by XXH3; every slice is then compared with the first of its group byte by byte, and slices with other
+bytes than that are grouped by the bytes themselves. A task hands on one row for each term of a group and buffer, not one for
+each occurrence.
 
-Counts are added up by Spark. Of each lang, the V terms in at least ``least_docs`` documents are kept. With the smoothed
-share p = 1 + floor(10^9 (count + 2) / (N + 2 V)), N the count of all kept terms of a group, the divergence of two shares is
-f = floor((p - q)^2 / (p + q)). Shares are worked out by long division in base 1,000, so 64 bits hold all of it
-up to 9 * 10^15 occurrences.
+Counts are added up by Spark, dealt out once, by lang and term: that serves the sums over sources too. Of each lang, the V
+terms in at least ``least_docs`` documents are kept. With the smoothed share p = 1 + floor(10^9 (count + 2) / (N + 2 V)), N the
+count of all kept terms of a group, the divergence of two shares is f = floor((p - q)^2 / (p + q)). Counts whose product with
+10^9 leaves 64 bits are divided as decimals.
 
-The terms of a lang are dealt into blocks by their hash, about ``CELLS`` matrix cells each, so a lang of any size is
+The terms of a lang are dealt into blocks by their hash, about ``CELLS`` entries each, so a lang of any size is
 spread over many tasks. A task holds one block as a CSR matrix, source x term, and takes the divergences of each
 source from all the later ones: with a the dense row of the first, the sum over terms is
 sum over b's terms [f(a, b) - f(a, b0)] + sum over a's terms f(a, b0) + (other terms) f(a0, b0), where a0 and b0
@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
@@ -37,9 +38,11 @@ from pyspark.sql import functions as F
 from codeweave.llm.common import batch_of, discard, materialize, run_indices, task
 
 #: Bytes of text in one buffer; a longer text is a buffer of its own.
-BUFFER = 4 << 20
-#: Cells of the matrix of a block: sources times terms.
-CELLS = 1 << 20
+BUFFER = 12 << 20
+#: Slices that are hashed at once.
+SLICES = 1 << 17
+#: Entries of the matrix of a block; with very many sources, as many as it has pairs of them, up to 64 times this.
+CELLS = 1 << 17
 UNIT = 10**9
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -58,14 +61,21 @@ def boundaries(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def grouped(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """The number of the term of every slice, and the bytes of each term."""
     raw, digest = buffer.tobytes(), xxhash.xxh3_64_intdigest
-    hashes = np.array([digest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist())], np.uint64)
-    _, first, group = np.unique(hashes, return_index=True, return_inverse=True)
+    hashes = np.empty(len(starts), np.uint64)
+    for i in range(0, len(starts), SLICES):
+        some = zip(starts[i : i + SLICES].tolist(), ends[i : i + SLICES].tolist())
+        hashes[i : i + SLICES] = np.fromiter((digest(raw[s:e]) for s, e in some), np.uint64)
+    group, distinct = pd.factorize(hashes)
+    first = np.empty(len(distinct), np.int64)
+    first[group[::-1]] = np.arange(len(group) - 1, -1, -1)
     lengths, model = ends - starts, first[group]
     same = lengths == lengths[model]
-    here, there = run_indices(starts[same], lengths[same]), run_indices(starts[model[same]], lengths[same])
-    if len(here):
-        before = np.cumsum(lengths[same]) - lengths[same]
-        same[np.flatnonzero(same)] = np.logical_and.reduceat(buffer[here] == buffer[there], before)
+    for i in range(0, len(starts), SLICES):
+        some = np.flatnonzero(same[i : i + SLICES]) + i
+        size = lengths[some]
+        equal = buffer[run_indices(starts[some], size)] == buffer[run_indices(starts[model[some]], size)]
+        if len(some):
+            same[some] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
     terms = [raw[starts[i] : ends[i]] for i in first]
     known: dict[bytes, int] = {}
     for i in np.flatnonzero(~same):  # other bytes with a hash that is taken
@@ -89,20 +99,18 @@ def _counted(rows: list[tuple[str, str, bytes]]) -> tuple[list, list, list, list
     if len(starts):
         number, terms = grouped(lower, starts, stops)
         doc = np.searchsorted(ends, starts, "right")
-        # entries of the document x term matrix first, so that a document counts once
-        order = np.lexsort((doc, number, of[doc]))
-        g, t, d = of[doc][order], number[order], doc[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (g[1:] != g[:-1]) | (t[1:] != t[:-1])
-        at = np.flatnonzero(new)
-        fresh = new.copy()
-        fresh[1:] |= d[1:] != d[:-1]
+        # cells of the group x term matrix, numbered as they come; its documents from the cells of document x term
+        entry, cells = pd.factorize(of[doc] * len(terms) + number)
+        in_doc = pd.unique(doc * len(terms) + number)
+        fresh = of[in_doc // len(terms)] * len(terms) + in_doc % len(terms)
         names = list(groups)
-        lang += [names[i][0] for i in g[at].tolist()]
-        source += [names[i][1] for i in g[at].tolist()]
-        term += [terms[i].decode("utf-8", "replace") for i in t[at].tolist()]
-        count += np.diff(np.append(at, len(order))).tolist()
-        docs += np.add.reduceat(fresh.astype(np.int64), at).tolist()
+        g, t = np.divmod(cells, len(terms))
+        lang += [names[i][0] for i in g.tolist()]
+        source += [names[i][1] for i in g.tolist()]
+        decoded = [t.decode("utf-8", "replace") for t in terms]
+        term += [decoded[i] for i in t.tolist()]
+        count += np.bincount(entry, minlength=len(cells)).tolist()
+        docs += np.bincount(pd.Index(cells).get_indexer(fresh), minlength=len(cells)).tolist()
     return lang, source, term, count, docs
 
 
@@ -110,7 +118,10 @@ _COUNTS = "lang string, source string, term string, count long, docs long"
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, count, docs): occurrences and documents; one row without a term for each group, also one without terms."""
+    """(lang, source, term, count, docs): occurrences and documents; one row without a term for each group, also one without terms.
+
+    Dealt out by lang and term.
+    """
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("count", pa.int64()), ("docs", pa.int64())])
 
     @task("divergence")
@@ -128,18 +139,14 @@ def counts(docs: DataFrame) -> DataFrame:
 
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     read = docs.select(blank("lang"), blank("source"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return read.mapInArrow(work, _COUNTS).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    dealt = read.mapInArrow(work, _COUNTS).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lang", "term")
+    return dealt.groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
-    """1 + floor(10^9 (count + 2) / (n + 2 v)) by long division, so that no product leaves 64 bits."""
-    base, rest = n + 2 * v, count + 2
-    out = _div(rest, base)
-    rest = rest - out * base
-    for _ in range(3):
-        digit = _div(rest * 1000, base)
-        rest, out = rest * 1000 - digit * base, out * 1000 + digit
-    return out + 1
+    """1 + floor(10^9 (count + 2) / (n + 2 v)); the product leaves 64 bits beyond 9 * 10^9 occurrences, decimals hold it."""
+    up, down = count + 2, n + 2 * v
+    return F.when(up <= (2**63 - 1) // UNIT, _div(up * UNIT, down)).otherwise(_div(up.cast("decimal(19,0)") * F.lit(UNIT).cast("decimal(10,0)"), down.cast("decimal(19,0)"))) + 1
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -216,17 +223,17 @@ def audit(docs: DataFrame, least_docs: int = 10, top: int = 10) -> DataFrame:
     Part ``pair``: every other source, all ranks. Part ``term``: kept terms with a greater share than in the whole lang, ranks to ``top``.
     """
     spark = docs.sparkSession
-    made = materialize(counts(docs))
-    words = made.where("term IS NOT NULL")
-    kept = materialize(words.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("total")).where(F.col("docs") >= least_docs).select("lang", "term", "total"))
-    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("all"))
-    held = materialize(words.join(kept, ["lang", "term"]).select("lang", "source", "term", "count", "total"))
-    sums = held.groupBy("lang", "source").agg(F.sum("count").alias("n"))
-    listed = made.where("term IS NULL").select("lang", "source").join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
-    sources = listed.groupBy("lang").agg(F.count("*").alias("k"))
-    wide = listed.join(sources, "lang").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("all", F.lit(0)).alias("all"), "k")
-    # as many blocks as the terms and sources of the lang need; one where it keeps no terms, for its pairs
-    groups = materialize(wide.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("v") * F.col("k") / CELLS))))
+    term_of_lang = Window.partitionBy("lang", "term")  # a row for each source
+    summed = counts(docs).withColumn("total", F.sum("count").over(term_of_lang)).withColumn("in_docs", F.sum("docs").over(term_of_lang))
+    made = materialize(summed.where(F.col("term").isNull() | (F.col("in_docs") >= least_docs)).select("lang", "source", "term", "count", "total"))
+    held = made.where("term IS NOT NULL")
+    sums = made.groupBy("lang", "source").agg(F.sum("count").alias("n"), F.count("term").alias("entries"))
+    langs = held.groupBy("lang").agg(F.count_distinct("term").alias("v"))
+    per_lang = sums.groupBy("lang").agg(F.sum("n").alias("all"), F.sum("entries").alias("entries"), F.count("*").alias("k"))
+    wide = sums.select("lang", "source", "n").join(per_lang, "lang").join(langs, "lang", "left").withColumn("v", F.coalesce("v", F.lit(0)))
+    # as many blocks as the entries of the lang need; one where it keeps no terms, for its pairs
+    size = F.greatest(F.lit(CELLS), F.least(F.col("k") * F.col("k"), F.lit(64 * CELLS)))
+    groups = materialize(wide.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("entries") / size))))
 
     entry = held.join(groups, ["lang", "source"])
     p, q = share(F.col("count"), F.col("n"), F.col("v")), share(F.col("total"), F.col("all"), F.col("v"))
@@ -242,6 +249,6 @@ def audit(docs: DataFrame, least_docs: int = 10, top: int = 10) -> DataFrame:
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     best = terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     out = materialize(pairs.withColumn("rank", F.row_number().over(order)).unionByName(best))
-    for used in (made, kept, held, groups):
+    for used in (made, groups):
         discard(spark, used)
     return out
