@@ -6,7 +6,6 @@ import argparse
 import json
 import os
 import sys
-import tempfile
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,17 +62,17 @@ def serve(graph: CodeGraph) -> None:
 def watch_tree(spark: SparkSession, root: str, home: str, seconds: float | None = None) -> None:
     """Indexes the tree, then again after every burst of changes; a JSON line each time."""
     print(json.dumps({"reason": "start", **build_index(spark, root, home)}), flush=True)
-    with tempfile.TemporaryDirectory(prefix="codeweave-watch-") as folder:
-        poller, stop = Poller(root, f"{folder}/events"), threading.Event()
-        threading.Thread(target=poller.run, args=(stop,), daemon=True).start()
-        query = live(spark, root, home, spooled(spark, f"{folder}/events"), f"{folder}/checkpoint", lambda why, stats: print(json.dumps({"reason": why, **stats}), flush=True))
-        try:
-            query.awaitTermination(seconds)
-        except KeyboardInterrupt:
-            pass
-        finally:
-            stop.set()
-            query.stop()
+    folder = os.path.join(Catalog(spark, home).folder(os.path.realpath(root)), "watch")
+    poller, stop = Poller(root, f"{folder}/events"), threading.Event()
+    threading.Thread(target=poller.run, args=(stop,), daemon=True).start()
+    query = live(spark, root, home, spooled(spark, f"{folder}/events"), f"{folder}/checkpoint", lambda why, stats: print(json.dumps({"reason": why, **stats}), flush=True))
+    try:
+        query.awaitTermination(seconds)
+    except KeyboardInterrupt:
+        pass
+    finally:
+        stop.set()
+        query.stop()
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweave.functions.text import body_of, compact, location, module_of
-from codeweave.operators import similarity, traverse
+from codeweave.operators import grams, similarity, traverse
 from codeweave.schema import MAPPED_KINDS, SYMBOL_EDGES, Graph
 
 
@@ -39,8 +39,14 @@ class CodeGraph:
         self.spark = graph.symbols.sparkSession
 
     # look-ups
+    def _containing(self, symbols: DataFrame, index: DataFrame | None, column: str, query: str) -> DataFrame:
+        """Symbols whose text contains ``query`` in any case: through the posting index if the graph has one, else by a scan."""
+        if index is None:
+            return symbols.where(F.contains(F.lower(column), F.lower(F.lit(query))))
+        return grams.containing(symbols, index, query, "id", column)
+
     def search_symbols(self, query: str, kind: str | None = None, limit: int = 20, offset: int = 0, compact: bool = False, visibility: str | None = None) -> DataFrame:
-        hits = self.g.symbols.where(F.contains(F.lower("name"), F.lower(F.lit(query))))
+        hits = self._containing(self.g.symbols, self.g.name_grams, "name", query)
         hits = hits.where(F.col("kind") == kind) if kind else hits
         hits = hits.where(F.col("visibility") == visibility) if visibility else hits
         out = _page(hits.orderBy("name", "id"), limit, offset).select("id", "name", "kind", at().alias("location"), "signature", "visibility", "modifiers")
@@ -68,7 +74,7 @@ class CodeGraph:
         return out.select(_row("name", "kind", "location", "signature")) if compact else out
 
     def search_docs(self, query: str, limit: int = 20, offset: int = 0, compact: bool = False) -> DataFrame:
-        hits = self.g.symbols.where((F.col("doc") != "") & F.contains(F.lower("doc"), F.lower(F.lit(query))))
+        hits = self._containing(self.g.symbols.where(F.col("doc") != ""), self.g.doc_grams, "doc", query)
         out = _page(hits.orderBy("name", "id"), limit, offset).select("id", "name", "kind", at().alias("location"), "doc")
         return out.select(_row("name", "kind", "location")) if compact else out
 

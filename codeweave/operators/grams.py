@@ -44,18 +44,13 @@ def postings(texts: DataFrame, key: str, text: str, buckets: int = 16, size: int
     return once.select("bucket", "gram", key).sortWithinPartitions("bucket", "gram", key)
 
 
-def query_grams(query: str, size: int = SIZE) -> list[str]:
-    q = query.lower()
-    return sorted({q[i : i + size] for i in range(len(q) - size + 1)})
-
-
 def candidates(index: DataFrame, query: str, key: str, buckets: int = 16, size: int = SIZE) -> DataFrame | None:
     """Keys whose texts have every gram of ``query``, from the query's buckets alone; None where it is too short to have any."""
-    wanted = query_grams(query, size)
+    asked = index.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(grams_of(F.lower("q"), size)).alias("gram"))
+    wanted = {r["gram"]: r["bucket"] for r in asked.select("gram", bucket_of(F.col("gram"), buckets).alias("bucket")).collect()}  # as many as the query has
     if not wanted:
         return None
-    places = {r[0] for r in index.sparkSession.createDataFrame([(g,) for g in wanted], "g string").select(bucket_of(F.col("g"), buckets)).collect()}
-    read = index.where(F.col("bucket").isin(sorted(places)) & F.col("gram").isin(wanted))
+    read = index.where(F.col("bucket").isin(sorted(set(wanted.values()))) & F.col("gram").isin(sorted(wanted)))
     return read.groupBy(key).agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(wanted)).select(key)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codeweave.functions.encode import encode_symbols
 from codeweave.functions.text import cache_key, language_of
 from codeweave.graph import CodeGraph
-from codeweave.operators import incremental, rank, resolve
+from codeweave.operators import grams, incremental, rank, resolve
 from codeweave.schema import EXTRACT_VERSION, SYMBOLS, Graph, struct
 from codeweave.sources.catalog import Catalog
 from codeweave.sources.extract import extract_files
@@ -69,6 +69,8 @@ def build_index(spark: SparkSession, root: str, home: str, full: bool = False, e
     ranks = rank.symbol_ranks(g.symbols, g.calls, g.uses, g.inherits)
     g.symbols.drop("rank").join(ranks, "id", "left").fillna(0.0, ["rank"]).write.parquet(f"{version}/symbols")
     g.symbols = spark.read.schema(struct(SYMBOLS)).parquet(f"{version}/symbols")
+    for column in ("name", "doc"):
+        grams.postings(g.symbols, "id", column).write.partitionBy("bucket").parquet(f"{version}/{column}_grams")
     if embeddings:
         encode_symbols(g.symbols).write.parquet(f"{version}/embeddings")
     stats = {r["label"]: r["n"] for r in CodeGraph(g).stats().collect()}

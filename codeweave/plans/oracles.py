@@ -147,6 +147,9 @@ ORACLES: dict[str, str] = {
     "search_symbols_compact": _with("sym", f"SELECT concat_ws(chr(9), name, kind, {AT}, signature) AS \"row\" FROM (SELECT * FROM sym WHERE contains(lower(name), 'widget') ORDER BY name, id LIMIT 20)"),
     "get_symbol": _with("sym", f"SELECT id, name, kind, {SPAN} AS location, signature, doc FROM sym WHERE name = 'blue_bolt' ORDER BY path, id LIMIT 1"),
     "symbols_in_file": _with("sym", f"SELECT id, name, kind, {SPAN} AS location, signature, doc, visibility, modifiers FROM sym WHERE path = {PATH3}"),
+    "search_symbols_indexed": _with("sym", f"SELECT {_SEARCH} FROM sym WHERE contains(lower(name), 'widget_')"),
+    "search_symbols_indexed_short": _with("sym", f"SELECT {_SEARCH} FROM sym WHERE contains(lower(name), 't_')"),
+    "search_docs_indexed": _with("sym", f"SELECT id, name, kind, {AT} AS location, doc FROM sym WHERE doc <> '' AND contains(lower(doc), 'd bolt')"),
     "search_docs": _with("sym", f"SELECT id, name, kind, {AT} AS location, doc FROM sym WHERE doc <> '' AND contains(lower(doc), 'bolt') ORDER BY name, id LIMIT 20"),
     "list_files": _with("sym", "SELECT DISTINCT path FROM sym WHERE starts_with(path, 'economy')"),
     "module_overview": _with(

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from codeweave.functions.text import body_of, language_of, slug_of
 from codeweave.graph import CodeGraph
-from codeweave.operators import incremental, rank, resolve, similarity
+from codeweave.operators import grams, incremental, rank, resolve, similarity
 from codeweave.plans.binding import Binding
 from codeweave.plans.cypher import cypher
 from codeweave.plans.oracles import PATH_TARGET
+from codeweave.plans.scratch import scratch_dir
+from codeweave.schema import GRAMS
 from codeweave.sources.extract import extract_files
 from codeweave.sources.rules import is_source
 from codeweave.streaming import watch
@@ -48,6 +50,19 @@ on_graph("search_symbols_kind", lambda g, b: g.search_symbols("widget", kind="cl
 on_graph("search_symbols_page", lambda g, b: g.search_symbols("widget", offset=5))
 on_graph("search_symbols_visibility", lambda g, b: g.search_symbols("widget", visibility="private"))
 on_graph("search_symbols_compact", lambda g, b: g.search_symbols("widget", compact=True))
+
+
+def _indexed(g: CodeGraph, column: str) -> CodeGraph:
+    """The graph with a posting index of one column, written as an index run writes it."""
+    path = scratch_dir(g.spark)
+    grams.postings(g.g.symbols, "id", column).write.partitionBy("bucket").parquet(path)
+    setattr(g.g, f"{column}_grams", g.spark.read.schema(GRAMS).parquet(path))
+    return g
+
+
+on_graph("search_symbols_indexed", lambda g, b: _indexed(g, "name").search_symbols("WIDGET_", limit=1 << 30))
+on_graph("search_symbols_indexed_short", lambda g, b: _indexed(g, "name").search_symbols("t_", limit=1 << 30))
+on_graph("search_docs_indexed", lambda g, b: _indexed(g, "doc").search_docs("D Bolt", limit=1 << 30))
 on_graph("get_symbol", lambda g, b: g.get_symbol("blue_bolt"))
 on_graph("symbols_in_file", lambda g, b: g.symbols_in_file(_path3(b)))
 on_graph("search_docs", lambda g, b: g.search_docs("bolt"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 #: A stored graph with another version is built anew; the extract version is part of every cache key.
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 EXTRACT_VERSION = 1
 
 FILES = "path string, lang string, hash string"
@@ -21,10 +21,11 @@ USES = INHERITS = "src string, dst string, confidence string"
 CONTAINS = "src string, dst string"
 IMPORTS = "src_path string, dst_path string"
 EMBEDDINGS = "id string, embedding array<float>"
+GRAMS = "gram string, id string, bucket int"
 
 TABLES = {
     "files": FILES, "symbols": SYMBOLS, "calls": CALLS, "uses": USES, "inherits": INHERITS, "contains": CONTAINS,
-    "imports": IMPORTS, "embeddings": EMBEDDINGS,
+    "imports": IMPORTS, "embeddings": EMBEDDINGS, "name_grams": GRAMS, "doc_grams": GRAMS,
 }
 
 # Kinds, confidence tiers and the two sets of type kinds.
@@ -51,6 +52,9 @@ class Graph:
     contains: DataFrame
     imports: DataFrame
     embeddings: DataFrame | None = None
+    #: Posting indexes of names and comments for substring search.
+    name_grams: DataFrame | None = None
+    doc_grams: DataFrame | None = None
 
     def edges(self, kind: str) -> DataFrame:
         return {"CALLS": self.calls, "USES": self.uses, "INHERITS": self.inherits, "CONTAINS": self.contains}[kind]

@@ -59,7 +59,7 @@ class Poller:
 
 def spooled(spark: SparkSession, spool: str) -> DataFrame:
     """The stream of events that a :class:`Poller` spools."""
-    return spark.readStream.schema(EVENT).json(spool)
+    return spark.readStream.schema(EVENT).option("cleanSource", "delete").json(spool)
 
 
 def live(

@@ -1,19 +1,26 @@
 """Live refresh: file events, filtered and debounced, trigger an incremental build.
 
-The debounce is one global session window: it ends after a quiet gap, as there is one index to refresh. In a
-table, bursts are found within stretches of time first, each stretch on its own; only one row a stretch then
-decides which bursts go on in the next one. A stream has one key for all its open bursts: what it keeps
-is a row a burst.
+The debounce is global, as there is one index to refresh: a burst ends after a quiet gap. In a table, bursts are
+found within stretches of time first, each stretch on its own; only one row a stretch then decides which bursts go on
+in the next one.
+
+A stream keeps one open burst. It ends when an event comes whose time is more than the gap later, or, with no further
+event at all, when the gap has passed on the clock: a processing-time timeout of the state, for which Spark runs batches
+without data. So the last save is refreshed too. (After a restart Spark runs these batches from the first new event on; a
+burst that was open then ends with it. The watch command indexes the tree when it starts, so nothing waits for that.) Events are put together within each partition before they meet, so what
+the one state sees is a row for each burst of an Arrow batch, not a row for each event.
 """
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from codeweave.functions.text import language_of
 from codeweave.sources.rules import SKIPPED
@@ -48,12 +55,46 @@ def _bursts(rows: DataFrame, gap: str, *keys: str) -> DataFrame:
     )
 
 
-def debounce(events: DataFrame, gap: str = GAP, delay: str | None = None, stretch: int = 3600) -> DataFrame:
+_BURST = "first long, last long, n long, head boolean"
+
+
+def merged(parts: pd.DataFrame, gap: int) -> pd.DataFrame:
+    """Bursts (first, last, n, head; times in microseconds) of parts of bursts that may overlap."""
+    parts = parts.sort_values("first", kind="stable")
+    burst = (parts["first"] > parts["last"].cummax().shift() + gap).cumsum()
+    return parts.groupby(burst).agg(first=("first", "min"), last=("last", "max"), n=("n", "sum"), head=("head", "max"))
+
+
+def _in_stream(rows: DataFrame, gap: str) -> DataFrame:
+    micros = int(pd.Timedelta(gap) / pd.Timedelta(microseconds=1))
+
+    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield merged(f, micros)
+
+    def held(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            done = pd.DataFrame([state.get], columns=["first", "last", "n", "head"])
+            state.remove()
+        else:
+            known = [pd.DataFrame([state.get], columns=["first", "last", "n", "head"])] if state.exists else []
+            bursts = merged(pd.concat([*known, *frames]), micros)
+            done, now = bursts.iloc[:-1], bursts.iloc[-1]
+            state.update((int(now["first"]), int(now["last"]), int(now["n"]), bool(now["head"])))
+            state.setTimeoutDuration(max(1, micros // 1000))
+        yield done
+
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    parts = rows.select(at.alias("first"), at.alias("last"), F.lit(1).cast("long").alias("n"), "head").mapInPandas(local, _BURST)
+    bursts = parts.withColumn("all", F.lit(0)).groupBy("all").applyInPandasWithState(held, _BURST, _BURST, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return bursts.select(F.timestamp_micros("first").alias("first_event"), F.timestamp_micros("last").alias("last_event"), F.col("n").alias("n_events"), "head")
+
+
+def debounce(events: DataFrame, gap: str = GAP, stretch: int = 3600) -> DataFrame:
     """(first_event, last_event, n_events, reason) of each burst of events (ts, head); events without a time are in none."""
     rows = events.where("ts IS NOT NULL")
     if events.isStreaming:
-        rows = rows.withWatermark("ts", delay or "0 seconds").withColumn("all", F.lit(0))
-        burst = _bursts(rows, gap, "all")
+        burst = _in_stream(rows, gap)
     else:
         burst = _joined(_bursts(rows.withColumn("stretch", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (stretch * 1_000_000))), gap, "stretch"), gap)
     reason = F.when(F.col("head"), "branch switched").otherwise("files changed")
@@ -87,5 +128,12 @@ def watch(events: DataFrame, root: str, refresh: Callable[[str], None], checkpoi
             except Exception:
                 logging.getLogger(__name__).exception("refresh failed")
 
-    bursts = debounce(dispatch(events, root), gap, delay="0 seconds")
-    return bursts.writeStream.foreachBatch(fire).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+    bursts = debounce(dispatch(events, root), gap)
+    writer = bursts.writeStream.foreachBatch(fire).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "500 milliseconds"}))
+    conf, partitions = events.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(partitions)
+    conf.set(partitions, 1)  # one state; a query keeps the settings that it starts with
+    try:
+        return writer.start()
+    finally:
+        conf.set(partitions, before)
