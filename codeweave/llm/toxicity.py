@@ -35,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
-from codeweave.llm.common import batch_of, begin, discard, held_out, materialize, task
+from codeweave.llm.common import batch_of, discard, held_out, materialize, task
 from codeweave.llm.labelled import logistic, probability, training_rows
 
 WORD = re.compile(r"[^\W_]+")
@@ -285,17 +286,15 @@ def passages(docs: DataFrame, model: Model, expectation: float = 0.01) -> DataFr
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """``docs`` without the documents that score ``threshold`` or more: a filter on the scan, no shuffle."""
-    shared: list[Scorer] = []
-
-    @F.pandas_udf("double")
-    def strength(text):  # noqa: ANN001
-        if not shared:
-            begin("toxicity")
-            shared.append(Scorer(model))
-        out = []
-        for t in text:
-            words = WORD.findall((t or "").lower())
-            out.append(model.strength(top_scores(words, shared[0].scores(words), model.drift), len(words)))
-        return text.__class__(probability(np.array(model.weights), np.array(out, float)[:, None]), dtype="float64")
 
+    def strength(batches):  # noqa: ANN001, ANN202
+        scorer = Scorer(model)
+        for texts in batches:
+            out = np.zeros(len(texts))
+            for i, text in enumerate(texts):
+                words = WORD.findall(text.as_py().lower())
+                out[i] = model.strength(top_scores(words, scorer.scores(words), model.drift), len(words))
+            yield pa.array(probability(np.array(model.weights), out[:, None]))
+
+    strength = F.arrow_udf(task("toxicity")(strength), "double", ArrowUDFType.SCALAR_ITER)
     return docs.where(strength(F.coalesce("text", F.lit(""))) < threshold)
