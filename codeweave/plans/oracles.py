@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeweave.plans import binding
+from codeweave.plans import binding, shapes
 
 _RAW = {
     "sym": binding.SYM.format(part="part"),
@@ -296,6 +296,7 @@ ORACLES: dict[str, str] = {
             ("extract_contains", "path, CAST(count(*) AS INTEGER) AS n, 'python' AS lang", "GROUP BY path"),
         )
     },
+    **{f"extract_{lang}": _with("sym", shapes.expected(shape)) for lang, shape in shapes.SHAPES.items()},
     "project_slug": "SELECT page_id, CASE WHEN b = '' THEN 'repo' ELSE b END || '-' || substr(sha1(url), 1, 10) AS slug FROM (SELECT page_id, url, regexp_replace(split_part(url, '/', -1), '[^A-Za-z0-9_.-]', '-', 'g') AS b FROM pages)",
     "registry_upsert": """WITH n AS (SELECT CASE WHEN page_id % 3 = 0 THEN url || '/moved' ELSE url END AS root FROM pages)
         SELECT root, 2 AS version FROM n UNION ALL SELECT url, 1 FROM pages WHERE url NOT IN (SELECT root FROM n)""",

@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 #: A stored graph with another version is built anew; the extract version is part of every cache key.
 SCHEMA_VERSION = 2
-EXTRACT_VERSION = 1
+EXTRACT_VERSION = 2
 
 FILES = "path string, lang string, hash string"
 SYMBOLS = (

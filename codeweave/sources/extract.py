@@ -177,6 +177,8 @@ class Mask:
         if spec.outside:  # what isn't between the tags is no code
             self._outside()
         self._code_from(0, False)
+        if spec.opaque:
+            self._tokens(spec.opaque)
         self.plain, self.code = "".join(self._plain), "".join(self._code)
 
     def _blank(self, start: int, end: int, *masks: list[str]) -> None:
@@ -185,6 +187,17 @@ class Mask:
                 if self.text[i] != "\n":
                     mask[i] = " "
 
+    def _tokens(self, head: re.Pattern) -> None:
+        plain, at = "".join(self._plain), 0
+        while m := head.search(plain, at):
+            depth, at = 0, len(plain)
+            for b in re.compile(r"[(){}\[\]]").finditer(plain, m.end()):
+                depth += 1 if b[0] in "({[" else -1
+                if not depth:
+                    at = b.end()
+                    break
+            self._blank(m.end() + 1, at - 1, self._plain)
+
     def _outside(self) -> None:
         opened, closed = self.spec.outside
         at, kept = 0, []

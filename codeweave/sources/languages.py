@@ -17,8 +17,12 @@ MODS = r"(?P<mods>(?:(?:public|private|protected|static|async|abstract|final|rea
 TYPES = r"(?:<(?:=>|[^<>]|<(?:=>|[^<>])*>)*>)"
 
 
+#: Annotations and modifiers; both are part of what they stand before.
+ANNOTATED = r"(?P<mods>(?:@(?!interface\b)[\w.]+(?:\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))?\s*|(?:public|private|protected|static|abstract|final|default|synchronized|native|strictfp|sealed|non-sealed|transient|volatile)\s+)*)"
+
+
 def rx(pattern: str) -> re.Pattern:
-    return re.compile(pattern.replace("ID", ID).replace("MODS", MODS).replace("TYPES", TYPES), re.MULTILINE)
+    return re.compile(pattern.replace("ID", ID).replace("MODS", MODS).replace("TYPES", TYPES).replace("ANNOTATED", ANNOTATED), re.MULTILINE)
 
 
 @dataclass(frozen=True)
@@ -30,6 +34,7 @@ class Language:
     literals: tuple[tuple[str, re.Pattern], ...] = ()  # other literals: how they open, and the whole of one
     templates: bool = False  # `...${code}...`
     outside: tuple[str, str] | None = None  # tags that code stands between
+    opaque: re.Pattern | None = None  # what stands before brackets whose contents are tokens, not code
     block: str = "braces"  # or "end", "indent", "statement"
     imports: tuple[re.Pattern, ...] = ()
     bases: tuple[re.Pattern, ...] = ()
@@ -47,6 +52,8 @@ NOT_CALLED = frozenset(
 #: A slash that begins a regular expression stands after an operator, a bracket or a keyword.
 _JS_REGEX = (r"/", re.compile(r"(?<![\w$)\]}\s])\s*/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*|(?<=[=(,:;!&|?{}\[\n+*%<>~^-] )/(?![*/ ])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*|(?:(?<=return )|(?<=typeof )|(?<=case ))/(?![*/ ])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"))
 _JS_CALLS = (rx(r"(?<![\w$])(?<!new\s)(?<!function\s)(?P<name>ID)\s*\("),)
+#: With type arguments a call has no space before them, or it would be a comparison.
+_TS_CALLS = (*_JS_CALLS, rx(r"(?<![\w$])(?<!new\s)(?<!function\s)(?P<name>ID)<[\w$.,|\s\[\]'\"]+(?:<[\w$.,|\s\[\]]+>[\w$.,|\s\[\]]*)*>\("))
 _JS_IMPORTS = (rx(r"^[ \t]*import\b[^;'\"`]*?[\"'](?P<name>[^\"']+)[\"']"),)
 _JS_HEADS = (
     ("function", rx(r"(?<![\w$.])(?P<mods>(?:async\s+)?)function\s*\*?\s*(?P<name>ID)\s*TYPES?\(")),
@@ -55,14 +62,16 @@ _JS_HEADS = (
 )
 _TS_HEADS = (*_JS_HEADS, ("interface", rx(r"(?<![\w$.])(?P<mods>)interface\s+(?P<name>ID)(?=[^;{]*\{)")))
 _TS = Language(
-    _TS_HEADS, quotes="\"'`", literals=(_JS_REGEX,), templates=True, imports=_JS_IMPORTS, calls=_JS_CALLS, in_types=frozenset({"method"}),
+    _TS_HEADS, quotes="\"'`", literals=(_JS_REGEX,), templates=True, imports=_JS_IMPORTS, calls=_TS_CALLS, in_types=frozenset({"method"}),
     bases=(rx(r"\bclass\s+(?P<sub>ID)\s*TYPES?\s+extends\s+(?P<name>ID)"),),
     uses=(rx(r"(?<=[\w$)\]?])\s*:\s*(?P<name>(?!(?:string|number|boolean|any|void|never|unknown|object|symbol|null|undefined)\b)ID)(?![\w$]|\s*[.<\[(])"),),
 )
 
 _C_PARAMETERS = r"\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:const|noexcept|override|final|&|\s)*(?:->\s*[\w:<>,*& ]+)?"
 _C_SCOPE = r"(?:[A-Za-z_]\w*(?:<[^<>;{}]*>)?::)"
-_C_FUNCTION = rx(r"^[ \t]*MODS(?:[A-Za-z_][\w:<>,*&\[\] \t]*?[\s*&])" + _C_SCOPE + r"*(?P<name>~?[A-Za-z_]\w*)" + _C_PARAMETERS + r"(?=\{)")
+#: Where a declaration may begin: on a line of its own, or after another one, a brace or an access label.
+_C_BEGIN = r"(?:^|(?<=[{};])|(?<=public:)|(?<=private:)|(?<=protected:))[ \t]*"
+_C_FUNCTION = rx(_C_BEGIN + r"MODS(?:[A-Za-z_][\w:<>,*&\[\] \t]*?[\s*&])" + _C_SCOPE + r"*(?P<name>~?[A-Za-z_]\w*)" + _C_PARAMETERS + r"(?=\{)")
 _CPP_MEMBER = rx(r"^[ \t]*(?P<mods>)" + _C_SCOPE + r"+(?P<name>~?[A-Za-z_]\w*)" + _C_PARAMETERS + r"(?::[^;{}]*(?:\{[^{};]*\}[^;{}]*)*)?(?=\{)")
 _C_TYPES = tuple((k, rx(rf"(?<![\w])(?P<mods>){k}\s+(?:class\s+)?(?P<name>[A-Za-z_]\w*)\b(?!\s*[,>=])(?=[^;{{()=]*\{{)")) for k in ("struct", "enum"))
 
@@ -91,19 +100,20 @@ LANGUAGES: dict[str, Language] = {
             ("trait", rx(r"(?<!\w)MODStrait\s+(?P<name>ID)")),
         ),
         quotes='"',
+        opaque=rx(r"(?<!\w)ID!\s*(?:ID)?\s*(?=[({\[])"),
         literals=((r"r#*\"", re.compile(r'r(#*)".*?"\1', re.DOTALL)), (r"'", re.compile(r"'(?:\\.|[^'\\\n])'"))),
         imports=(rx(r"^[ \t]*(?:pub\s+)?use\s+(?P<name>[^;]+);"),),
         calls=(rx(r"(?<![\w.:])(?<!fn\s)(?P<name>ID)\s*\("),),
     ),
     "java": Language(
         (
-            ("class", rx(r"(?<![\w.])MODSclass\s+(?P<name>ID)")),
-            ("interface", rx(r"(?<![\w.@])MODSinterface\s+(?P<name>ID)")),
-            ("method", rx(r"(?:(?<=[{};])|^)\s*MODS(?:<[^>]*>\s*)?(?!(?:new|return|else|throw)\b)[A-Za-z_][\w.<>,?\[\] ]*[\s\]>](?P<name>ID)\s*\([^(){};]*\)\s*(?:throws\s+[\w., ]+)?(?=[{;])")),
+            ("class", rx(r"(?<![\w.@])ANNOTATEDclass\s+(?P<name>ID)")),
+            ("interface", rx(r"(?<![\w.@])ANNOTATEDinterface\s+(?P<name>ID)")),
+            ("method", rx(r"(?:(?<=[{};])|^)\s*ANNOTATED(?:<[^>]*>\s*)?(?!(?:new|return|else|throw)\b)[A-Za-z_][\w.<>,?\[\] ]*[\s\]>](?P<name>ID)\s*\([^(){};]*\)\s*(?:throws\s+[\w., ]+)?(?=[{;])")),
         ),
         imports=(rx(r"^[ \t]*import\s+(?:static\s+)?(?P<name>[\w]+(?:\.\w+)+)\s*(?:\.\*)?;"),),
         bases=(rx(r"\bclass\s+(?P<sub>ID)\s*(?:<[^>{]*>)?\s+extends\s+(?P<name>ID)(?!\s*[.<])"),),
-        calls=(rx(r"(?<![\w$])(?<!new\s)(?P<name>ID)\s*\("),),
+        calls=(rx(r"(?<![\w$@])(?<!@\w\.)(?<!new\s)(?P<name>ID)\s*\("),),
         in_types=frozenset({"method"}),
     ),
     "php": Language(
@@ -149,7 +159,7 @@ LANGUAGES: dict[str, Language] = {
         line_comments=("#",), block_comments=(), block="end",
     ),
     "lua": Language((("function", rx(r"^[ \t]*(?P<mods>(?:local\s+)?)function\s+(?:\w+[.:])*(?P<name>\w+)\s*\(")),), line_comments=("--",), block_comments=(("--[[", "]]"),), block="end"),
-    "bash": Language((("function", rx(r"^[ \t]*(?P<mods>)(?:function\s+)?(?P<name>[A-Za-z_][\w-]*)\s*\(\s*\)\s*(?=\{)")),), line_comments=("#",), block_comments=()),
+    "bash": Language((("function", rx(r"^[ \t]*(?P<mods>)(?:function\s+)?(?P<name>[A-Za-z_][\w-]*)\s*\(\s*\)\s*(?=\{)")), ("function", rx(r"^[ \t]*(?P<mods>)function\s+(?P<name>[A-Za-z_][\w-]*)\s*(?=\{)"))), line_comments=("#",), block_comments=()),
     "sql": Language(
         (("function", re.compile(r"(?P<mods>)create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+(?:\w+\.)?(?P<name>\w+)", re.IGNORECASE)),), line_comments=("--",), block="statement",
     ),

@@ -139,6 +139,25 @@ def test_literals_scopes_and_type_parameters(path, source, expected):
         assert callees(row) == {"test", "after"}
 
 
+@pytest.mark.parametrize(
+    ("path", "source", "symbols", "called"),
+    [
+        ("Dock.java", '@Deprecated class Dock {\n  @Override public void moor() { tie(); }\n  @SuppressWarnings({"a", "b(c)"})\n  @Inject private <T> T load(T t) { return lift(t); }\n}\n@interface Marked { }\n', ["Dock", "moor", "load"], {"tie", "lift"}),
+        ("rig.ts", "function rig(a: Hull) { return fit<Sail>(a) && i < n && m > (k); }\nconst all = pick<Map<string, Mast[]>>(x);\n", ["rig"], {"fit"}),
+        ("vec.cpp", "struct Vec { void push(T x){ grow(x); } int size() const { return n; } };\nclass Log { public: void add(int v) { n += v; } private: int n; };\nint main() { if (a) { run(b); } else if (c) { } for (;;) { } return 0; }\n", ["Vec", "push", "size", "Log", "add", "main"], set()),
+        ("h.sh", "function haul { pull; }\nlower() { :; }\nfunction hoist() {\n  haul\n}\n", ["haul", "lower", "hoist"], set()),
+        ("m.rs", "macro_rules! sails { ($n:ident) => { fn $n() {} fn hidden() { lost(); } }; }\nfn shown() { println!(\"{}\", inside(1)); outside(vec![made(2)]); }\n", ["shown"], {"outside"}),
+    ],
+)
+def test_one_line_members_type_arguments_and_macros(path, source, symbols, called):
+    row = extract_source(path, source.encode())
+    assert [s["name"] for s in row["symbols"]] == symbols
+    assert callees(row) == called
+    if path == "Dock.java":
+        spans = {s["name"]: source[s["start_byte"] : s["end_byte"]] for s in row["symbols"]}
+        assert spans["moor"] == "@Override public void moor() { tie(); }" and spans["load"].startswith("@SuppressWarnings") and by_name(row)["load"]["visibility"] == "private"
+
+
 def test_calls_inside_templates_count():
     row = extract_source("t.js", b"function greet(n) { return `hi { ${name(`of ${title(n)} (`)} function x() {}`; }\n")
     assert names(row) == {"greet"} and callees(row) == {"name", "title"}
