@@ -82,6 +82,7 @@ def main(argv: list[str] | None = None) -> int:
     sub = parser.add_subparsers(dest="command", required=True)
     index = sub.add_parser("index")
     index.add_argument("--full", action="store_true")
+    index.add_argument("--vectors", choices=("learned", "hashed"), help="how texts become vectors; as before, if not given")
     sub.add_parser("stats")
     sub.add_parser("query").add_argument("cypher")
     sub.add_parser("sql").add_argument("sql")
@@ -101,7 +102,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = session()
     if args.command == "index":
-        print(json.dumps(build_index(spark, args.root, args.home, args.full)))
+        print(json.dumps(build_index(spark, args.root, args.home, args.full, learned=args.vectors and args.vectors == "learned")))
         return 0
     if args.command == "watch":
         watch_tree(spark, args.root, args.home, args.seconds)

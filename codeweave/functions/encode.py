@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 256
@@ -97,6 +97,11 @@ def encode_query(text: str) -> list[float]:
     return encode([text])[0].tolist()
 
 
+def text_of_symbol() -> Column:
+    """Name, signature and comment, as far as there are any."""
+    return F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in ("name", "signature", "doc")])
+
+
 def encode_symbols(symbols: DataFrame) -> DataFrame:
     """(id, embedding) from name, signature and comment."""
 
@@ -105,5 +110,4 @@ def encode_symbols(symbols: DataFrame) -> DataFrame:
         for texts in batches:
             yield pd.Series(list(encode(texts.tolist())))
 
-    full = F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in ("name", "signature", "doc")])
-    return symbols.select("id", vectors(full).alias("embedding"))
+    return symbols.select("id", vectors(text_of_symbol()).alias("embedding"))

@@ -46,6 +46,7 @@ def delete_file(graph: Graph, path: str) -> Graph:
         *(clean(e) for e in (graph.calls, graph.uses, graph.inherits, graph.contains)),
         graph.imports.where((F.col("src_path") != path) & (F.col("dst_path") != path)),
         *(t.join(gone, "id", "left_anti").select(*t.columns) if t is not None else None for t in (graph.embeddings, graph.name_grams, graph.doc_grams)),
+        graph.latent,
     )
 
 

@@ -7,11 +7,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweave.functions.encode import encode_symbols
+from codeweave.functions.encode import encode_query, encode_symbols, text_of_symbol
 from codeweave.functions.text import cache_key, language_of
 from codeweave.graph import CodeGraph
-from codeweave.operators import grams, incremental, rank, resolve
-from codeweave.schema import EXTRACT_VERSION, SYMBOLS, Graph, struct
+from codeweave.operators import grams, incremental, latent, rank, resolve
+from codeweave.schema import EXTRACT_VERSION, LATENT, SYMBOLS, Graph, struct
 from codeweave.sources.catalog import Catalog
 from codeweave.sources.extract import extract_files
 from codeweave.sources.tree import read_tree
@@ -37,11 +37,12 @@ def graph_of(extracts: DataFrame) -> Graph:
     )
 
 
-def build_index(spark: SparkSession, root: str, home: str, full: bool = False, embeddings: bool = True) -> dict[str, int]:
+def build_index(spark: SparkSession, root: str, home: str, full: bool = False, embeddings: bool = True, learned: bool | None = None) -> dict[str, int]:
     """Brings the stored graph of a tree up to date and returns its counts.
 
     If no file changed, nothing is built. Only changed files are extracted (all with ``full``); resolving and
-    ranking look at the whole graph, as one new file can change any name's candidates.
+    ranking look at the whole graph, as one new file can change any name's candidates. Embeddings are hashed, or with ``learned``
+    a model of the tree's own texts; where that isn't given, as they were before.
     """
     root = os.path.realpath(root)
     catalog = Catalog(spark, home)
@@ -51,7 +52,7 @@ def build_index(spark: SparkSession, root: str, home: str, full: bool = False, e
     hashed.select("path", "hash").write.parquet(f"{version}/manifest")
     manifest = spark.read.schema("path string, hash string").parquet(f"{version}/manifest")
     meta = catalog.current(root)
-    if meta and not full and incremental.unchanged(catalog.manifest(root), manifest):
+    if meta and not full and not learned and incremental.unchanged(catalog.manifest(root), manifest):
         catalog.store.delete(version)
         return meta["stats"]
 
@@ -72,7 +73,12 @@ def build_index(spark: SparkSession, root: str, home: str, full: bool = False, e
     for column in ("name", "doc"):
         grams.postings(g.symbols, "id", column).write.partitionBy("bucket").parquet(f"{version}/{column}_grams")
     if embeddings:
-        encode_symbols(g.symbols).write.parquet(f"{version}/embeddings")
+        if learned if learned is not None else not catalog.table(root, "latent", LATENT).isEmpty():
+            texts = g.symbols.select("id", text_of_symbol().alias("text"))
+            latent.fit(texts, "id", "text").write.parquet(f"{version}/latent")
+            latent.encode(texts, spark.read.schema(LATENT).parquet(f"{version}/latent"), "id", "text").write.parquet(f"{version}/embeddings")
+        else:
+            encode_symbols(g.symbols).write.parquet(f"{version}/embeddings")
     stats = {r["label"]: r["n"] for r in CodeGraph(g).stats().collect()}
     catalog.publish(root, version, stats)
     return stats
@@ -80,8 +86,9 @@ def build_index(spark: SparkSession, root: str, home: str, full: bool = False, e
 
 def open_graph(spark: SparkSession, root: str, home: str) -> CodeGraph | None:
     """The stored graph of a tree with its sources and encoder, or None."""
-    from codeweave.functions.encode import encode_query
-
     root = os.path.realpath(root)
     graph = Catalog(spark, home).graph(root)
-    return CodeGraph(graph, read_tree(spark, root), encode_query) if graph else None
+    if graph is None:
+        return None
+    encoder = encode_query if graph.latent.isEmpty() else lambda text: latent.encode_query(graph.latent, text)
+    return CodeGraph(graph, read_tree(spark, root), encoder)

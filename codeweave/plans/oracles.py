@@ -306,6 +306,13 @@ ORACLES: dict[str, str] = {
             / sqrt(list_dot_product(list_transform(embedding, lambda e: CAST(e AS DOUBLE)), list_transform(embedding, lambda e: CAST(e AS DOUBLE)))) / sqrt(list_dot_product(q.v, q.v)) AS x FROM embeddings, q)
         SELECT CAST(vec_id AS VARCHAR) AS id, round(x, 6) AS score FROM s ORDER BY x DESC, CAST(vec_id AS VARCHAR) LIMIT 15
     """,
+    "latent_matrix": """
+        WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(regexp_replace(text, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^\\P{L}A-Za-z]+'), lambda x: lower(x)) AS w FROM documents),
+        t AS (SELECT doc_id, list_concat(w, list_transform(list_filter(w, lambda x: length(x) > 4), lambda x: substr(x, 1, 4) || '*')) AS t FROM w),
+        c AS (SELECT doc_id, token, total, count(*) AS n FROM (SELECT doc_id, len(t) AS total, unnest(t) AS token FROM t) GROUP BY ALL),
+        s AS (SELECT token, sum(n) / (SELECT sum(n) FROM c) AS share FROM c GROUP BY token HAVING count(*) >= 2)
+        SELECT doc_id, token, round(ln(n / (total * share)), 6) AS x FROM c JOIN s USING (token) WHERE ln(n / (total * share)) > 0
+    """,
     "watch_relevant": f"""
         SELECT path FROM (SELECT CASE doc_id % 6 WHEN 0 THEN '/w/' WHEN 1 THEN '/w/node_modules/' WHEN 2 THEN '/w/.hidden/' WHEN 3 THEN '/w/src/' WHEN 4 THEN '/other/' ELSE '/w/a/b/' END || {_DOC_PATH} AS path,
             doc_id FROM documents) WHERE doc_id % 6 IN (0, 3, 5) AND doc_id % 8 NOT IN (4, 6)

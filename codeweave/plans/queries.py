@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeweave.functions.text import body_of, language_of, slug_of
 from codeweave.graph import CodeGraph
-from codeweave.operators import grams, incremental, rank, resolve, similarity
+from codeweave.operators import grams, incremental, latent, rank, resolve, similarity
 from codeweave.plans import shapes
 from codeweave.plans.binding import Binding
 from codeweave.plans.cypher import cypher
@@ -334,6 +334,13 @@ def search_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.nearest(vectors, list(asked), 15).select("id", F.round("score", 6).alias("score"))
 
 
+@query
+def latent_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix that vectors are learned from: how much more often than by chance each word is in each document."""
+    seen = latent.counted(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return latent.matrix(seen, "doc_id", least=2)[0].select("doc_id", "token", F.round("x", 6).alias("x"))
+
+
 @query
 def watch_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(_table(spark, sf_dir, "documents"), "/w/", "/other/").where(watch.relevant(F.col("path"), "/w"))

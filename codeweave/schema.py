@@ -22,10 +22,11 @@ CONTAINS = "src string, dst string"
 IMPORTS = "src_path string, dst_path string"
 EMBEDDINGS = "id string, embedding array<float>"
 GRAMS = "gram string, id string, bucket int"
+LATENT = "token string, share double, vector array<double>"
 
 TABLES = {
     "files": FILES, "symbols": SYMBOLS, "calls": CALLS, "uses": USES, "inherits": INHERITS, "contains": CONTAINS,
-    "imports": IMPORTS, "embeddings": EMBEDDINGS, "name_grams": GRAMS, "doc_grams": GRAMS,
+    "imports": IMPORTS, "embeddings": EMBEDDINGS, "name_grams": GRAMS, "doc_grams": GRAMS, "latent": LATENT,
 }
 
 # Kinds, confidence tiers and the two sets of type kinds.
@@ -55,6 +56,8 @@ class Graph:
     #: Posting indexes of names and comments for substring search.
     name_grams: DataFrame | None = None
     doc_grams: DataFrame | None = None
+    #: What the embeddings were learned as; empty where they are hashed.
+    latent: DataFrame | None = None
 
     def edges(self, kind: str) -> DataFrame:
         return {"CALLS": self.calls, "USES": self.uses, "INHERITS": self.inherits, "CONTAINS": self.contains}[kind]
