@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +84,19 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     )
 
 
+def parts_of(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices with about ``most`` bytes in ``column``; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > begin and held + size > most:
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += size
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of an Arrow text column; null counts as empty."""
     return [t or "" for t in column.to_pylist()]

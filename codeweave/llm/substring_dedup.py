@@ -38,12 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import batch_of, discard, fresh_names, materialize, release, run_indices, task
+from codeweave.llm.common import batch_of, discard, fresh_names, materialize, parts_of, release, run_indices, task
 
 WINDOW = 50
 PHRASE = 6
-#: Documents whose phrases are compiled into one automaton.
-SHARD = 500
+#: Bytes of text of the documents whose phrases are compiled into one automaton; a longer document has one of its own.
+SHARD = 1 << 20
 _digest = xxhash.xxh3_128_digest
 
 _rng = np.random.default_rng(20_25)
@@ -124,24 +124,23 @@ class Words:
 
 
 #: ``reach``: 64 times the words of a span before its phrase, plus its windows less one.
-PHRASES = pa.schema([("doc_id", pa.int64()), ("phrase", pa.binary()), ("reach", pa.int32()), ("span", pa.binary())])
+PHRASES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("phrase", pa.binary()), ("reach", pa.int32()), ("span", pa.binary())])
 
 
 def phrases(docs: DataFrame) -> DataFrame:
-    """(doc_id, phrase, reach, span): one row per phrase occurrence, without its place."""
+    """(doc_id, text_key, phrase, reach, span): one row per phrase occurrence, without its place."""
 
     @task("substring_dedup")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, SHARD):
-                part = b.slice(i, SHARD)
+            for part in parts_of(b, "text", SHARD):
                 words = Words(part.column("text").to_pylist())
                 doc, at, low, high = words.spans()
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                ids, keys = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
                 reach = ((at - low) * 64 + (high - low)).astype(np.int32)
-                yield batch_of(PHRASES, ids[doc].astype(np.int64), words.texts(at, PHRASE), reach, list(map(_digest, words.texts(low, high - low + WINDOW))))
+                yield batch_of(PHRASES, ids[doc].astype(np.int64), keys[doc].astype(np.int64), words.texts(at, PHRASE), reach, list(map(_digest, words.texts(low, high - low + WINDOW))))
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(work, "doc_id long, phrase binary, reach int, span binary")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", "text_key").mapInArrow(work, "doc_id long, text_key long, phrase binary, reach int, span binary")
 
 
 def recurring(found: DataFrame) -> DataFrame:
@@ -153,18 +152,18 @@ def recurring(found: DataFrame) -> DataFrame:
     shared = keyed.groupBy("key").agg(*(f(c).alias(f"{n}_{c}") for c in ("doc_id", "of_span") for n, f in (("min", F.min), ("max", F.max))))
     # written, so that the join reads a table on either side and can split a hot phrase
     shared = materialize(shared.where("min_doc_id < max_doc_id").select("key", (F.col("min_of_span") != F.col("max_of_span")).alias("edge")))
-    return keyed.join(shared, "key").select("doc_id", "phrase", "reach", "span", "edge")
+    return keyed.join(shared, "key").select("doc_id", "text_key", "phrase", "reach", "span", "edge")
 
 
 def confirmed(rows: DataFrame) -> DataFrame:
-    """(doc_id, phrases): each document's phrases with the first document of their span, by the phrase's text.
+    """(doc_id, text_key, phrases): each document's phrases with the first document of their span, by the phrase's text.
 
     Spans that one document alone has matter at edges only.
     """
     span = ["phrase", "reach", "span"]
     spans = materialize(rows.groupBy(*span).agg(F.min("doc_id").alias("first")))
     known = rows.join(spans, span).where("edge OR first < doc_id")
-    return known.groupBy("doc_id").agg(F.collect_set(F.struct(*span, "first", "edge")).alias("phrases"))
+    return known.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(*span, "first", "edge")).alias("phrases"))
 
 
 LOCATED_DDL = "doc_id long, text_key long, ranges array<struct<low:int,high:int>>, edges array<binary>, places array<int>"
@@ -224,14 +223,13 @@ def extended(hits: list[tuple[int, bytes]], known: Known, text: bytes, starts: l
 def locate(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Streams all documents through the automata of their shards: word ranges to remove, and window digests at edges.
 
-    ``docs``: doc_id, text, text_key; ``known``: doc_id, phrases array<struct<phrase, reach, span, first, edge>>.
+    ``docs``: doc_id, text, text_key; ``known``: doc_id, text_key, phrases array<struct<phrase, reach, span, first, edge>>.
     """
 
     @task("substring_dedup")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, SHARD):
-                part = b.slice(i, SHARD)
+            for part in parts_of(b, "text", SHARD):
                 of_doc = [_known(row) for row in part.column("phrases").to_pylist()]
                 automaton = compiled({phrase for known_ in of_doc for phrase in known_})
                 out = []
@@ -251,7 +249,7 @@ def locate(docs: DataFrame, known: DataFrame) -> DataFrame:
                         out.append((own, key, [{"low": lo, "high": hi} for lo, hi in sorted(ranges)], windows, places))
                 yield batch_of(LOCATED, *(zip(*out) if out else ([],) * 5))
 
-    joined = docs.join(known, "doc_id", "left").select("doc_id", "text_key", "text", "phrases")
+    joined = docs.join(known, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "phrases")
     return joined.mapInArrow(work, LOCATED_DDL)
 
 

@@ -264,3 +264,28 @@ def test_substring_deduplicate_with_clashing_columns(spark):
     docs = spark.createDataFrame([(1, passage, "k", "r", 1, "x"), (2, f"a {passage}", "k", "r", 2, None)], "doc_id long, text string, _key string, _ranges string, _own_0 long, text_key string")
     assert sorted(map(tuple, substring_dedup.deduplicate(docs).collect())) == [(1, passage, "k", "r", 1, "x"), (2, "a", "k", "r", 2, None)]
     assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs).collect()) == [(1, 0), (2, 60)]
+
+
+def test_rows_of_one_id_hold_their_own_phrases(spark):
+    """Many texts of one id: each carries what its own text holds, and loses nothing to the others."""
+    from codeweave.llm import substring_dedup as sd
+
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) + " " + passage for _ in range(30)]
+    docs = spark.createDataFrame([(7, t) for t in texts] + [(3, passage), (9, passage + " end")], "doc_id long, text string").selectExpr("*", "xxhash64(text) AS text_key")
+    known = sd.confirmed(sd.recurring(sd.phrases(docs))).collect()
+    assert max(len(r["phrases"]) for r in known) < 30 and sum(r["doc_id"] == 7 for r in known) == 30
+    got = {(r["doc_id"], r["n_removed"]) for r in sd.remove_repeats(docs).collect()}
+    assert got == {(7, 60), (3, 0), (9, 60)}
+
+
+def test_parts_are_cut_by_bytes():
+    import pyarrow as pa
+
+    from codeweave.llm.common import parts_of
+
+    texts = ["a" * 40, None, "", "b" * 70, "c" * 500, "d" * 60, "e" * 50]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    assert [p.column("text").to_pylist() for p in parts_of(batch, "text", 100)] == [texts[:3], [texts[3]], [texts[4]], [texts[5]], [texts[6]]]
+    assert list(parts_of(batch.slice(0, 0), "text", 100)) == []
