@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 #: A stored graph with another version is built anew; the extract version is part of every cache key.
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 EXTRACT_VERSION = 2
 
 FILES = "path string, lang string, hash string"
@@ -29,6 +29,12 @@ TABLES = {
     "imports": IMPORTS, "embeddings": EMBEDDINGS, "name_grams": GRAMS, "doc_grams": GRAMS, "latent": LATENT,
 }
 
+#: References as extracted, with their file; kept for the next build.
+RAW = {
+    "callsites": "path string, src string, name string, line bigint", "bases": "path string, src string, name string", "type_refs": "path string, src string, name string",
+    "raw_imports": "path string, raw string", "holds": "path string, src string, dst string",
+}
+
 # Kinds, confidence tiers and the two sets of type kinds.
 EXTRACTED, INFERRED, AMBIGUOUS = "EXTRACTED", "INFERRED", "AMBIGUOUS"
 ENCLOSING_TYPES = ("class", "interface", "trait", "enum", "struct")
