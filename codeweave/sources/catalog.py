@@ -15,6 +15,7 @@ import re
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from codeweave.schema import SCHEMA_VERSION, TABLES, Graph, struct
@@ -49,16 +50,29 @@ class Store:
             stream.close()
 
     def create(self, path: str, text: str) -> bool:
-        """Written beside and moved there, so no reader sees half a file; False if there is a file already."""
+        """Written beside and then put there whole, if there is no file yet; False if there is one.
+
+        A rename fails where the target exists, but for local file systems, which replace it; there it is a link, which fails.
+        """
         fs, p = self._at(path)
         _, new = self._at(f"{path}.{uuid.uuid4().hex}.new")
         stream = fs.create(new, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if not fs.exists(p) and fs.rename(new, p):
-            return True
-        fs.delete(new, False)
-        return False
+        try:
+            return self._linked(new, p) if fs.getScheme() == "file" else bool(not fs.exists(p) and fs.rename(new, p))
+        finally:
+            fs.delete(new, False)
+
+    def _linked(self, new, p) -> bool:
+        source, target = (self._jvm.java.io.File(x.toUri().getPath()).toPath() for x in (new, p))
+        try:
+            self._jvm.java.nio.file.Files.createLink(target, source)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in str(e.java_exception):
+                raise
+            return False
+        return True
 
     def names(self, path: str) -> list[str]:
         """Names of the files and folders in a folder; none where there is none."""

@@ -174,3 +174,19 @@ def test_command_line(spark, built, capsys, monkeypatch):
     assert cli.main(["--home", home, "--root", "/nowhere", "stats"]) == 1
     assert cli.main(["audit"]) == 0
     assert len(json.loads(capsys.readouterr().out.splitlines()[-1])["tools"]) == 23
+
+
+def test_one_of_many_writers_gets_a_pointer(spark, tmp_path):
+    """Files are put only where there is none, whole, whoever writes at once; pointers of all writers have numbers of their own."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from codeweave.sources.catalog import Store
+
+    store = Store(spark)
+    with ThreadPoolExecutor(8) as pool:
+        for i in range(10):
+            won = list(pool.map(lambda k, i=i: store.create(f"{tmp_path}/c/{i}", str(k) * 1000), range(8)))
+            assert won.count(True) == 1 and store.read(f"{tmp_path}/c/{i}") == str(won.index(True)) * 1000
+        list(pool.map(lambda k: store.point(f"{tmp_path}/p", json.dumps({"k": k})), range(20)))
+    assert sorted(p["k"] for p in store.pointed(f"{tmp_path}/p")) == list(range(20))
+    assert sorted(store.names(f"{tmp_path}/c")) == sorted(map(str, range(10)))
