@@ -42,35 +42,53 @@ def k_hop(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def _onward(frontier: DataFrame, steps: DataFrame) -> DataFrame:
+    """(id, parent): what is one edge further, with the smallest node of the frontier that leads there."""
+    return frontier.join(steps, frontier["id"] == steps["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+
+
+def _new(reached: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """The part of ``reached`` that none of the levels after the first has."""
+    for level in levels[1:]:
+        reached = reached.join(level.select("id"), "id", "left_anti")
+    return materialize(reached)
+
+
 def shortest_path(edges: DataFrame, start: DataFrame, end: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """One row (ids array, hops) with a shortest path from any start to any end node, or none.
 
-    Level by level, each node keeps its smallest predecessor; the search ends at the first level that has an
-    end node, of which the smallest counts. From a node to itself: its shortest cycle.
+    Frontiers grow from both ends, the smaller one first, until they meet; each goes half of the way, so neither holds the
+    nodes of the last levels, which are most of a graph. From where they meet, forward levels go on within the backward ones alone.
+    Each node keeps its smallest predecessor; of the end nodes that are nearest, the smallest counts. From a node to
+    itself: its shortest cycle.
     """
     spark = edges.sparkSession
     steps = materialize(edges.select("src", "dst").distinct())
-    levels: list[DataFrame] = []
-    frontier = start.select("id").distinct()
-    seen = None
-    hit = None
+    back = steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ahead, behind = [materialize(start.select("id").distinct())], [materialize(end.select("id").distinct())]
+    sizes = [ahead[0].count(), behind[0].count()]
+    met = None
     for _ in range(clamp(depth)):
-        reached = frontier.join(steps, frontier["id"] == steps["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        if seen is not None:
-            reached = reached.join(seen, "id", "left_anti")
-        reached = materialize(reached)
-        levels.append(reached)
-        found = reached.join(end.select("id").distinct(), "id", "left_semi").agg(F.min("id")).first()[0]
-        if found is not None:
-            hit = found
+        if not min(sizes):
             break
-        if reached.isEmpty():
+        if sizes[0] <= sizes[1]:
+            ahead.append(_new(_onward(ahead[-1].select("id"), steps), ahead))
+            sizes[0] = ahead[-1].count()
+        else:
+            behind.append(_new(_onward(behind[-1].select("id"), back).select("id"), behind))
+            sizes[1] = behind[-1].count()
+        meeting = ahead[-1].join(behind[-1].select("id"), "id", "left_semi")
+        if not meeting.isEmpty():
+            met = materialize(meeting)
             break
-        seen = reached.select("id") if seen is None else seen.unionByName(reached.select("id"))
-        frontier = reached.select("id")
-    if hit is None:
+    if met is None:
         return spark.createDataFrame([], "ids array<string>, hops int")
-    ids = [hit]
+    levels = [*ahead[1:-1], met] if len(ahead) > 1 else []
+    frontier = met.select("id")
+    for level in reversed(behind[:-1]):
+        levels.append(materialize(_onward(frontier, steps).join(level.select("id"), "id", "left_semi")))
+        frontier = levels[-1].select("id")
+    ids = [frontier.agg(F.min("id")).first()[0]]
     for level in reversed(levels):  # at most six look-ups
         ids.append(level.where(F.col("id") == ids[-1]).first()["parent"])
     return spark.createDataFrame([(ids[::-1], len(ids) - 1)], "ids array<string>, hops int")

@@ -137,3 +137,31 @@ def test_bodies_are_bytes_and_survive_bad_utf8(spark):
     assert [r[0] for r in paths.select(language_of(F.col("p"))).collect()] == [None, None, "python", None, None]
     assert paths.select(location(F.col("p"), F.lit(3), F.lit(5))).first()[0] == "a/./b/../c:3-5"
     assert paths.select(slug_of(F.lit("/x/my repo"))).first()[0].startswith("my-repo-")
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.sets(st.tuples(st.integers(0, 11), st.integers(0, 11)), max_size=30), st.sets(st.integers(0, 11), min_size=1, max_size=3), st.sets(st.integers(0, 11), min_size=1, max_size=3), st.integers(1, 6))
+def test_frontiers_from_both_ends_find_the_path_of_a_search_from_one(spark, edges, start, end, depth):
+    """Level by level from the start: each node's smallest predecessor, the smallest end node of the first level that has one."""
+    level, parents, seen, hit = {f"n{i:02}" for i in start}, [], set(), None
+    links, ends = [(f"n{a:02}", f"n{b:02}") for a, b in edges], {f"n{i:02}" for i in end}
+    for _ in range(depth):
+        reached = {}
+        for a, b in sorted(links, reverse=True):
+            if a in level and b not in seen:
+                reached[b] = a
+        parents.append(reached)
+        if set(reached) & ends:
+            hit = min(set(reached) & ends)
+            break
+        seen |= set(reached)
+        level = set(reached)
+    want = []
+    if hit:
+        ids = [hit]
+        for p in reversed(parents):
+            ids.append(p[ids[-1]])
+        want = [(ids[::-1], len(ids) - 1)]
+    frame = lambda xs: spark.createDataFrame([(f"n{i:02}",) for i in xs], "id string")
+    got = traverse.shortest_path(spark.createDataFrame(links, "src string, dst string"), frame(start), frame(end), depth).collect()
+    assert [(r["ids"], r["hops"]) for r in got] == want
