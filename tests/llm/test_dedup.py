@@ -254,7 +254,7 @@ def test_places_come_from_the_automaton(spark):
     found = {r["doc_id"]: r["ranges"] for r in substring_dedup.locate(docs, known).collect()}
     assert all(min(x["low"] for x in found[d]) >= d * 7 and max(x["high"] for x in found[d]) <= d * 7 + 300 for d in (2, 3, 4))
     assert not found[1]
-    other = known.selectExpr("doc_id", "transform(phrases, p -> named_struct('phrase', CAST(concat('q', CAST(p.phrase AS STRING)) AS BINARY), 'reach', p.reach, 'span', p.span, 'first', p.first, 'edge', p.edge)) AS phrases")
+    other = known.selectExpr("doc_id", "text_key", "transform(phrases, p -> named_struct('phrase', CAST(concat('q', CAST(p.phrase AS STRING)) AS BINARY), 'reach', p.reach, 'span', p.span, 'first', p.first, 'edge', p.edge)) AS phrases")
     assert substring_dedup.locate(docs, other).count() == 0
     assert substring_dedup.compiled(set()) is None and substring_dedup.occurrences(None, b"a b", None) == []
 
