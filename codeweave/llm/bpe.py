@@ -16,6 +16,7 @@ import base64
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -78,6 +79,10 @@ def _from_json(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Signs that may end a word.
+_ENDS = frozenset(".,;:!?)")
+
+
 class Codec:
     """A byte-level tokenizer with its byte table; made once in each worker (see :func:`codec`)."""
 
@@ -103,15 +108,31 @@ class Codec:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _fill(self, words: list[str]) -> None:
-        """Memo entries for words after a blank: cut by the pattern, each distinct match merged by the library's model."""
-        cut = [self._matches(" " + w) for w in words]
-        merged = {}
-        tokenize = self.tokenizer.model.tokenize
-        for m in {m for matches in cut for m in matches}:
-            merged[m] = np.array([t.id for t in tokenize(m.encode().decode("latin-1").translate(self._names))], "<u4").tobytes()
-        get = merged.__getitem__
-        for w, matches in zip(words, cut):
-            self._memo[w] = get(matches[0]) if len(matches) == 1 else b"".join(map(get, matches))
+        """Memo entries for words after a blank: cut by the pattern, each distinct match merged by the library's model.
+
+        A word of letters is one match with its blank, and a sign of ``_ENDS`` after letters one of its own, so these need no pattern.
+        """
+        memo, merged, tokenize, names = self._memo, {}, self.tokenizer.model.tokenize, self._names
+        blank = names[0x20]
+
+        def ids(match: str) -> bytes:
+            found = merged.get(match)
+            if found is None:
+                merged[match] = found = array("I", [t.id for t in tokenize(match.encode().decode("latin-1").translate(names))]).tobytes()
+            return found
+
+        def ids_of(letters: str) -> bytes:
+            if not letters.isascii():
+                return ids(" " + letters)
+            return array("I", [t.id for t in tokenize(blank + letters)]).tobytes()
+
+        for w in words:
+            if w.isalpha():
+                memo[w] = ids_of(w)
+            elif w[-1:] in _ENDS and w[:-1].isalpha():
+                memo[w] = (memo.get(w[:-1]) or ids_of(w[:-1])) + ids(w[-1])
+            else:
+                memo[w] = b"".join(map(ids, self._matches(" " + w)))
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty), one after the other, and the bounds of each text's ids."""
