@@ -37,13 +37,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from codeweave.llm.common import batch_of, discard, fresh_names, materialize, parts_of, release, run_indices, task
 
 WINDOW = 50
 PHRASE = 6
 #: Bytes of text of the documents whose phrases are compiled into one automaton; a longer document has one of its own.
-SHARD = 1 << 20
+SHARD = 1 << 18
 _digest = xxhash.xxh3_128_digest
 
 _rng = np.random.default_rng(20_25)
@@ -312,9 +313,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     gone = gone.withColumnsRenamed({"doc_id": id_, "text_key": other, "ranges": ranges})
     joined = keyed.join(gone, (keyed["doc_id"] == gone[id_]) & (keyed[key] == gone[other]), "left")
 
-    @F.pandas_udf("string")
-    def cut(text, ranges):  # noqa: ANN001
-        return text.combine(ranges, lambda t, r: t if r is None or not len(r) else _kept(t, list(r))[2])
+    def cut(batches):  # noqa: ANN001, ANN202
+        for texts, gone_ in batches:
+            yield pa.array([_kept(t.as_py(), r.as_py())[2] if r.is_valid and len(r) else t.as_py() for t, r in zip(texts, gone_)], pa.string())
+
+    cut = F.arrow_udf(task("substring_dedup")(cut), "string", ArrowUDFType.SCALAR_ITER)
 
     out = joined.withColumn("text", F.when(F.col(ranges).isNull(), F.col("text")).otherwise(cut("text", ranges)))
     out = out.where(F.col(ranges).isNull() | (F.col("text") != ""))
