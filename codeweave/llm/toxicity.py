@@ -16,8 +16,9 @@ counts. The segments of different texts are judged together by their sum statist
 them, the best first, that is least likely; as r is chosen, P is divided by its prior 0.5^r. The
 score is a logistic function of ln(1 - ln P).
 
-Training takes a bounded sample: at most ``most`` labelled documents, chosen by a hash of the id, and all of
-their telling tokens. Scoring covers every row and whole texts; only the text is an input.
+Training takes a bounded sample: at most ``most`` labelled documents, chosen by a hash of the id, with at most
+``most_bytes`` bytes of text together (one that is longer by itself isn't taken), and all of their telling tokens. So
+the model is bounded in bytes: its tokens are words of these documents, and at most three prefixes of each. Scoring covers every row and whole texts; only the text is an input.
 
 Defined cases: null and empty texts have no segment and get the lowest score; without labelled rows of
 both classes every score is the share of toxic ones (0 with no labels); equal texts get equal scores;
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
 from codeweave.llm.common import batch_of, discard, held_out, materialize, task
-from codeweave.llm.labelled import logistic, probability, training_rows
+from codeweave.llm.labelled import logistic, probability, training_rows, within_bytes
 
 WORD = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5, 6)
@@ -202,8 +203,9 @@ def _rate(scores: np.ndarray, weights: np.ndarray) -> float:
     return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
-    rows = materialize(training_rows(docs, labels, "toxic", most))
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, most_bytes: int = 1 << 27) -> Model:
+    written = materialize(training_rows(docs, labels, "toxic", most))
+    rows = within_bytes(written, most_bytes)
     totals = {bool(r["toxic"]): r["n"] for r in rows.groupBy((F.col("y") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     clean, toxic = totals.get(False, 0), totals.get(True, 0)
     if not clean or not toxic:
@@ -241,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
     scale = max(float((~y).sum() / (n[~y] * np.exp(-rate * best[~y])).sum()), 1e-9)
     law = Model(counts, clean, toxic, rate=rate, scale=scale)
     x = np.array([law.strength(t, k) for t, k in zip(tops, n.tolist())])
-    discard(docs.sparkSession, rows)
+    discard(docs.sparkSession, written)
     order = np.lexsort((y, x))
     w = logistic(x[order, None], y[order].astype(float), ridge=1e-6)
     return Model(counts, clean, toxic, rate=rate, scale=scale, weights=(float(w[0]), float(max(w[1], 0.0))))

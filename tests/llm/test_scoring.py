@@ -6,9 +6,10 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from codeweave.llm import quality, toxicity
-from codeweave.llm.labelled import logistic, probability
+from codeweave.llm.labelled import logistic, probability, within_bytes
 from tests.llm.conftest import ODD
 
 SF = "/root/testdata/sf0.1"
@@ -184,10 +185,39 @@ def test_a_labelled_id_that_repeats_trains_once(spark):
     assert len(rows) == len({r["doc_id"] for r in rows}) and all(r["text"] == f"text {r['doc_id']}" for r in rows)
 
 
+def test_a_sample_is_bounded_in_bytes(spark):
+    texts = [(i, "é" * (1 + i * 7 % 23), i % 2) for i in range(60)] + [(1000, "x" * 2000, 1), (1001, "", 0)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, y int")
+    order = [r.doc_id for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    size = {i: len(t.encode()) for i, t, _ in texts}
+    for most in (0, 1, 45, 46, 300, 1999, 2000, 10**6):
+        held, wanted = 0, []
+        for i in (i for i in order if size[i] <= most):
+            held += size[i]
+            if held > most:
+                break
+            wanted.append(i)
+        got = within_bytes(rows, most).collect()
+        assert sorted(r.doc_id for r in got) == sorted(wanted), most
+        assert sum(len(r.text.encode()) for r in got) <= most
+    assert within_bytes(rows.limit(0), 10).count() == 0
+
+
+def test_the_toxic_model_grows_no_further_than_its_bytes(spark):
+    """One labelled text of 4 MB adds no token to the model; the others train it as if it weren't there."""
+    rows = [(i, ("vile grackle scum " if i % 2 else "calm river stone ") + f"word{i % 9}", i % 2) for i in range(400)]
+    long = (10**6 + next(k for k in range(9) if zlib.crc32(str(10**6 + k).encode()) % 3 != 1), " ".join(f"long{i}" for i in range(400_000)), 1)
+    fits = []
+    for some in (rows, [*rows, long]):
+        docs = spark.createDataFrame([r[:2] for r in some], "doc_id long, text string")
+        labels = spark.createDataFrame([(r[0], r[2]) for r in some], "doc_id long, toxic int")
+        fits.append(toxicity.fit(docs, labels, most_bytes=1 << 20))
+    assert fits[0].counts and fits[0] == fits[1]
+
+
 @pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
 def test_labels_are_no_input(spark, tables, module, label):
     """Held-out labels change nothing, and neither does any column but the text."""
-    from pyspark.sql import functions as F
 
     from codeweave.llm.common import held_out
 
