@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.plans.scratch import bucketed, materialize
+from codeweave.plans.scratch import bucketed, materialize, shuffled
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20) -> DataFrame:
@@ -19,18 +19,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     these vectors; the weights follow from the vectors' dangling masses, a number each.
     """
     spark = nodes.sparkSession
-    nodes = materialize(nodes.select("id").distinct())
+    nodes = shuffled(materialize(nodes.select("id").distinct()))
     n = nodes.count()
     if not n:
         return spark.createDataFrame([], "id string, rank double")
     known = edges.select("src", "dst").join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
     pairs = materialize(known.groupBy("src", "dst").agg(F.count("*").alias("times")))
     degrees = pairs.groupBy("src").agg(F.sum("times").alias("degree"))
-    links = bucketed(pairs.join(degrees, "src").select("src", "dst", (F.col("times") / F.col("degree")).alias("share")), "src")
+    links = bucketed(shuffled(pairs).join(degrees, "src").select("src", "dst", (F.col("times") / F.col("degree")).alias("share")), "src")
     carried = nodes.select("id", F.lit(1.0 / n).alias("value"))
     vectors, sent = [], []
     for _ in range(iterations):
-        got = links.join(carried.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") * F.col("share")).alias("value"))
+        got = links.join(shuffled(carried).withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") * F.col("share")).alias("value"))
         carried = materialize(got)
         vectors.append(carried)
         sent.append(carried.agg(F.coalesce(F.sum("value"), F.lit(0.0))).first()[0])  # all but what dangling nodes had

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweave.functions.text import normalised_path, stem_of, without_extension
+from codeweave.plans.scratch import shuffled
 from codeweave.schema import AMBIGUOUS, ENCLOSING_TYPES, EXTRACTED, INFERRED, RESOLVED_TYPES
 
 FAN_OUT = 5
@@ -23,7 +24,7 @@ def symbol_order(symbols: DataFrame) -> Column:
 
 def _resolve(refs: DataFrame, candidates: DataFrame, order: Column, imports: DataFrame | None) -> DataFrame:
     """(src, dst, confidence, line) of refs (src, src_path, name, line), at most one row a (src, dst)."""
-    cand = candidates.select("id", "name", "path", order.alias("ord"))
+    cand = shuffled(candidates).select("id", "name", "path", order.alias("ord"))
     by_name = cand.groupBy("name").agg(F.count("*").alias("n"), F.min_by("id", "ord").alias("only"))
     by_file = cand.groupBy("name", "path").agg(F.count("*").alias("k"), F.min_by("id", "ord").alias("here"))
     first = cand.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("ord"))).where(F.col("place") <= FAN_OUT)
@@ -34,9 +35,9 @@ def _resolve(refs: DataFrame, candidates: DataFrame, order: Column, imports: Dat
     settled = F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("here"))
     if imports is not None:
         wanted = known.where("n > 1 AND here IS NULL").select("name", "src_path").distinct()
-        reachable = wanted.join(imports.select("src_path", F.col("dst_path").alias("path")), "src_path").join(by_file, ["name", "path"])
+        reachable = wanted.join(shuffled(imports).select("src_path", F.col("dst_path").alias("path")), "src_path").join(by_file, ["name", "path"])
         imported = reachable.groupBy("name", "src_path").agg(F.sum("k").alias("hits"), F.min("here").alias("there")).where("hits = 1")
-        known = known.join(imported.select("name", "src_path", "there"), ["name", "src_path"], "left")
+        known = known.join(shuffled(imported).select("name", "src_path", "there"), ["name", "src_path"], "left")
     else:
         known = known.withColumn("there", F.lit(None).cast("string"))
     known = known.withColumn("dst", F.coalesce(settled, F.col("there"))).withColumn(
@@ -48,7 +49,7 @@ def _resolve(refs: DataFrame, candidates: DataFrame, order: Column, imports: Dat
 
 
 def _with_path(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    return refs.join(symbols.select(F.col("id").alias("src"), F.col("path").alias("src_path")), "src")
+    return refs.join(shuffled(symbols).select(F.col("id").alias("src"), F.col("path").alias("src_path")), "src")
 
 
 def resolve_calls(callsites: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.plans.scratch import materialize
+from codeweave.plans.scratch import materialize, shuffled
 
 MAX_DEPTH = 6
 
@@ -29,9 +29,9 @@ def k_hop(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     seen = None
     frontier = start.select("id").distinct()
     for hop in range(1, depth + 1):
-        reached = frontier.join(steps, frontier["id"] == steps["src"]).select(F.col("dst").alias("id")).distinct()
+        reached = frontier.join(shuffled(steps), frontier["id"] == steps["src"]).select(F.col("dst").alias("id")).distinct()
         if seen is not None:
-            reached = reached.join(seen, "id", "left_anti")
+            reached = reached.join(shuffled(seen), "id", "left_anti")
         reached = reached.withColumn("hop", F.lit(hop))
         if depth > 1:
             reached = materialize(reached)
@@ -44,13 +44,13 @@ def k_hop(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 
 def _onward(frontier: DataFrame, steps: DataFrame) -> DataFrame:
     """(id, parent): what is one edge further, with the smallest node of the frontier that leads there."""
-    return frontier.join(steps, frontier["id"] == steps["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+    return frontier.join(shuffled(steps), frontier["id"] == steps["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
 
 
 def _new(reached: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """The part of ``reached`` that none of the levels after the first has."""
     for level in levels[1:]:
-        reached = reached.join(level.select("id"), "id", "left_anti")
+        reached = reached.join(shuffled(level).select("id"), "id", "left_anti")
     return materialize(reached)
 
 

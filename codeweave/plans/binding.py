@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codeweave.operators.resolve import contains, resolve_calls, resolve_inherits, resolve_uses
+from codeweave.plans.scratch import shuffled
 from codeweave.schema import Graph
 
 # The same text runs in the oracles.
@@ -40,7 +41,7 @@ class Binding:
     """The raw references of the bound graph, and the graph resolved from them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        read = lambda t: shuffled(spark.read.parquet(f"{sf_dir}/{t}.parquet"))
         self.spark = spark
         self.keyed = spark.sql(SYM, part=read("part"))
         self.symbols = self.keyed.selectExpr("*", "CAST(0 AS DOUBLE) AS rank").drop("pk")

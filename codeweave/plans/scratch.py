@@ -51,6 +51,11 @@ def bucketed(df: DataFrame, *keys: str) -> DataFrame:
     return out
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for joins that shuffle it: a table that compresses well looks small, is many times that in memory, and a broadcast goes through the driver."""
+    return df.hint("merge")
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete a written intermediate that nothing reads any more."""
     for file in df.inputFiles()[:1]:
