@@ -203,3 +203,63 @@ def test_words_of_one_concept_are_near():
 
     assert near("sign in", "authenticate_member def authenticate_member(name)", "draw_circle def draw_circle(radius)") == "authenticate_member def authenticate_member(name)"
     assert near("delete a record", "sortKeys(rows)", "removeEntry(row)", "countWords(text)") == "removeEntry(row)"
+
+
+@pytest.mark.parametrize("lang", ["java", "typescript", "go", "php", "cpp"])
+def test_time_grows_with_the_file(lang):
+    """Eight times the symbols take about eight times as long, not 64 times."""
+    import time
+
+    from codeweave.plans.shapes import SHAPES
+
+    def seconds(n):
+        shape = SHAPES[lang]
+        lines = ("\n".join(shape.lines).replace("{pk}", str(k)).replace("{a}", "1").replace("{b}", "2") for k in range(n))
+        source = "\n".join([*shape.top, *lines, ""]).encode()
+        start = time.process_time()
+        row = extract_source(f"a{shape.suffix}", source)
+        assert len(row["symbols"]) == 2 * n
+        return time.process_time() - start
+
+    assert seconds(16000) < 24 * max(seconds(2000), 0.02)
+
+
+def test_long_python_is_parsed_in_runs(monkeypatch):
+    """Runs end between statements, never within strings, brackets, decorators or continued lines; the result is that of the whole."""
+    import ast
+
+    from codeweave.sources import extract
+
+    odd = '''x = """
+class NotOne:
+"""
+y = (
+1,
+)
+@wraps(f)
+@other
+async def go(a: T) -> R:
+    # of inner
+    def inner(): return call(a)
+    return inner
+if y:
+    class Held(Base): pass
+elif x: z = \\
+None
+# of last
+class Last(Base, Base2):
+    ünï: T = made(1)
+'''
+    for source in (odd * 40, odd * 3 + "class Open(:\n" + odd, "# coding: latin-1\n" + odd * 40, odd + "s = '''\nclass A: pass\n" * 2 + "def f(): '''\n" + odd * 9):
+        for data in {source.encode(), source.replace("\n", "\r\n").encode(), b"\xef\xbb\xbf" + source.encode()}:
+            monkeypatch.setattr(extract, "PART", 1 << 40)
+            whole, sizes = extract_source("a/b.py", data), []
+            monkeypatch.setattr(extract, "PART", 64)
+            with monkeypatch.context() as m:
+                m.setattr(extract.ast, "parse", lambda s, parse=ast.parse: sizes.append(len(s)) or parse(s))
+                parts = extract_source("a/b.py", data)
+            for column, value in whole.items():
+                key = lambda v: sorted(v, key=str) if isinstance(v, list) else v
+                assert key(parts[column]) == key(value)
+            if source == odd * 40 and data.startswith(b"x"):
+                assert max(sizes) < len(data) / 10
