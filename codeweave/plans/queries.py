@@ -14,7 +14,7 @@ from codeweave.plans import shapes
 from codeweave.plans.binding import Binding
 from codeweave.plans.cypher import cypher
 from codeweave.plans.oracles import PATH_TARGET
-from codeweave.plans.scratch import scratch_dir
+from codeweave.plans.scratch import materialize, scratch_dir
 from codeweave.schema import GRAMS
 from codeweave.sources.extract import extract_files
 from codeweave.sources.rules import is_source
@@ -337,7 +337,7 @@ def search_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def latent_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matrix that vectors are learned from: how much more often than by chance each word is in each document."""
-    seen = latent.counted(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    seen = materialize(latent.counted(_table(spark, sf_dir, "documents"), "doc_id", "text"))  # read three times
     return latent.matrix(seen, "doc_id", least=2)[0].select("doc_id", "token", F.round("x", 6).alias("x"))
 
 

@@ -104,3 +104,11 @@ def test_stored_graph_with_learned_vectors(spark, sample_repo, tmp_path):
     assert not g.g.latent.isEmpty() and "round_up" in {r["name"] for r in g.search_semantic("round amount", limit=3).collect()}
     build_index(spark, str(sample_repo), home, full=True, learned=False)
     assert open_graph(spark, str(sample_repo), home).g.latent.isEmpty()
+
+
+def test_matrix_query_counts_words_once(spark):
+    """The words of the documents are cut and counted once; all that follows reads the written counts."""
+    from codeweave.plans.queries import QUERIES
+
+    plan = QUERIES["latent_matrix"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
