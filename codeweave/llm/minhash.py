@@ -235,10 +235,11 @@ class _Linker:
         near = self.possible("n", "m") & (F.col("weight") + F.col("w") <= 0) & ((self.den + self.num) * differ <= (self.den - self.num) * (F.col("n") + F.col("m")))
         return one.join(other, (one["key"] == other["key"]) & (F.col("root") != F.col("r")) & (F.col("u") < F.col("v")) & near).select("u", "v").distinct()
 
-    def links(self, members: DataFrame) -> DataFrame:
-        """Links that connect what all pairs of one key connect; ``members`` has key, node, n and the key's least node and its size."""
+    def links(self, members: DataFrame, near: DataFrame | None = None) -> DataFrame:
+        """Links that connect what all pairs of one key, and those of ``near`` (u, v), connect; ``members`` has key, node, n and the key's least node and its size."""
         nearest = members.where((F.col("node") != F.col("least.node")) & self.possible("n", "least.n")).groupBy("node").agg(F.min("least.node").alias("v"))
-        found = self.keep(self.verified(nearest.select(F.col("v").alias("u"), F.col("node").alias("v"))))
+        pairs = nearest.select(F.col("v").alias("u"), F.col("node").alias("v"))
+        found = self.keep(self.verified(pairs if near is None else near.unionByName(pairs).distinct()))
         step = self.stars(members.select("key", "node", "n"), found)
         if step:
             found, left = step
@@ -257,18 +258,19 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(schema, b.column("node"), bits)
 
 
-def links(docs: DataFrame, prints: DataFrame, similarity: tuple[int, int], width: int) -> DataFrame:
-    """Verified links (u, v) between nodes; they connect what all pairs that share a band and are similar enough connect."""
+def links(docs: DataFrame, prints: DataFrame, similarity: tuple[int, int], width: int, near: DataFrame | None = None) -> DataFrame:
+    """Verified links (u, v) between nodes; they connect what all pairs that share a band, or are in ``near`` (u, v), and are similar enough connect."""
     spark = docs.sparkSession
     text = F.struct(F.coalesce("doc_id", F.lit(0)).alias("key"), "digest")
     distinct = materialize(prints.where("n > 0").groupBy("node").agg(F.min(text).alias("text"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     emitted = distinct.select("node", "n", F.explode("bands").alias("key"))
     shared = materialize(emitted.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.max("node").alias("last")).where("least.node < last").select("key", "least"))
     members = materialize(emitted.join(shared, "key").select("key", "node", "n", "least"))
-    chosen = distinct.join(members.select("node").distinct(), "node", "left_semi").select("node", "text.key", "text.digest")
+    some = members.select("node") if near is None else members.select("node").unionByName(near.select(F.explode(F.array("u", "v")).alias("node")))
+    chosen = distinct.join(some.distinct(), "node", "left_semi").select("node", "text.key", "text.digest")
     sets = materialize(_sets(docs, chosen, width))
     linker = _Linker(similarity, sets)
-    out = materialize(linker.links(members).distinct())
+    out = materialize(linker.links(members, near).distinct())
     for used in (distinct, shared, members, sets, *linker.written):
         discard(spark, used)
     return out

@@ -24,7 +24,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more on 5-word shingles, the one with the smallest doc_id."""
+    """Of documents linked by a Jaccard similarity of 0.8 or more on 5-word shingles, the one with the smallest doc_id.
+
+    Candidates by SimHash fingerprints within 3 bits, and by bands of sketches for what those miss; links are confirmed on whole sets.
+    """
     return near_dedup.deduplicate(docs)
 
 
