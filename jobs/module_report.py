@@ -16,12 +16,14 @@ same snapshot, also where modules are gone since, and other snapshots stay for c
 from __future__ import annotations
 
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweave.functions.text import module_of
 from codeweave.plans.binding import Binding
+from codeweave.plans.scratch import discard, materialize
 from jobs.common import command, log, stored
 
 DEFAULTS = {"as_of": "latest", "top": 10}
@@ -37,9 +39,8 @@ def links(bound: Binding) -> DataFrame:
     return sent.join(module.select(F.col("id").alias("dst"), F.col("module").alias("other")), "dst")
 
 
-def report(spark: SparkSession, tables: str, top: int) -> DataFrame:
-    bound = Binding(spark, tables)
-    sent = links(bound)
+def report(sent: DataFrame, top: int) -> DataFrame:
+    """The rows of a snapshot from its :func:`links`, which are read several times."""
     matrix = sent.groupBy("module", "other", "kind").agg(F.sum("n").alias("n"), F.sum("unsure").alias("unsure"))
     rank = F.lit(None).cast("int").alias("rank")
     edges = matrix.select("module", F.lit("edges").alias("part"), F.col("other").alias("item"), "kind", "n", "unsure", rank)
@@ -61,8 +62,11 @@ def run(spark: SparkSession, tables: str, out: str, config: dict | None = None)
     settings = {**DEFAULTS, **(config or {})}
     log.info("reading part and lineitem in %s", tables)
     to = f"{out}/as_of={settings['as_of']}"
-    rows = report(spark, tables, settings["top"])
+    # resolved once: below OUT, as executors share it, in a folder that no reader of OUT looks at
+    sent = materialize(links(Binding(spark, tables)), f"{out}/_work/codeweave/{uuid4().hex}")
+    rows = report(sent, settings["top"])
     rows.repartition("module").sortWithinPartitions("part", "rank", "item").write.mode("overwrite").partitionBy("module").parquet(to)
+    discard(spark, sent)
     parts = {r["part"]: r["count"] for r in stored(spark, to, REPORT).groupBy("part").count().collect()}
     wrote = {"rows": sum(parts.values()), **{p: parts.get(p, 0) for p in ("edges", "hot", "cycle")}}
     log.info("wrote to %s: %s", to, wrote)
