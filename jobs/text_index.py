@@ -45,8 +45,16 @@ def manifest(spark: SparkSession, out: str) -> DataFrame:
 
 
 def current(spark: SparkSession, out: str) -> DataFrame:
-    """(gram, doc_id, bucket) of the present text of every document."""
-    return stored(spark, f"{out}/postings", POSTINGS).join(manifest(spark, out).select("doc_id", "batch"), ["doc_id", "batch"], "left_semi").select("gram", "doc_id", "bucket")
+    """(gram, doc_id, bucket) of the present text of every document.
+
+    Postings are joined, and so shuffled, only where a document has come again; of batches without a manifest none are read.
+    """
+    rows, postings = stored(spark, f"{out}/manifest", MANIFEST), stored(spark, f"{out}/postings", POSTINGS)
+    postings = postings.join(F.broadcast(rows.select("batch").distinct()), "batch", "left_semi")  # a row a batch
+    again = rows.groupBy("doc_id").agg(F.min("batch").alias("first"), F.max("batch").alias("last")).where("first < last").select(F.col("doc_id").alias("id"), "last")
+    if not again.isEmpty():
+        postings = postings.join(again, (F.col("doc_id") == F.col("id")) & (F.col("batch") < F.col("last")), "left_anti")
+    return postings.select("gram", "doc_id", "bucket")
 
 
 def search(spark: SparkSession, out: str, docs: DataFrame, query: str, buckets: int = DEFAULTS["buckets"]) -> DataFrame:
