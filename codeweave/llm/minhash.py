@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import batch_of, discard, materialize, task
+from codeweave.llm.common import batch_of, discard, materialize, release, task
 from codeweave.llm.components import components, text_digest
 
 ROWS = 7
@@ -168,12 +168,16 @@ def _sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
 
 
 class _Linker:
-    """The steps from nodes that share a key to links; ``sets`` has the whole set of each of these nodes."""
+    """The steps from nodes that share a key to links; ``sets`` has the whole set of each of these nodes.
+
+    Of the links found so far their components are kept, which new ones are added to.
+    """
 
     def __init__(self, similarity: tuple[int, int], sets: DataFrame):
         self.num, self.den = similarity
         self.sets, self.spark = sets, sets.sparkSession
         self.written: list[DataFrame] = []
+        self.roots: DataFrame | None = None
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.written.append(materialize(df))
@@ -189,10 +193,16 @@ class _Linker:
         common = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("sum"))
         return common.where(f"{self.den} * both >= {self.num} * (sum - both)").select("u", "v")
 
-    def apart(self, keyed: DataFrame, found: DataFrame) -> DataFrame:
+    def link(self, pairs: DataFrame) -> None:
+        """Adds those of the pairs (u, v) that are links to the components."""
+        more = self.keep(self.verified(pairs))
+        if self.roots is None or not more.isEmpty():
+            self.roots = components(more, self.roots)
+            self.written.append(self.roots)
+
+    def apart(self, keyed: DataFrame) -> DataFrame:
         """Rows of ``keyed`` (key, node, n) with their roots, of keys whose nodes lie in several components."""
-        roots = self.keep(components(found))
-        rooted = keyed.join(roots.withColumnRenamed("u", "node"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+        rooted = keyed.join(self.roots.withColumnRenamed("u", "node"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
         split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         return self.keep(rooted.join(self.keep(split), "key", "left_semi"))
 
@@ -204,16 +214,17 @@ class _Linker:
         weight = F.coalesce("own", F.lit(0)) * (self.den + self.num) - F.col("n") * (self.den - self.num)
         return self.keep(apart.join(own, "node", "left").select("key", "node", "n", "root", weight.alias("weight")))
 
-    def stars(self, keyed: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-        """All links so far, and the nodes of each key that may link to others than its centre; None where no key is left."""
-        apart = self.apart(keyed, found)
+    def stars(self, keyed: DataFrame) -> DataFrame | None:
+        """Adds the links to the centre of each key; the nodes of each that may link to others than it, or None where no key is left."""
+        apart = self.apart(keyed)
         if apart.isEmpty():
             return None
         weighed = self.weighed(apart)
         centres = weighed.groupBy("key").agg(F.min(F.struct("weight", "node", "n", "root")).alias("c"))
         left = self.keep(weighed.join(self.keep(centres), "key").where("node <> c.node AND weight + c.weight <= 0"))
         pairs = left.where((F.col("root") != F.col("c.root")) & self.possible("n", "c.n")).select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v"))
-        return self.keep(found.unionByName(self.verified(pairs.distinct()))), left.select("key", "node", "n")
+        self.link(pairs.distinct())
+        return left.select("key", "node", "n")
 
     def rarest(self, apart: DataFrame) -> DataFrame:
         """(key, node, n): the shared ones among the shingles of which two similar sets have one in common."""
@@ -224,9 +235,9 @@ class _Linker:
         first = F.col("n") - F.ceil(F.col("n") * self.num / self.den) + 1 - (F.col("n") - F.size("rare"))  # shingles of its own are rarer
         return ranked.select(F.explode(F.slice("rare", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("r"), "node", "n").select("r.key", "node", "n")
 
-    def pairs(self, keyed: DataFrame, found: DataFrame) -> DataFrame:
+    def pairs(self, keyed: DataFrame) -> DataFrame:
         """Pairs of one key in different components that sizes, weights and sketches let through."""
-        apart = self.weighed(self.apart(keyed, found))
+        apart = self.weighed(self.apart(keyed))
         bits = self.sets.join(apart.select("node").distinct(), "node", "left_semi").mapInArrow(_sketches, "node long, bits array<long>")
         ends = self.keep(apart.join(self.keep(bits), "node"))
         one = ends.select("key", F.col("node").alias("u"), "n", "root", "weight", *(F.col("bits")[i].alias(f"a{i}") for i in range(SKETCH)))
@@ -236,19 +247,18 @@ class _Linker:
         return one.join(other, (one["key"] == other["key"]) & (F.col("root") != F.col("r")) & (F.col("u") < F.col("v")) & near).select("u", "v").distinct()
 
     def links(self, members: DataFrame, near: DataFrame | None = None) -> DataFrame:
-        """Links that connect what all pairs of one key, and those of ``near`` (u, v), connect; ``members`` has key, node, n and the key's least node and its size."""
+        """Components that all pairs of one key, and those of ``near`` (u, v), make; ``members`` has key, node, n and the key's least node and its size."""
         nearest = members.where((F.col("node") != F.col("least.node")) & self.possible("n", "least.n")).groupBy("node").agg(F.min("least.node").alias("v"))
         pairs = nearest.select(F.col("v").alias("u"), F.col("node").alias("v"))
-        found = self.keep(self.verified(pairs if near is None else near.unionByName(pairs).distinct()))
-        step = self.stars(members.select("key", "node", "n"), found)
-        if step:
-            found, left = step
-            again = self.apart(left, found)
-            step = None if again.isEmpty() else self.stars(self.keep(self.rarest(again)), found)
-        if step:
-            found, left = step
-            found = self.keep(found.unionByName(self.verified(self.pairs(left, found))))
-        return found
+        self.link(pairs if near is None else near.unionByName(pairs).distinct())
+        left = self.stars(members.select("key", "node", "n"))
+        release(self.spark)
+        if left is not None:
+            again = self.apart(left)
+            left = None if again.isEmpty() else self.stars(self.keep(self.rarest(again)))
+        if left is not None:
+            self.link(self.pairs(left))
+        return self.roots
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +268,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(schema, b.column("node"), bits)
 
 
-def links(docs: DataFrame, prints: DataFrame, similarity: tuple[int, int], width: int, near: DataFrame | None = None) -> DataFrame:
-    """Verified links (u, v) between nodes; they connect what all pairs that share a band, or are in ``near`` (u, v), and are similar enough connect."""
+def linked(docs: DataFrame, prints: DataFrame, similarity: tuple[int, int], width: int, near: DataFrame | None = None) -> DataFrame:
+    """(u, root) of nodes that aren't the least of their component; links are verified pairs that share a band or are in ``near`` (u, v)."""
     spark = docs.sparkSession
     text = F.struct(F.coalesce("doc_id", F.lit(0)).alias("key"), "digest")
     distinct = materialize(prints.where("n > 0").groupBy("node").agg(F.min(text).alias("text"), F.first("n").alias("n"), F.first("bands").alias("bands")))
@@ -269,8 +279,9 @@ def links(docs: DataFrame, prints: DataFrame, similarity: tuple[int, int], width
     some = members.select("node") if near is None else members.select("node").unionByName(near.select(F.explode(F.array("u", "v")).alias("node")))
     chosen = distinct.join(some.distinct(), "node", "left_semi").select("node", "text.key", "text.digest")
     sets = materialize(_sets(docs, chosen, width))
+    release(spark)
     linker = _Linker(similarity, sets)
-    out = materialize(linker.links(members, near).distinct())
+    out = materialize(linker.links(members, near))
     for used in (distinct, shared, members, sets, *linker.written):
         discard(spark, used)
     return out
@@ -280,13 +291,11 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (17, 20), wid
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept, of every row."""
     spark = docs.sparkSession
     prints = materialize(nodes(docs, similarity, width))
-    found = links(docs, prints, similarity, width)
-    roots = materialize(components(found))
+    roots = linked(docs, prints, similarity, width)
     least = prints.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = least.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = materialize(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("smallest")), "root").select("node", "smallest"))
-    for used in (found, roots):
-        discard(spark, used)
+    discard(spark, roots)
     component = F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id"))
     out = prints.select("doc_id", "node", "n").join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweave.llm import simhash
-from codeweave.llm.common import discard, materialize
-from codeweave.llm.components import components, one_of_each
-from codeweave.llm.minhash import SKETCH, links, nodes, sketch  # noqa: F401
+from codeweave.llm.common import discard, materialize, release
+from codeweave.llm.components import one_of_each
+from codeweave.llm.minhash import SKETCH, linked, nodes, sketch  # noqa: F401
 
 WIDTH = 5
 SIMILARITY = (4, 5)
@@ -50,9 +50,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prints = materialize(nodes(docs, SIMILARITY, WIDTH))
     near = close(docs, prints)
-    found = links(docs, prints, SIMILARITY, WIDTH, near)
-    roots = components(found)
+    release(spark)
+    roots = linked(docs, prints, SIMILARITY, WIDTH, near)
     out = one_of_each(docs, prints.select("doc_id", "digest", "node"), roots)
-    for used in (prints, near, found, roots):
+    for used in (prints, near, roots):
         discard(spark, used)
     return out

@@ -99,7 +99,7 @@ def _signed(x: int) -> int:
 
 
 def _masks(values: list[int]) -> Column:
-    return F.array(*[F.lit(_signed(v)).cast("long") for v in values])
+    return F.expr(f"array({', '.join(f'{_signed(v)}L' for v in values)})")  # one call to the JVM, not one for each value
 
 
 def blocks_for(n: int) -> int:
