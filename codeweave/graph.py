@@ -200,15 +200,15 @@ class CodeGraph:
         One symbol a name: the last by (name, path, line). Focal names are left out of the other sections.
         """
         depth = traverse.clamp(depth, 2)
-        wanted = self.spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
-        focal = self.g.symbols.join(F.broadcast(wanted), "name")  # as long as the caller's list
+        wanted = F.coalesce(F.col("name").isin(list(dict.fromkeys(names))), F.lit(False))  # as long as the caller's list
+        focal = self.g.symbols.where(wanted)
         start = focal.select("id")
 
         def section(title: str, kind: str, incoming: bool, hops: int) -> DataFrame:
             e = self.g.edges(kind).select("src", "dst")
             if incoming:
                 e = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-            return self.g.symbols.join(traverse.k_hop(e, start, hops), "id").join(wanted, "name", "left_anti").withColumn("section", F.lit(title))
+            return self.g.symbols.join(traverse.k_hop(e, start, hops), "id").where(~wanted).withColumn("section", F.lit(title))
 
         parts = [
             focal.withColumn("section", F.lit("focal")),
