@@ -14,6 +14,16 @@ def test_no_broadcast_in_queries(spark, name):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_no_broadcast_while_it_runs(spark):
+    """Joins of tables that turn out small stay shuffled too: the plan that ran, with all of the rows of ``callers``."""
+    df = queries()["callers_compact"](spark, SF)
+    rows = sorted(r["row"] for r in df.collect())
+    ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in ran and "SortMergeJoin" in ran and "Broadcast" not in ran
+    whole = queries()["callers"](spark, SF).collect()
+    assert rows and rows == sorted(f"{r.name}\t{r.location}\t{r.confidence}\t@{r.call_line}" for r in whole)
+
+
 def test_subgraph_of_odd_lists(spark):
     """Names given twice, unknown ones, none, and a null one."""
     g = CodeGraph(Binding(spark, SF).graph())
