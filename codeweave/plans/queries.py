@@ -16,7 +16,7 @@ from codeweave.plans.cypher import cypher
 from codeweave.plans.oracles import PATH_TARGET
 from codeweave.plans.scratch import materialize, scratch_dir
 from codeweave.schema import GRAMS
-from codeweave.sources.extract import extract_files
+from codeweave.sources.extract import extract_facts, extract_files
 from codeweave.sources.rules import is_source
 from codeweave.streaming import watch
 
@@ -260,21 +260,11 @@ def extract_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir).select("path", F.size("contains").alias("n"), "lang")
 
 
-#: What extraction found in a file, as rows of one form: what, name, kind (or the name at the other end), line_start, line_end.
-_FACTS = """concat(
-    transform(symbols, s -> struct('symbol' AS what, s.name AS name, s.kind AS kind, s.line_start AS line_start, s.line_end AS line_end)),
-    transform(contains, c -> struct('contains' AS what, names[c.parent] AS name, names[c.child] AS kind, CAST(NULL AS BIGINT) AS line_start, CAST(NULL AS BIGINT) AS line_end)),
-    transform(inherits, i -> struct('base' AS what, i.base AS name, names[i.sub] AS kind, CAST(NULL AS BIGINT) AS line_start, CAST(NULL AS BIGINT) AS line_end)),
-    transform(imports, i -> struct('import' AS what, i AS name, CAST(NULL AS STRING) AS kind, CAST(NULL AS BIGINT) AS line_start, CAST(NULL AS BIGINT) AS line_end)),
-    transform(callsites, c -> struct('call' AS what, c.callee_name AS name, names[c.caller_id] AS kind, c.line AS line_start, c.line AS line_end)),
-    transform(uses, u -> struct('use' AS what, u.type_name AS name, names[u.src] AS kind, CAST(NULL AS BIGINT) AS line_start, CAST(NULL AS BIGINT) AS line_end)))"""
-
-
 def _of_language(lang: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = extract_files(spark.sql(shapes.sources(shapes.SHAPES[lang]), keyed=Binding(spark, sf_dir).keyed))
-        named = found.selectExpr("*", "map_from_entries(transform(symbols, s -> struct(s.id, s.name))) AS names")
-        return named.select("path", F.explode(F.expr(_FACTS)).alias("f")).select("path", "f.*")
+        # dealt out by path before the sources are made: extraction is long work on little data, which the adaptive planner would leave to few tasks
+        keyed = Binding(spark, sf_dir).keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+        return extract_facts(spark.sql(shapes.sources(shapes.SHAPES[lang]), keyed=keyed))
 
     return run
 

@@ -263,3 +263,31 @@ class Last(Base, Base2):
                 assert key(parts[column]) == key(value)
             if source == odd * 40 and data.startswith(b"x"):
                 assert max(sizes) < len(data) / 10
+
+
+def test_facts_name_each_id_and_come_in_batches(spark, monkeypatch):
+    """Also of a file whose facts are several batches, and beside unknown, missing and empty ones."""
+    from codeweave.sources import extract
+
+    monkeypatch.setattr(extract, "ROWS", 7)
+    long = "".join(f"class C{i} extends B {{\n  m{i}(x: T) {{ return n(x); }}\n}}\n" for i in range(20))
+    files = [("a.ts", long.encode()), ("b.txt", b"x"), ("c.ts", None), ("d.go", b"")]
+    rows = [tuple(r) for r in extract.extract_facts(spark.createDataFrame(files, "path string, content binary")).collect()]
+    want = []
+    for i in range(20):
+        at = 3 * i + 1
+        want += [("symbol", f"C{i}", "class", at, at + 2), ("symbol", f"m{i}", "method", at + 1, at + 1), ("contains", f"C{i}", f"m{i}", None, None)]
+        want += [("base", "B", f"C{i}", None, None), ("call", "n", f"m{i}", at + 1, at + 1), ("use", "T", f"C{i}", None, None)]
+    assert sorted(rows, key=str) == sorted((("a.ts", *w) for w in want), key=str)
+
+
+@pytest.mark.parametrize("lang", ["java", "typescript", "php", "cpp", "go"])
+def test_extract_queries_look_up_no_names_in_arrays_and_use_all_tasks(spark, lang):
+    """A look-up in a map of a file's symbols reads the map: quadratic in a file. A task for each path is not left to the size of the sources."""
+    from codeweave.plans.queries import QUERIES
+
+    df = QUERIES[f"extract_{lang}"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "map_from_entries" not in plan
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning(path" in line]
+    assert len(shuffles) == 1 and "REPARTITION_BY_NUM" in shuffles[0]
