@@ -8,7 +8,7 @@ job keeps the postings that such a search starts from (:mod:`codeweave.operators
 * IN is a Parquet folder or file of documents (doc_id, text, lang). A file stream reads the files that came since the last run, and ends;
   its checkpoint knows which these are.
 * Of these files' documents, those whose text is the one indexed already are left out, by the hash in the manifest.
-* OUT/postings (batch, bucket, gram, doc_id) and OUT/manifest (batch, doc_id, lang, hash) get the others, a partition for each batch of
+* OUT/postings (batch, bucket, gram, doc_ids: those of some of the batch's documents) and OUT/manifest (batch, doc_id, lang, hash) get the others, a partition for each batch of
   the stream, postings first. A batch that is run again, after a failure, gets the same number and overwrites its own partition and
   no other; while it runs, the state that it compares with is that of the batches before it. So any run may be
   repeated, at any point, with the same result; with nothing new, nothing is written.
@@ -28,7 +28,8 @@ from jobs.common import command, log, stored
 
 DEFAULTS = {"buckets": 16, "max_files": 256}
 MANIFEST = "doc_id long, lang string, hash string, batch long"
-POSTINGS = "gram string, doc_id long, batch long, bucket int"
+#: Batches written before lists were kept have a row for each doc_id.
+POSTINGS = "gram string, doc_ids array<long>, doc_id long, batch long, bucket int"
 
 
 def _as_pattern(path: str) -> str:
@@ -51,6 +52,7 @@ def current(spark: SparkSession, out: str) -> DataFrame:
     """
     rows, postings = stored(spark, f"{out}/manifest", MANIFEST), stored(spark, f"{out}/postings", POSTINGS)
     postings = postings.join(F.broadcast(rows.select("batch").distinct()), "batch", "left_semi")  # a row a batch
+    postings = postings.select("gram", F.explode(F.coalesce("doc_ids", F.array("doc_id"))).alias("doc_id"), "batch", "bucket")
     again = rows.groupBy("doc_id").agg(F.min("batch").alias("first"), F.max("batch").alias("last")).where("first < last").select(F.col("doc_id").alias("id"), "last")
     if not again.isEmpty():
         postings = postings.join(again, (F.col("doc_id") == F.col("id")) & (F.col("batch") < F.col("last")), "left_anti")
@@ -71,12 +73,15 @@ def run(spark: SparkSession, source: str, out: str, checkpoint: str, config: dic
         session = batch.sparkSession
         before = stored(session, f"{out}/manifest", MANIFEST).where(F.col("batch") < number).groupBy("doc_id").agg(F.max(F.struct("batch", "hash")).alias("m")).select("doc_id", "m.hash")
         rows = batch.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("hash"))
-        new = rows.where("doc_id IS NOT NULL").join(before, ["doc_id", "hash"], "left_anti")
-        grams.postings(new, "doc_id", "text", settings["buckets"]).write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/postings/batch={number}")
+        new = rows.where("doc_id IS NOT NULL")
+        if not before.isEmpty():  # or the join would shuffle all texts for nothing
+            new = new.join(before, ["doc_id", "hash"], "left_anti")
+        lists = grams.postings(new, "doc_id", "text", settings["buckets"], grams.SIZE, grams.PIECE, True)
+        lists.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/postings/batch={number}")
         once = new.groupBy("doc_id").agg(F.max(F.struct("hash", "lang")).alias("m")).select("doc_id", "m.lang", "m.hash")
         once.write.mode("overwrite").parquet(f"{out}/manifest/batch={number}")
         seen = batch.agg(F.count("*").alias("read"), F.count_if(F.col("doc_id").isNull()).alias("without_id")).first()
-        found = {**seen.asDict(), "indexed": stored(session, f"{out}/manifest/batch={number}", MANIFEST).count(), "postings": stored(session, f"{out}/postings/batch={number}", POSTINGS).count()}
+        found = {**seen.asDict(), "indexed": stored(session, f"{out}/manifest/batch={number}", MANIFEST).count(), "postings": stored(session, f"{out}/postings/batch={number}", POSTINGS).agg(F.coalesce(F.sum(F.size("doc_ids")), F.lit(0))).first()[0]}
         totals["batches"] += 1
         for k, n in found.items():
             totals[k] += n

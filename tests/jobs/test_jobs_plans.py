@@ -39,3 +39,13 @@ def test_postings_are_shuffled_only_where_documents_come_again(spark, tmp_path):
     spark.createDataFrame([("zzz", 9, 0)], "gram string, doc_id long, bucket int").write.partitionBy("bucket").parquet(f"{out}/postings/batch=7")
     second = run(1, [(1, "en", "abce")])
     assert sorted((r["gram"], r["doc_id"]) for r in second.collect()) == [("abc", 1), ("bce", 1), ("wxy", 2), ("xyz", 2)]
+
+
+def test_batches_of_one_row_a_document_are_still_read(spark, tmp_path):
+    """Postings as they were written before lists were kept, beside a batch of lists."""
+    out = str(tmp_path / "out")
+    spark.createDataFrame([(7, "abcd", "en")], "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    text_index.run(spark, str(tmp_path / "in"), out, f"{out}/checkpoint")
+    spark.createDataFrame([("xyz", 9, 0), ("abc", 9, 1)], "gram string, doc_id long, bucket int").write.partitionBy("bucket").parquet(f"{out}/postings/batch=5")
+    spark.createDataFrame([(9, "en", "h")], "doc_id long, lang string, hash string").write.parquet(f"{out}/manifest/batch=5")
+    assert sorted((r["gram"], r["doc_id"]) for r in text_index.current(spark, out).collect()) == [("abc", 7), ("abc", 9), ("bcd", 7), ("xyz", 9)]

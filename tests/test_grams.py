@@ -56,3 +56,32 @@ def test_stored_graph_is_searched_through_its_index(spark, built):
     finally:
         graph.g.name_grams, graph.g.doc_grams = names, docs
     assert not with_index["oar"][0].isEmpty()
+
+
+def test_only_texts_are_shuffled(spark):
+    """Postings are many times their texts: grams are found, and a text's repeats left out, before and without a shuffle of them."""
+    df = spark.createDataFrame([(1, "abcabc")], "k long, t string")
+    plan = grams.postings(df, "k", "t")._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(shuffles) == 1 and "gram" not in shuffles[0] and "Aggregate" not in plan
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), TEXT), max_size=25), st.sampled_from([1, 4, 1 << 16]), st.sampled_from([1, 2, 3]))
+def test_lists_of_keys_that_repeat(spark, rows, piece, size):
+    """A key is in one list of each of its grams, whatever is cut at once; lists are not empty."""
+    rows = [(k, t and t.replace("İ", "i")) for k, t in rows]
+    df = spark.createDataFrame(rows, "k long, t string")
+    found = [(r["gram"], k) for r in grams.postings(df, "k", "t", 5, size, piece, True).collect() for k in r["ks"] or [None]]
+    assert sorted(found) == sorted({(g, k) for k, t in rows if t for g in plain(t.lower(), size)})
+
+
+def test_more_characters_than_an_integer_holds():
+    """Many letters and many keys: grams are numbered first."""
+    letters = [chr(0x20 + i) for i in range(60_000) if not 0xD800 <= 0x20 + i < 0xE000]
+    rows = [(n, "".join(letters[n % 7 :: 7][:300])) for n in range(9_000)] + [(9_000 << 12, "".join(letters))]
+    found, ends, numbers = grams._gathered(rows, 3)
+    want = {(g, n) for n, t in rows[:7] + rows[-1:] for g in plain(t)}
+    begins = [0, *ends[:-1].tolist()]
+    got = {(g, n) for g, b, e in zip(found, begins, ends.tolist()) for n in numbers[b:e].tolist() if n < 7 or n == 9_000 << 12}
+    assert got == want and found == sorted(found) and len(set(found)) == len(found)
