@@ -22,8 +22,8 @@ def symbol_order(symbols: DataFrame) -> Column:
     return F.struct("path", "start_byte", "id") if "start_byte" in symbols.columns else F.struct("id")
 
 
-def _resolve(refs: DataFrame, candidates: DataFrame, order: Column, imports: DataFrame | None) -> DataFrame:
-    """(src, dst, confidence, line) of refs (src, src_path, name, line), at most one row a (src, dst)."""
+def _targets(refs: DataFrame, candidates: DataFrame, order: Column, imports: DataFrame | None, *keep: str) -> DataFrame:
+    """(``keep``, dst, confidence) of refs (src_path, name, ``keep``): what they mean follows from the file and the name alone."""
     cand = shuffled(candidates).select("id", "name", "path", order.alias("ord"))
     by_name = cand.groupBy("name").agg(F.count("*").alias("n"), F.min_by("id", "ord").alias("only"))
     by_file = cand.groupBy("name", "path").agg(F.count("*").alias("k"), F.min_by("id", "ord").alias("here"))
@@ -43,9 +43,14 @@ def _resolve(refs: DataFrame, candidates: DataFrame, order: Column, imports: Dat
     known = known.withColumn("dst", F.coalesce(settled, F.col("there"))).withColumn(
         "confidence", F.when(settled.isNotNull(), EXTRACTED).when(F.col("there").isNotNull(), INFERRED).otherwise(AMBIGUOUS)
     )
-    one = known.where("dst IS NOT NULL").select("src", "dst", "confidence", "line")
-    many = known.where("dst IS NULL").drop("dst").join(first.select("name", F.col("id").alias("dst")), "name").select("src", "dst", "confidence", "line")
-    return one.unionByName(many).groupBy("src", "dst").agg(F.min_by("confidence", "line").alias("confidence"), F.min("line").alias("line"))
+    one = known.where("dst IS NOT NULL").select(*keep, "dst", "confidence")
+    many = known.where("dst IS NULL").drop("dst").join(first.select("name", F.col("id").alias("dst")).distinct(), "name").select(*keep, "dst", "confidence")
+    return one.unionByName(many)
+
+
+def _resolve(refs: DataFrame, candidates: DataFrame, order: Column, imports: DataFrame | None) -> DataFrame:
+    """(src, dst, confidence, line) of refs (src, src_path, name, line), at most one row a (src, dst)."""
+    return _targets(refs, candidates, order, imports, "src", "line").groupBy("src", "dst").agg(F.min_by("confidence", "line").alias("confidence"), F.min("line").alias("line"))
 
 
 def _with_path(refs: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -58,6 +63,17 @@ def resolve_calls(callsites: DataFrame, symbols: DataFrame, imports: DataFrame)
     return _resolve(_with_path(first, symbols), symbols, symbol_order(symbols), imports)
 
 
+def resolve_counted(called: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """called (src_path, name, calls), a row a file and name -> (src_path, dst, calls, confidence): how many edges of :func:`resolve_calls` come from a file's symbols.
+
+    An id has one name, so each caller of a name has one edge to each symbol that the name may mean. Names of one symbol are settled by one join.
+    """
+    names = shuffled(symbols).groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("dst"))
+    sure = called.join(names.where("n = 1"), "name").select("src_path", "dst", "calls", F.lit(EXTRACTED).alias("confidence"))
+    others = called.join(names.where("n > 1").select("name"), "name", "left_semi")
+    return sure.unionByName(_targets(others, symbols, symbol_order(symbols), imports, "src_path", "calls").select("src_path", "dst", "calls", "confidence"))
+
+
 def resolve_inherits(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """refs (src, name) -> (src, dst, confidence), among types only."""
     types = symbols.where(F.col("kind").isin(*RESOLVED_TYPES))

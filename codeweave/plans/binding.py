@@ -6,7 +6,8 @@ bases and type uses follow from part keys.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from codeweave.operators.resolve import contains, resolve_calls, resolve_inherits, resolve_uses
 from codeweave.plans.scratch import shuffled
@@ -47,7 +48,8 @@ class Binding:
         self.symbols = self.keyed.selectExpr("*", "CAST(0 AS DOUBLE) AS rank").drop("pk")
         self.order = "id"
         self.imports = spark.sql(IMP, sym=self.keyed)
-        self.callsites = spark.sql(CS, sym=self.keyed, lineitem=read("lineitem"))
+        self.lines = read("lineitem")
+        self.callsites = spark.sql(CS, sym=self.keyed, lineitem=self.lines)
         self.bases = spark.sql(INH_RAW, sym=self.keyed)
         self.type_refs = spark.sql(USE_RAW, sym=self.keyed)
 
@@ -62,6 +64,17 @@ class Binding:
         """Symbols as the resolvers see them: ordered by id."""
         return self.symbols.select("id", "name", "path", "kind")
 
+    @property
+    def called(self) -> DataFrame:
+        """(src_path, name, calls): how many symbols of a file call a name. Callsites added up, from one shuffle of the lines, and in keys as long as keys do."""
+        lines = self.lines.where("l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL").selectExpr("l_orderkey AS o", "l_linenumber AS n", "l_partkey AS p")
+        lines = lines.repartition("o").groupBy("o", "n").agg(F.min("p").alias("p"))
+        after = F.lead(F.struct("n", "p")).over(Window.partitionBy("o").orderBy("n"))
+        pairs = lines.withColumn("after", after).where("after.n = n + 1").select("p", F.col("after.p").alias("q"))
+        named = pairs.join(shuffled(self.keyed).selectExpr("pk AS q", "name"), "q").select("p", "name")
+        once = named.join(shuffled(self.keyed).selectExpr("pk AS p", "path AS src_path"), "p").distinct()
+        return once.groupBy("src_path", "name").agg(F.count("*").alias("calls"))
+
     @property
     def calls(self) -> DataFrame:
         return resolve_calls(self.callsites, self.by_id, self.imports)

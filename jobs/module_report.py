@@ -22,20 +22,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweave.functions.text import module_of
+from codeweave.operators.resolve import resolve_counted
 from codeweave.plans.binding import Binding
-from codeweave.plans.scratch import discard, materialize
+from codeweave.plans.scratch import discard, materialize, release
 from jobs.common import command, log, stored
 
 DEFAULTS = {"as_of": "latest", "top": 10}
 REPORT = "part string, item string, kind string, n long, unsure long, rank int, as_of string, module string"
-KINDS = {"CALLS": "calls", "USES": "uses", "INHERITS": "inherits"}
+#: Kinds of edges that are resolved one by one.
+KINDS = {"USES": "uses", "INHERITS": "inherits"}
 
 
-def links(bound: Binding) -> DataFrame:
-    """(module, other, dst, kind, n, unsure): edges from each module to each symbol, added up before anything else is joined."""
+def links(bound: Binding, called: DataFrame) -> DataFrame:
+    """(module, other, dst, kind, n, unsure): edges from each module to each symbol, added up before anything else is joined; ``called`` is the binding's, written."""
     module = bound.symbols.select("id", module_of(F.col("path")).alias("module"))
-    edges = reduce(DataFrame.unionByName, [getattr(bound, table).select("src", "dst", F.lit(kind).alias("kind"), (F.col("confidence") == "AMBIGUOUS").cast("long").alias("unsure")) for kind, table in KINDS.items()])
-    sent = edges.join(module.select(F.col("id").alias("src"), "module"), "src").groupBy("module", "dst", "kind").agg(F.count("*").alias("n"), F.sum("unsure").alias("unsure"))
+    ambiguous = F.col("confidence") == "AMBIGUOUS"
+    edges = reduce(DataFrame.unionByName, [getattr(bound, table).select("src", "dst", F.lit(kind).alias("kind"), F.lit(1).cast("long").alias("n"), ambiguous.cast("long").alias("unsure")) for kind, table in KINDS.items()])
+    edges = edges.join(module.select(F.col("id").alias("src"), "module"), "src").select("module", "dst", "kind", "n", "unsure")
+    # calls are most of the edges: they are resolved once for all callers of a name in a file
+    calls = resolve_counted(called, bound.by_id, bound.imports)
+    calls = calls.select(module_of(F.col("src_path")).alias("module"), "dst", F.lit("CALLS").alias("kind"), F.col("calls").alias("n"), F.when(ambiguous, F.col("calls")).otherwise(0).alias("unsure"))
+    sent = edges.unionByName(calls).groupBy("module", "dst", "kind").agg(F.sum("n").alias("n"), F.sum("unsure").alias("unsure"))
     return sent.join(module.select(F.col("id").alias("dst"), F.col("module").alias("other")), "dst")
 
 
@@ -63,10 +70,17 @@ def run(spark: SparkSession, tables: str, out: str, config: dict | None = None)
     log.info("reading part and lineitem in %s", tables)
     to = f"{out}/as_of={settings['as_of']}"
     # resolved once: below OUT, as executors share it, in a folder that no reader of OUT looks at
-    sent = materialize(links(Binding(spark, tables)), f"{out}/_work/codeweave/{uuid4().hex}")
+    once = lambda df: materialize(df, f"{out}/_work/codeweave/{uuid4().hex}")
+    bound = Binding(spark, tables)
+    called = once(bound.called)
+    release(spark)  # shuffle files of a step go before the next one, and before the next run
+    sent = once(links(bound, called))
+    discard(spark, called)
+    release(spark)
     rows = report(sent, settings["top"])
     rows.repartition("module").sortWithinPartitions("part", "rank", "item").write.mode("overwrite").partitionBy("module").parquet(to)
     discard(spark, sent)
+    release(spark)
     parts = {r["part"]: r["count"] for r in stored(spark, to, REPORT).groupBy("part").count().collect()}
     wrote = {"rows": sum(parts.values()), **{p: parts.get(p, 0) for p in ("edges", "hot", "cycle")}}
     log.info("wrote to %s: %s", to, wrote)

@@ -1,5 +1,10 @@
 """What the jobs read and resolve once, or don't shuffle."""
 
+import pytest
+from pyspark.sql import functions as F
+
+from codeweave.operators.resolve import resolve_counted
+from codeweave.plans.binding import Binding
 from jobs import module_report, text_index
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +54,32 @@ def test_batches_of_one_row_a_document_are_still_read(spark, tmp_path):
     spark.createDataFrame([("xyz", 9, 0), ("abc", 9, 1)], "gram string, doc_id long, bucket int").write.partitionBy("bucket").parquet(f"{out}/postings/batch=5")
     spark.createDataFrame([(9, "en", "h")], "doc_id long, lang string, hash string").write.parquet(f"{out}/manifest/batch=5")
     assert sorted((r["gram"], r["doc_id"]) for r in text_index.current(spark, out).collect()) == [("abc", 7), ("abc", 9), ("bcd", 7), ("xyz", 9)]
+
+
+def test_calls_are_counted_from_one_shuffle_of_the_lines(spark):
+    """Without the rows of callsites, which are as many as lines and wide."""
+    bound = Binding(spark, SF)
+    assert plan_of(bound.called).count("lineitem.parquet") == 1
+    given = spark.createDataFrame([], "src_path string, name string, calls long")
+    assert "lineitem" not in plan_of(module_report.links(bound, given))
+
+
+def odd_tables(spark, folder):
+    """Lines that repeat, miss a number, lack a key or name no part; parts of one name in a file and in others, and one that comes twice."""
+    parts = [(k, f"part {k % 3}", "A" if k < 20 else "B", f"Brand#{k % 5}", 1) for k in range(40)] + [(10, "part 1", "A", "Brand#0", 1)]
+    schema = "p_partkey long, p_name string, p_type string, p_brand string, p_size int"
+    spark.createDataFrame(parts, schema).coalesce(1).write.parquet(f"{folder}/part.parquet")
+    lines = [(o, n, (o * 5 + n * n) % 42) for o in range(40) for n in range(1, 6) if (o + n) % 7]
+    lines += [(o, n, p + 1) for o, n, p in lines[::3]] + [(None, 1, 1), (None, 2, 2), (50, None, 3), (50, 1, None), (50, 2, 4), (50, 3, 4), (51, 1, 4), (51, 2, 7)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_counted_calls_are_the_calls_added_up(spark, tmp_path, odd):
+    bound = Binding(spark, odd_tables(spark, str(tmp_path)) if odd else SF)
+    counted = resolve_counted(bound.called, bound.by_id, bound.imports).groupBy("src_path", "dst", "confidence").agg(F.sum("calls").alias("n"))
+    paths = bound.symbols.select(F.col("id").alias("src"), F.col("path").alias("src_path")).distinct()
+    one_by_one = bound.calls.join(paths, "src").groupBy("src_path", "dst", "confidence").agg(F.count("*").alias("n"))
+    rows = sorted(map(tuple, counted.collect()))
+    assert rows == sorted(map(tuple, one_by_one.collect())) and {r[2] for r in rows} >= {"AMBIGUOUS", "EXTRACTED"}
